@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import language, packing, quality, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,11 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": _on("documents", simhash.op1_fingerprints),
+    "op3_packing": _on("documents", packing.op3_packing),
+    "op4_quality": _on("documents", quality.op4_quality),
     "op7_near_dedup": _on("documents", simhash.op7_near_dedup),
+    "op9_secrets": _on("documents", secrets.op9_secrets),
+    "op10_language": _on("documents", language.op10_language),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality": quality.SQL}
