@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, secrets, simhash
+from . import language, packing, quality, secrets, simhash, suffix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": _on("documents", simhash.op1_fingerprints),
+    "op2_suffix_dedup": _on("documents", suffix.op2_suffix_dedup),
     "op3_packing": _on("documents", packing.op3_packing),
     "op4_quality": _on("documents", quality.op4_quality),
     "op7_near_dedup": _on("documents", simhash.op7_near_dedup),
