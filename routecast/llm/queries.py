@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, secrets, simhash, suffix
+from . import language, packing, quality, secrets, simhash, suffix, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_suffix_dedup": _on("documents", suffix.op2_suffix_dedup),
     "op3_packing": _on("documents", packing.op3_packing),
     "op4_quality": _on("documents", quality.op4_quality),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_near_dedup": _on("documents", simhash.op7_near_dedup),
     "op9_secrets": _on("documents", secrets.op9_secrets),
     "op10_language": _on("documents", language.op10_language),
