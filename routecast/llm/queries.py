@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, secrets, simhash, suffix, toxicity
+from . import chat, language, packing, quality, secrets, simhash, suffix, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +22,11 @@ QUERIES: dict[str, Query] = {
     "op3_packing": _on("documents", packing.op3_packing),
     "op4_quality": _on("documents", quality.op4_quality),
     "op5_toxicity": lambda spark, sf_dir: toxicity.op5_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op6_tool_calls": _on("conversations", chat.op6_tool_calls),
     "op7_near_dedup": _on("documents", simhash.op7_near_dedup),
+    "op8_sentencepiece": _on("documents", tokens.op8_sentencepiece),
     "op9_secrets": _on("documents", secrets.op9_secrets),
     "op10_language": _on("documents", language.op10_language),
 }
 
-ORACLES: dict[str, str] = {"op4_quality": quality.SQL}
+ORACLES: dict[str, str] = {"op4_quality": quality.SQL, "op6_tool_calls": chat.SQL}
