@@ -58,16 +58,16 @@ def weighted_kappa(c: DataFrame, group: list[str] = (), zero: str = "null") -> D
 def fleiss(ratings: DataFrame, item: str, category: str, group: list[str] = ()) -> DataFrame:
     """A4: Fleiss' kappa; null with fewer than two raters or unequal rater numbers (`even` false); 1 if chance agreement is 1."""
     group = list(group)
-    n = ratings.groupBy(*group, item, category).agg(F.count(F.lit(1)).alias("n"))
-    per = n.groupBy(*group, item).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    agree = per.groupBy(*group).agg(F.count(F.lit(1)).alias("items"), F.min("m").alias("lo"), F.max("m").alias("hi"), F.sum("m").alias("total"),
-                                    F.avg(F.try_divide(F.col("sq") - F.col("m"), F.col("m") * (F.col("m") - 1))).alias("observed"))
-    by = n.groupBy(*group, category).agg(F.sum("n").alias("c"))
-    chance = by.groupBy(*group).agg(F.sum(_dec(F.col("c") * F.col("c"))).cast("double").alias("sq"))
+    n = ratings.groupBy(*group, item, category).agg(F.count(F.lit(1)).alias("_n"))
+    per = n.groupBy(*group, item).agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("_n")).alias("_sq"))
+    agree = per.groupBy(*group).agg(F.count(F.lit(1)).alias("items"), F.min("_m").alias("_lo"), F.max("_m").alias("_hi"), F.sum("_m").alias("_total"),
+                                    F.avg(F.try_divide(F.col("_sq") - F.col("_m"), F.col("_m") * (F.col("_m") - 1))).alias("_observed"))
+    by = n.groupBy(*group, category).agg(F.sum("_n").alias("_c"))
+    chance = by.groupBy(*group).agg(F.sum(_dec(F.col("_c") * F.col("_c"))).cast("double").alias("_chance"))
     j = agree.join(chance, group) if group else agree.crossJoin(chance)
-    p = F.try_divide(F.col("sq"), F.col("total").cast("double") * F.col("total").cast("double"))
-    even = (F.col("lo") == F.col("hi")) & (F.col("lo") >= 2)
-    kappa = F.when(~even, None).when(p == 1, F.lit(1.0)).otherwise(F.try_divide(F.col("observed") - p, 1 - p))
+    p = F.try_divide(F.col("_chance"), F.col("_total").cast("double") * F.col("_total").cast("double"))
+    even = (F.col("_lo") == F.col("_hi")) & (F.col("_lo") >= 2)
+    kappa = F.when(~even, None).when(p == 1, F.lit(1.0)).otherwise(F.try_divide(F.col("_observed") - p, 1 - p))
     return j.select(*group, "items", F.coalesce(even, F.lit(False)).alias("even"), kappa.alias("kappa"))
 
 

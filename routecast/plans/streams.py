@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routecast.functions.expr import item_key
 from routecast.plans.views import log, over, read
@@ -32,7 +33,7 @@ def run_once(df: DataFrame, mode: str, keys: list[str], order: list[str] | None
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    out = spark.read.schema(df.schema.add("_batch", "integer")).parquet(f"{folder}/out/*")
+    out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{folder}/out/*")
     rest = [c for c in df.columns if c not in keys]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_batch", *(order or []))).alias("r")).select(*keys, "r.*")
 

@@ -36,9 +36,9 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 def read_object(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A file that holds exactly one JSON object."""
-    df = spark.read.schema(_with_corrupt(schema)).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path).limit(2)
-    rows = df.select(F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad")).first()
-    if (rows.n, rows.bad) != (1, 0):
+    df = spark.read.schema(_with_corrupt(schema)).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    rows = df.limit(2).collect()
+    if len(rows) != 1 or rows[0][CORRUPT] is not None:
         raise ValueError(f"{path} does not hold one JSON object")
     return df.drop(CORRUPT)
 

@@ -36,10 +36,11 @@ def error_bursts(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFram
 ALERTS = "key long, run long, longest long, alert boolean"
 
 
-def error_runs(events: DataFrame, threshold: int, idle_ms: int = 86_400_000) -> DataFrame:
+def error_runs(events: DataFrame, threshold: int, idle_ms: int | None = None) -> DataFrame:
     """Consecutive errors per key, kept as state: (key, run, longest, alert) after each batch of a stream.
 
-    Rows of a batch are taken in order of (ts, event_id); an idle key's state is dropped after `idle_ms`.
+    Rows of a batch are taken in order of (ts, event_id). With `idle_ms` an idle key's state is dropped after that time; such a stream never
+    runs out of batches, so it does not end under an `availableNow` trigger.
     """
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,8 +53,9 @@ def error_runs(events: DataFrame, threshold: int, idle_ms: int = 86_400_000) ->
             run = run + 1 if bad else 0
             longest = max(longest, run)
         state.update((run, longest))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"key": [key[0]], "run": [run], "longest": [longest], "alert": [longest >= threshold]})
 
     d = events.select("key", "ts", "event_id", "error")
-    return d.groupBy("key").applyInPandasWithState(step, ALERTS, "run long, longest long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return d.groupBy("key").applyInPandasWithState(step, ALERTS, "run long, longest long", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
