@@ -37,11 +37,17 @@ def allocation_takes(spark: SparkSession, d: str) -> DataFrame:
     return S.allocation(_levelled(spark, d).groupBy("category", "level").agg(F.count(F.lit(1)).alias("pool")), 20)
 
 
-@query("stratified_draw", over("v_labels items", LEVELLED + """, m AS (SELECT *, level BETWEEN 2 AND 3 AS mid FROM lv), o AS (SELECT *, row_number() OVER (PARTITION BY category, level ORDER BY md5(concat_ws(':', '7', category, question_id)), question_id) AS place FROM m WHERE mid)
-SELECT question_id, category, level FROM o WHERE place <= 12"""))
+@query("stratified_draw", over("v_labels items", LEVELLED + """, o AS (SELECT *, row_number() OVER (PARTITION BY category, level ORDER BY md5(concat_ws(':', '7', category, question_id)), question_id) AS place FROM lv WHERE level IN (2, 3))
+SELECT question_id, category, level FROM o WHERE place = 1"""))
 def stratified_draw(spark: SparkSession, d: str) -> DataFrame:
-    """D4 on the two middle bands, whose pools are deep, so that 12 each are drawn (24 a category; empty bands give theirs to these)."""
-    return S.stratified_draw(_levelled(spark, d).where("level between 2 and 3"), 24, 7).select("question_id", "category", "level")
+    """D4 with two items a category: D2 gives them to the middle bands, so SQL can say the takes."""
+    return S.stratified_draw(_levelled(spark, d), 2, 7).select("question_id", "category", "level")
+
+
+@query("stratified_draw_full")
+def stratified_draw_full(spark: SparkSession, d: str) -> DataFrame:
+    """D4 with twenty items a category and the sequential donors of D3."""
+    return S.stratified_draw(_levelled(spark, d), 20, 7).select("question_id", "category", "level")
 
 
 @query("sqrt_allocation", over("corpus", """, p AS (SELECT CASE WHEN score BETWEEN 4 AND 7 THEN 'borderline' ELSE stage END AS stratum, count(*) AS population FROM corpus GROUP BY 1),
