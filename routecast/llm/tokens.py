@@ -31,10 +31,26 @@ MARK = "▁"  # the space mark of the format
 INF = float("inf")
 
 
+class _Solved(dict):
+    """Packed ids of chunks, solved on first use; emptied when it holds `most`. `before` stands in front of each chunk."""
+
+    def __init__(self, solve, before: str, most: int):
+        super().__init__()
+        self.solve, self.before, self.most = solve, before, most
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        out = self.solve(self.before + chunk)
+        if len(chunk) < 64:
+            self[chunk] = out
+        return out
+
+
 class Transducer:
     """The compiled transducer of one model file."""
 
-    def __init__(self, path: str, most_chunks: int = 200_000):
+    def __init__(self, path: str, most_chunks: int = 700_000):
         from sentencepiece import sentencepiece_model_pb2 as format_
 
         model = format_.ModelProto()
@@ -55,10 +71,15 @@ class Transducer:
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.longest = max(map(len, self.id), default=1)
         self.crosses = any(MARK in p[1:].lstrip(MARK) or (p[0] == MARK and MARK in p[1:].lstrip(MARK)) for p in self.id)
-        self.starts = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         self.split = lru_cache(maxsize=most_chunks)(self._split)
-        self.legal = lru_cache(maxsize=4 * most_chunks)(self._legal)
-        self.encode_chunk = lru_cache(maxsize=most_chunks)(self._encode_chunk)
+        self.checked: dict[tuple[str, str], bool] = {}
+        self.whole: dict[str, bool] = {}
+        self.most_pairs = 2 * most_chunks
+        self.starts = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        self.pairs = {pair for p in self.id for pair in zip(p, p[1:])}
+        self.parts = _Solved(self._encode_part, "", most_chunks)
+        self.plain, self.marked = _Solved(self._encode_chunk, "", most_chunks), _Solved(self._encode_chunk, MARK, most_chunks)
+        self.raw = [b"" if i in self.silent else bytes([self.of_byte[i]]) if i in self.of_byte else (p.replace(MARK, " ") if self.escape else p).encode() for i, p in enumerate(self.pieces)]
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -81,7 +102,7 @@ class Transducer:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return last
 
-    def _legal(self, a: str, b: str) -> bool:
+    def legal(self, a: str, b: str) -> bool:
         """Whether merging the characters of a and b together leaves exactly a and b.
 
         Walks both merge trees from the top: at each level the pair that touches must not be a better (or,
@@ -110,54 +131,87 @@ class Transducer:
                 # ties go to the left pair, and the touching pair is left of b's halves
                 limit, b = np.nextafter(rb, INF), halves[0]
 
-    def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of the tropical shortest path through chunk composed with the pieces."""
+    def _path(self, chunk: str) -> list[str]:
+        """Pieces of the tropical shortest path through chunk composed with the pieces."""
+        return self._legal_path(chunk) if self.merge else self._best_path(chunk)
+
+    def _best_path(self, chunk: str) -> list[str]:
+        """Unigram file: each prefix keeps its best path's last arc (weight, start, piece)."""
         n = len(chunk)
-        best: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-        best[0][""] = (0.0, 0, "")
-        for i in range(n):
-            if not best[i]:
-                continue
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+        for j in range(1, n + 1):
             arcs = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+            for i in range(max(0, j - self.longest), j):
                 piece = chunk[i:j]
-                if piece not in self.starts:
-                    break
                 if piece in self.id:
-                    arcs.append((j, piece))
-            if not any(j == i + 1 for j, _ in arcs):
-                arcs.append((i + 1, chunk[i]))
-            for j, piece in arcs:
-                for before, (weight, _, _) in best[i].items():
-                    if self.merge:
-                        if before and not self.legal(before, piece) or len(piece) > 1 and not self._reachable(piece):
-                            continue
-                        to, step = piece, 0.0
-                    else:
-                        to, step = "*", -self.score[self.id[piece]] if piece in self.id else 1e3
-                    total = weight + step
-                    if to not in best[j] or total < best[j][to][0]:
-                        best[j][to] = (total, i, before if self.merge else piece)
-        out: list[str] = []
-        state, j = min(best[n], key=lambda s: best[n][s][0]), n
+                    arcs.append((best[i][0] - self.score[self.id[piece]], i, piece))
+                elif i + 1 == j:
+                    arcs.append((best[i][0] + 1e3, i, piece))
+            best.append(min(arcs))
+        out, j = [], n
         while j > 0:
-            _, i, back = best[j][state]
-            out.append(state if self.merge else back)
-            state, j = (back, i) if self.merge else ("*" if i else "", i)
+            _, j, piece = best[j]
+            out.append(piece)
+        return out[::-1]
+
+    def _legal_path(self, chunk: str) -> list[str]:
+        """Merge file: all complete legal paths weigh 0 and there is one, so the first that a depth-first search completes is the shortest.
+
+        The longest arc is tried first. A prefix has one legal path, so a place that was left without success is dead for good.
+        """
+        n, at, path, dead = len(chunk), 0, [], set()
+        known, starts, checked = self.id, self.starts, self.checked
+        while at < n:
+            k = 1
+            while at + k < n and chunk[at:at + k + 1] in starts:
+                k += 1
+            last = path[-1] if path else ""
+            while k:
+                piece = chunk[at:at + k]
+                if (k == 1 or piece in known and self._reachable(piece)) and at + k not in dead:
+                    ok = True
+                    if last:
+                        ok = checked.get((last, piece))
+                        if ok is None:
+                            if len(checked) >= self.most_pairs:
+                                checked.clear()
+                            ok = checked[last, piece] = self.legal(last, piece)
+                    if ok:
+                        break
+                k -= 1
+            if k:
+                path.append(piece)
+                at += k
+            else:
+                dead.add(at)
+                at -= len(path.pop())
+        return path
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        """Packed ids of a chunk: of its parts, cut between characters that no piece holds side by side."""
+        cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:]), 1) if pair not in self.pairs]
+        if not cuts:
+            return self._encode_part(chunk)
+        return b"".join([self.parts[chunk[i:j]] for i, j in zip([0, *cuts], [*cuts, len(chunk)])])
+
+    def _encode_part(self, chunk: str) -> bytes:
         ids: list[int] = []
-        for piece in reversed(out):
+        for piece in self._path(chunk):
             if piece in self.id:
                 ids.append(self.id[piece])
             elif self.byte:
                 ids += [self.byte[b] for b in piece.encode()]
             else:
                 ids.append(self.unknown)
-        return tuple(ids)
+        return np.array(ids, "<u4").tobytes()
 
     def _reachable(self, piece: str) -> bool:
         """Whether the characters of `piece` merge to the piece itself."""
-        halves = self.split(piece)
-        return halves is not None and halves[0] + halves[1] == piece
+        ok = self.whole.get(piece)
+        if ok is None:
+            halves = self.split(piece)
+            ok = self.whole[piece] = halves is not None and halves[0] + halves[1] == piece
+        return ok
 
     def chunks(self, text: str) -> list[str]:
         if self.crosses or MARK not in text:
@@ -172,8 +226,24 @@ class Transducer:
         out.append(text[at:])
         return out
 
+    def packed(self, text: str) -> bytes:
+        """Little-endian ids of a text."""
+        text = self.normalise(text)
+        if text.startswith(MARK) and not self.crosses and MARK * 2 not in text:
+            return b"".join(map(self.marked.__getitem__, text[1:].split(MARK)))
+        return b"".join(map(self.plain.__getitem__, self.chunks(text)))
+
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(self.normalise(text)) for i in self.encode_chunk(c)]
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def text_of(self, packed: bytes) -> str:
+        """The text of little-endian ids; the same as `decode`, at once for ids whose bytes are well formed."""
+        ids = np.frombuffer(packed, "<u4").tolist()
+        try:
+            text = b"".join(map(self.raw.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return self.decode(ids)
+        return text[1:] if self.dummy and text.startswith(" ") else text
 
     def decode(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -207,10 +277,10 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
             columns: list[list] = [[], [], [], [], []]
             for text in batch.column(1):
                 raw = text.as_py()
-                ids = t.encode(raw or "")
-                back = t.decode(ids)
-                packed = np.array(ids, "<u4").tobytes()
-                values = (ids if raw is not None else None, len(ids), zlib.crc32(packed), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == raw if raw is not None else None)
+                packed = t.packed(raw or "")
+                back = t.text_of(packed)
+                ids = np.frombuffer(packed, "<u4").tolist() if with_ids and raw is not None else None
+                values = (ids, len(packed) // 4, zlib.crc32(packed), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == raw if raw is not None else None)
                 for c, v in zip(columns, values):
                     c.append(v)
             kinds = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.string(), pa.bool_())
