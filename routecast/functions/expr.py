@@ -131,10 +131,6 @@ def item_key(question_id: Column, rep: Column) -> Column:
     return F.concat_ws(":", question_id.cast("string"), rep.cast("string"))
 
 
-def key_question(key: Column) -> Column:
-    return F.try_to_number(F.split(key, ":")[0], F.lit("999999999999999999")).cast("long")
-
-
 def slug(text: Column) -> Column:
     """P15."""
     return F.regexp_replace(text, "[^A-Za-z0-9_.-]+", "_")
@@ -151,7 +147,7 @@ def coded_background(df: DataFrame, field: str = "field", raw: str = "raw") -> D
     codes = spark.createDataFrame(BACKGROUND_CODES, "_field string, _answer string, _value double, _status string, _reason string")
     norm = F.lower(F.trim(F.coalesce(F.col(raw), F.lit(""))))
     j = df.withColumn("_norm", norm).join(F.broadcast(codes), (F.col(field) == F.col("_field")) & (F.col("_norm") == F.col("_answer")), "left")
-    age = F.try_to_number("_norm", F.lit("999999.999999")).cast("double")
+    age = F.col("_norm").try_cast("double")
     fits = (age > 0) & (age <= 120)
     default = reduce(lambda a, f: a.when(F.col(field) == f, BACKGROUND_DEFAULTS[f]), BACKGROUND_DEFAULTS, F.when(F.lit(False), ""))
     blank, is_age = F.col("_norm") == "", F.col(field) == "age"
