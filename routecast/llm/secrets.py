@@ -24,7 +24,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
 # A text that matches none of these has no span of any kind.
 MAYBE_BASE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{32}"
-MAYBE_PAIR = r"[A-Za-z_][\"'\]]?[ \t]*(?::=|=>|[:=])[ \t]*[\"'A-Za-z0-9+/_(]"
+MAYBE_PAIR = r"[A-Za-z0-9_$.+/\-\"'\]][ \t]*(?::=|=>|[:=])[ \t]*[\"'A-Za-z0-9_$.+/(-]"
 
 # Name parts that make a target sensitive, and how much each says.
 SENSITIVE = {
@@ -33,16 +33,33 @@ SENSITIVE = {
 }
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|your.*|example.*|change_?me.*|placeholder.*|todo|none|null|true|false|undefined|redacted|insert.*|dummy.*)$|^[<{$%].*")
 
-LEX = re.compile(
-    r"(?P<space>[ \t]+)|(?P<line>[\n;,{}])|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<comment>(?://|\#)[^\n]*)"
-    r"|(?P<op>:=|=>|==|!=|[:=])|(?P<plus>\+)|(?P<word>[A-Za-z_$][\w$.-]*)|(?P<bare>[A-Za-z0-9+/_.=-]+)|(?P<other>.)", re.S | re.A)
+# A closing quote has no letter or digit after it; an apostrophe within a word closes nothing.
+_QUOTED = r"(?:\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+')(?![A-Za-z0-9_])"
+_LEX = (
+    r"(?P<space>[ \t]+)|(?P<line>[\n;,{}])|(?P<string>%s)|(?P<quote>[\"'])|(?P<mark>//|\#)"
+    r"|(?P<op>:=|=>|==|!=|[:=])|(?P<plus>\+)|(?P<word>[A-Za-z_$][\w$.-]*)|(?P<bare>[A-Za-z0-9+/_.%s-]+)|(?P<other>.)")
+LEX = re.compile(_LEX % (_QUOTED, ""), re.S | re.A)
+LEX_VALUE = re.compile(_LEX % (_QUOTED, "="), re.S | re.A)
+# Where no string opens, only a quoted name right before an operator is one.
+LEX_INNER = re.compile(_LEX % (_QUOTED + r"(?=[ \t]*(?::=|=>|[:=]))", ""), re.S | re.A)
+OPERATOR = re.compile("[:=]")
 
 
-def lex(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, text, start, end) of the tokens of source or configuration text; white space is dropped."""
-    for m in LEX.finditer(text):
-        if m.lastgroup not in ("space", "comment"):
-            yield m.lastgroup, m.group(), m.start(), m.end()
+def lex(text: str, whole: bool = True) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of the tokens of source or configuration text; white space and quotes that open no string are dropped.
+
+    A string opens after an operator, an opening bracket, a comma, a plus, a comment mark or a line's start. Comments are lexed like other text.
+    A bare value keeps its equals signs if `whole`.
+    """
+    at, pattern = 0, LEX
+    while at < len(text):
+        m = pattern.match(text, at)
+        at, kind = m.end(), m.lastgroup
+        if kind in ("space", "quote"):
+            continue
+        opens = kind in ("line", "mark", "op", "plus") or m.group() in ("(", "[")
+        pattern = LEX_VALUE if whole and kind in ("op", "plus") else LEX if opens else LEX_INNER
+        yield kind, m.group(), m.start(), at
 
 
 def _unquote(text: str, start: int) -> tuple[str, int, int]:
@@ -54,16 +71,25 @@ def pairs(text: str) -> list[tuple[str, str, int, int]]:
 
     Understands `name = "x"`, `name := x`, `"name": "x"`, `name => "x"`, joins by `+`, and names bound earlier in the
     same text. A name that takes a constant yields the pair (name, constant) at the place of the literal. A
-    joined value yields each of its literals' places under the whole value.
+    joined value yields each of its literals' places under the whole value. A comment mark ends a value, not the
+    scan, and what stands between quotes or in a bare value is searched for assignments of its own.
     """
+    return _pairs(text, True)
+
+
+def _pairs(text: str, whole: bool) -> list[tuple[str, str, int, int]]:
     bound: dict[str, list[tuple[str, int, int]]] = {}
     found = []
-    for at_line, group in groupby(lex(text), lambda t: t[0] == "line"):
+    for at_line, group in groupby(lex(text, whole), lambda t: t[0] in ("line", "mark")):
         tokens = [] if at_line else list(group)
+        for kind, value, start, _ in tokens:
+            if kind in ("string", "bare") and OPERATOR.search(value):
+                inner, start, _ = _unquote(value, start) if kind == "string" else (value, start, 0)
+                found += [(n, v, s + start, e + start) for n, v, s, e in _pairs(inner, kind == "string")]
         i = 0
         while i + 2 <= len(tokens) - 1:
             target, op = tokens[i], tokens[i + 1]
-            if target[0] not in ("word", "string") or op[0] != "op" or op[1] in ("==", "!="):
+            if target[0] not in ("word", "bare", "string") or op[0] != "op" or op[1] in ("==", "!="):
                 i += 1
                 continue
             name = _unquote(target[1], target[2])[0] if target[0] == "string" else target[1]
