@@ -14,8 +14,10 @@ anchor. Equal windows have equal anchors at equal places, so no match is lost. T
    For each place of a window around the anchor the two arrays give classes of equal windows and their least doc_id.
 4. The intervals found are merged per text and joined back to the documents by digest.
 
-Occurrences with the same surroundings are merged before the shuffle, so what meets in a task grows
-with the number of groups and of different surroundings, not with the copies of a passage.
+Occurrences with the same surroundings are merged before the shuffle. The ends of a passage have different surroundings
+in each document, so an anchor that may have more than HOT entries is matched window by window instead: a group keeps the least
+order of each of its windows, settles greater ones itself, and windows are dealt to the buckets by digest. An anchor brings at most
+HOT entries to a bucket, and a window one per group (and repetition in its least document).
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,9 @@ LEFT = WINDOW - GRAM  # bytes kept before an anchor; WINDOW bytes are kept from
 GROUP_BYTES = 4 << 20  # text in a group of documents
 BUCKET_BYTES = 16 << 20  # text whose anchors share a bucket
 BLOCK_BYTES = 1 << 20  # text hashed at once
+HOT = 20_000  # entries of an anchor that one task takes
+FEW = 8  # occurrences in a group from which they are counted
+SLICE = 50_000  # entries matched at once, whole anchors
 LAST = (1 << 63) - 1  # the order of rows without doc_id
 
 U = np.uint64
@@ -157,8 +163,9 @@ def texts(docs: DataFrame, groups: int) -> DataFrame:
     return own_columns(docs, "doc_id", "text").mapInArrow(run, "g int, sha binary, ord long, text string")
 
 
-FOUND = "bucket int, g int, grams binary, many binary"
-FLAGS = "g int, bucket int, flags binary"
+FOUND = "bucket int, g int, grams binary, many binary, counts binary"
+FLAGS = "g int, bucket int, flags binary, hot binary"
+DIGEST = 16
 AROUND = "bucket int, g int, grams binary, ords binary, places binary, bytes binary, sizes binary"
 SPANS = "g int, spans binary"
 
@@ -174,29 +181,62 @@ def _u32(a: np.ndarray) -> bytes:
     return a.astype("<u4").tobytes()
 
 
+def _counts(times: np.ndarray) -> bytes:
+    """(index, times) of those of at least FEW."""
+    at = np.flatnonzero(times >= FEW)
+    return _u32(np.stack([at, times[at]], 1))
+
+
 def _found(buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         g = Group(table, buckets)
         many, rows = g.in_many(), []
+        times = np.bincount(g.which, minlength=len(g.known))
         for b in range(buckets):
             lo, hi = g.bounds[b], g.bounds[b + 1]
             if hi > lo:
-                rows.append((b, key[0].as_py(), _u32(g.known[lo:hi] & U(0xFFFFFFFF)), np.packbits(many[lo:hi]).tobytes()))
+                rows.append((b, key[0].as_py(), _u32(g.known[lo:hi] & U(0xFFFFFFFF)), np.packbits(many[lo:hi]).tobytes(), _counts(times[lo:hi])))
         return _table(FOUND, rows)
 
     return run
 
 
-def _detect(key: tuple, table: pa.Table) -> pa.Table:
-    grams = [np.frombuffer(x, "<u4") for x in table["grams"].to_pylist()]
-    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(table["many"].to_pylist(), grams)]
-    value, flag = np.concatenate(grams), np.concatenate(many)
-    order = np.argsort(value, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
-    dup = (np.diff(np.append(first, len(value))) > 1) | (np.maximum.reduceat(flag[order], first) > 0)
-    flag[order] = np.repeat(dup, np.diff(np.append(first, len(value))))
-    parts = np.split(flag, np.cumsum([len(a) for a in grams])[:-1])
-    return _table(FLAGS, [(g, key[0].as_py(), np.packbits(p).tobytes()) for g, p in zip(table["g"].to_pylist(), parts) if p.any()])
+def _detect(hottest: int) -> Callable:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        grams = [np.frombuffer(x, "<u4") for x in table["grams"].to_pylist()]
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(table["many"].to_pylist(), grams)]
+        most = []
+        for a, counts in zip(grams, table["counts"].to_pylist()):
+            pairs = np.frombuffer(counts, "<u4").reshape(-1, 2)
+            most.append(np.full(len(a), FEW - 1, np.int64))
+            most[-1][pairs[:, 0]] = pairs[:, 1]
+        value, flag, most = np.concatenate(grams), np.concatenate(many), np.concatenate(most)
+        order = np.argsort(value, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
+        dup = (np.diff(np.append(first, len(value))) > 1) | (np.maximum.reduceat(flag[order], first) > 0)
+        flag[order] = np.repeat(dup, np.diff(np.append(first, len(value))))
+        hot = np.empty(len(value), bool)
+        hot[order] = np.repeat(dup & (np.add.reduceat(most[order], first) > hottest), np.diff(np.append(first, len(value))))
+        cuts = np.cumsum([len(a) for a in grams])[:-1]
+        rows = zip(table["g"].to_pylist(), np.split(flag, cuts), np.split(hot, cuts))
+        return _table(FLAGS, [(g, key[0].as_py(), np.packbits(p).tobytes(), _u32(np.flatnonzero(h))) for g, p, h in rows if p.any()])
+
+    return run
+
+
+def _windows(around: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[bytes]]]:
+    """Per place of the anchor in a window: entries whose window starts under a smaller order among them, the others, the place, and digests of the others' windows."""
+    for place in range(SPREAD):
+        fits = np.flatnonzero((sizes[:, 0] >= place) & (sizes[:, 1] >= WINDOW - place))
+        if not len(fits):
+            continue
+        window = np.ascontiguousarray(around[fits, LEFT - place:LEFT - place + WINDOW]).view(f"V{WINDOW}").ravel()
+        known, which = np.unique(window, return_inverse=True)
+        low = np.full(len(known), LAST, np.int64)
+        np.minimum.at(low, which, order[fits])
+        gone = order[fits] > low[which]
+        digests = [hashlib.blake2b(w.tobytes(), digest_size=DIGEST).digest() for w in known]
+        yield fits[gone], fits[~gone], place, [digests[i] for i in which[~gone]]
 
 
 def _around(buckets: int) -> Callable:
@@ -206,9 +246,10 @@ def _around(buckets: int) -> Callable:
         if not len(right):
             return _table(AROUND, [])
         g, me = Group(left, buckets), key[0].as_py()
-        dup = np.zeros(len(g.known), bool)
-        for b, flags in zip(right["bucket"].to_pylist(), right["flags"].to_pylist()):
+        dup, hot = np.zeros(len(g.known), bool), np.zeros(len(g.known), bool)
+        for b, flags, often in zip(*(right[c].to_pylist() for c in ("bucket", "flags", "hot"))):
             lo, hi = g.bounds[b], g.bounds[b + 1]
+            hot[lo + np.frombuffer(often, "<u4").astype(np.int64)] = True
             dup[lo:hi] = np.unpackbits(np.frombuffer(flags, np.uint8), count=hi - lo)
         mine = np.flatnonzero(dup[g.which])
         at, owner, which = g.at[mine], g.owner[mine], g.which[mine]
@@ -231,7 +272,10 @@ def _around(buckets: int) -> Callable:
         if len(inside):
             spans = np.stack([owner[inside], place[inside] - before[inside], place[inside] + after[inside]], 1)
             rows.append((buckets + me % buckets, me, None, None, _u32(spans), None, None))
-        send = np.flatnonzero(~local)
+        often = np.flatnonzero(~local & hot[which])
+        if len(often):
+            rows += _spread(buckets, me, often, around, sizes, order, owner, place)
+        send = np.flatnonzero(~local & ~hot[which])
         send = send[np.argsort(which[send], kind="stable")]
         cuts = np.searchsorted(which[send], g.bounds)
         for b in range(buckets):
@@ -244,6 +288,32 @@ def _around(buckets: int) -> Callable:
     return run
 
 
+def _spread(buckets: int, me: int, often: np.ndarray, around: np.ndarray, sizes: np.ndarray, order: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple]:
+    """AROUND rows of hot anchors: spans settled here, and each other window with its digest (in `bytes`), by digest; its span's start is in `places`."""
+    settled, rows, parts = [], [], [[], [], []]
+    for gone, rest, p, digests in _windows(around[often], sizes[often].astype(np.int64), order[often]):
+        gone, rest = often[gone], often[rest]
+        settled.append(np.stack([owner[gone], place[gone] - p, place[gone] - p + WINDOW], 1))
+        for part, more in zip(parts, (np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST), order[rest], np.stack([owner[rest], place[rest] - p], 1))):
+            part.append(more)
+    if not settled:
+        return rows
+    spans = np.concatenate(settled)
+    if len(spans):
+        rows.append((buckets + me % buckets, me, None, None, _u32(spans), None, None))
+    digest, orders, starts = map(np.concatenate, parts)
+    once = np.unique(starts[:, 0] << 32 | starts[:, 1], return_index=True)[1]  # a window is met at each of its anchors
+    digest, orders, starts = digest[once], orders[once], starts[once]
+    bucket = np.ascontiguousarray(digest[:, :8]).view("<u8").ravel() % U(buckets)
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(U))
+    for b in range(buckets):
+        s = by[cuts[b]:cuts[b + 1]]
+        if len(s):
+            rows.append((b, me, None, orders[s].astype("<i8").tobytes(), _u32(starts[s]), digest[s].tobytes(), None))
+    return rows
+
+
 class Suffixes:
     """Rows of bytes (each to its own size) and their prefix polynomial hashes."""
 
@@ -362,26 +432,55 @@ def repeated(grams: np.ndarray, orders: np.ndarray, around: np.ndarray, sizes: n
 
 def _match(buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        groups, places = table["g"].to_pylist(), table["places"].to_pylist()
         if key[0].as_py() >= buckets:  # settled inside their group
-            return _table(SPANS, list(zip(groups, places)))
-        join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        grams = join("grams", "<u4")
-        least, most = repeated(grams, join("ords", "<i8"), join("bytes", np.uint8).reshape(-1, LEFT + WINDOW), join("sizes", np.uint8).reshape(-1, 2))
-        place = join("places", "<u4").astype(np.int64).reshape(-1, 2)
-        spans = np.stack([place[:, 0], place[:, 1] - most, place[:, 1] - least + WINDOW], 1)
-        rows, at = [], 0
-        for g, p in zip(groups, places):
-            to = at + len(p) // 8
-            hit = most[at:to] >= 0
-            if hit.any():
-                rows.append((g, _u32(spans[at:to][hit])))
-            at = to
-        return _table(SPANS, rows)
+            return _table(SPANS, list(zip(table["g"].to_pylist(), table["places"].to_pylist())))
+        hot = pc.is_null(table["grams"])
+        return _table(SPANS, _match_entries(table.filter(pc.invert(hot))) + _match_windows(table.filter(hot)))
 
     return run
 
 
+def _join(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
+def _per_group(table: pa.Table, hit: np.ndarray, spans: np.ndarray) -> list[tuple]:
+    rows, at = [], 0
+    for g, p in zip(table["g"].to_pylist(), table["places"].to_pylist()):
+        to = at + len(p) // 8
+        if hit[at:to].any():
+            rows.append((g, _u32(spans[at:to][hit[at:to]])))
+        at = to
+    return rows
+
+
+def _match_entries(table: pa.Table) -> list[tuple]:
+    if not len(table):
+        return []
+    grams, orders = _join(table, "grams", "<u4"), _join(table, "ords", "<i8")
+    around, sizes = _join(table, "bytes", np.uint8).reshape(-1, LEFT + WINDOW), _join(table, "sizes", np.uint8).reshape(-1, 2)
+    by = np.argsort(grams, kind="stable")
+    ends = np.append(np.flatnonzero(grams[by][1:] != grams[by][:-1]) + 1, len(by))
+    least, most, at = np.empty(len(by), np.int64), np.empty(len(by), np.int64), 0
+    while at < len(by):
+        to = max(ends[np.searchsorted(ends, at, "right")], ends[max(0, np.searchsorted(ends, at + SLICE, "right") - 1)])
+        s = by[at:to]
+        least[s], most[s] = repeated(grams[s], orders[s], around[s], sizes[s])
+        at = to
+    place = _join(table, "places", "<u4").astype(np.int64).reshape(-1, 2)
+    return _per_group(table, most >= 0, np.stack([place[:, 0], place[:, 1] - most, place[:, 1] - least + WINDOW], 1))
+
+
+def _match_windows(table: pa.Table) -> list[tuple]:
+    if not len(table):
+        return []
+    orders, place = _join(table, "ords", "<i8"), _join(table, "places", "<u4").astype(np.int64).reshape(-1, 2)
+    known, which = np.unique(_join(table, "bytes", f"V{DIGEST}"), return_inverse=True)
+    low = np.full(len(known), LAST, np.int64)
+    np.minimum.at(low, which, orders)
+    return _per_group(table, orders > low[which], np.stack([place[:, 0], place[:, 1], place[:, 1] + WINDOW], 1))
+
+
 def _merged(spans: np.ndarray, length: int) -> np.ndarray:
     """Maximal runs (start, end) covered by spans of one text."""
     edge = np.zeros(length + 1, np.int64)
@@ -417,13 +516,16 @@ def _apply(with_text: bool) -> Callable:
     return run
 
 
+def _entries(t: DataFrame, buckets: int) -> DataFrame:
+    flags = t.groupBy("g").applyInArrow(_found(buckets), FOUND).groupBy("bucket").applyInArrow(_detect(HOT), FLAGS)
+    return t.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(_around(buckets), AROUND)
+
+
 def _per_text(docs: DataFrame, total: int, with_text: bool) -> DataFrame:
     """What is left of each distinct text in its document with the least order."""
     groups, buckets = max(1, total // GROUP_BYTES), max(4, total // BUCKET_BYTES)
     t = texts(docs, groups)
-    flags = t.groupBy("g").applyInArrow(_found(buckets), FOUND).groupBy("bucket").applyInArrow(_detect, FLAGS)
-    around = t.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(_around(buckets), AROUND)
-    spans = around.groupBy("bucket").applyInArrow(_match(buckets), SPANS)
+    spans = _entries(t, buckets).groupBy("bucket").applyInArrow(_match(buckets), SPANS)
     return t.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_apply(with_text), RESULT + ", kept string" * with_text)
 
 
