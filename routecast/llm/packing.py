@@ -22,11 +22,11 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Little-endian ids of whole texts by a byte-level BPE file, without special tokens.
+    """Little-endian ids of whole texts by a byte-level BPE file as it is, without added special tokens; literals of special tokens in a text become their ids.
 
     `ranks` may name the same vocabulary as a rank file with its split `pattern`; texts of characters below
     U+0530 (Latin, Greek, Cyrillic and their marks, whose classes are the same in every Unicode version) are then encoded by the faster reader of
-    such files, which gives the same ids, and only others by the file itself.
+    such files, which gives the same ids. Others, and texts that may hold a literal of an added token, are encoded by the file itself.
     """
 
     other = re.compile("[^\\x00-\u052f]")
@@ -35,8 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.fast = None
+        self.fast, self.added = None, re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or "(?!)")
         if ranks:
             import tiktoken
 
@@ -45,7 +44,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is not None and not self.other.search(text):
+        if self.fast is not None and not self.other.search(text) and not self.added.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
