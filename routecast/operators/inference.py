@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb, exp, lgamma, log, log1p
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routecast.operators.agreement import cells, weighted_kappa
-from routecast.operators.scenarios import uniforms
+from routecast.operators.agreement import cells
 
 
 def _kappa(w: np.ndarray) -> np.ndarray:
@@ -23,17 +23,13 @@ def _kappa(w: np.ndarray) -> np.ndarray:
         return np.where(e > 0, (e - n * o) / e, np.nan)
 
 
-def bootstrap_kappa(c: DataFrame, replicates: int, seed: int, levels: int = 6, per_task: int = 500) -> DataFrame:
-    """Kappa of cells (a, b, n) with a two-sided and a one-sided 95 % BCa interval and the standard error.
+def _bca(spark: SparkSession, table: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], replicates: int, seed: int, per_task: int, bounds: dict[str, float]) -> DataFrame:
+    """One row for a table of counts: value, the BCa bounds named in `bounds` (null where not finite), se and replicates.
 
     Rows of one cell are exchangeable, so a resample is a multinomial draw of cell counts, and the jackknife has one value per
     cell, weighted by its count. Draws are made in blocks of `per_task` replicates, each from its own seeded stream.
     """
-    table = np.zeros((levels, levels))
-    for r in c.collect():  # at most levels squared cells
-        table[r.a, r.b] = r.n
     n = int(table.sum())
-    spark = c.sparkSession
     blocks = spark.range(0, (replicates + per_task - 1) // per_task, 1, max(1, min(64, replicates // per_task)))
 
     def draw(batches):
@@ -41,16 +37,18 @@ def bootstrap_kappa(c: DataFrame, replicates: int, seed: int, levels: int = 6, p
         for b in batches:
             for block in b["id"]:
                 size = min(per_task, replicates - block * per_task)
-                t = np.random.default_rng([seed, int(block)]).multinomial(n, share, size).reshape(size, levels, levels)
-                yield pd.DataFrame({"value": _kappa(t.astype(float))})
+                t = np.random.default_rng([seed, int(block)]).multinomial(n, share, size).reshape(size, *table.shape)
+                yield pd.DataFrame({"value": statistic(t.astype(float))})
 
     draws = blocks.mapInPandas(draw, "value double").where(~F.isnan("value")).persist()
-    value = float(_kappa(table))
+    value = float(statistic(table))
     below = draws.agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("value") < value) + F.count_if(F.col("value") == value) / 2).alias("below"), F.stddev_samp("value").alias("se")).first()
-    left = [(float(_kappa(table - (np.arange(levels * levels).reshape(levels, levels) == i * levels + j))), table[i, j]) for i in range(levels) for j in range(levels) if table[i, j] > 0]
-    v, w = np.array([x for x, _ in left]), np.array([x for _, x in left])
-    dev = (v * w).sum() / w.sum() - v if len(left) else np.zeros(0)
-    spread = (w * dev**2).sum() ** 1.5 if len(left) else 0.0
+    some = np.argwhere(table > 0)
+    left = np.repeat(table[None], len(some), 0)
+    left[(np.arange(len(some)), *some.T)] -= 1
+    v, w = statistic(left), table[table > 0]
+    dev = (v * w).sum() / w.sum() - v if len(some) else np.zeros(0)
+    spread = (w * dev**2).sum() ** 1.5 if len(some) else 0.0
     a = float((w * dev**3).sum() / (6 * spread)) if spread else 0.0
     z0 = NormalDist().inv_cdf(min(max(below.below / below.n, 1e-12), 1 - 1e-12)) if below.n else 0.0
 
@@ -58,27 +56,32 @@ def bootstrap_kappa(c: DataFrame, replicates: int, seed: int, levels: int = 6, p
         z = z0 + NormalDist().inv_cdf(p)
         return NormalDist().cdf(z0 + z / (1 - a * z))
 
-    q = draws.agg(*[F.percentile("value", F.lit(place(p))).alias(name) for p, name in ((0.025, "low"), (0.975, "high"), (0.05, "one_sided_low"))])
-    out = q.select(F.lit(n).alias("n"), F.lit(value).alias("kappa"), "low", "high", "one_sided_low", F.lit(below.se).alias("se"), F.lit(below.n).alias("replicates"))
-    return out
+    whole = bool(np.isfinite(value) and np.isfinite(a))
+    q = draws.agg(*[(F.percentile("value", F.lit(place(p))) if whole else F.lit(None).cast("double")).alias(name) for name, p in bounds.items()])
+    return q.select(F.lit(n).alias("n"), F.lit(value).alias("value"), *bounds, F.lit(below.se).cast("double").alias("se"), F.lit(below.n).alias("replicates"))
 
 
-def paired_difference(triples: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """The difference of two kappas on the same items (truth, one, two): value, percentile interval and SE over cell resamples.
+def bootstrap_kappa(c: DataFrame, replicates: int, seed: int, levels: int = 6, per_task: int = 500, floor: float = 0.5) -> DataFrame:
+    """Kappa of cells (a, b, n) with a two-sided and both one-sided 95 % BCa bounds, the standard error, and whether the upper bound is below the adequacy floor."""
+    table = np.zeros((levels, levels))
+    for r in c.collect():  # at most levels squared cells
+        table[r.a, r.b] = r.n
+    out = _bca(c.sparkSession, table, _kappa, replicates, seed, per_task, {"low": 0.025, "high": 0.975, "one_sided_low": 0.05, "one_sided_high": 0.95})
+    return out.withColumnRenamed("value", "kappa").withColumns({"floor": F.lit(float(floor)), "below_floor": F.col("one_sided_high") < floor})
 
-    Triples are reduced to at most 216 cells; Poisson weights per (replicate, cell) come from a seeded hash, so any partitioning gives the same.
-    """
-    c = triples.groupBy("truth", "one", "two").agg(F.count(F.lit(1)).alias("n"))
-    rep = c.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    # a Poisson(n) weight by its normal form: n + sqrt(n) z, z from two seeded uniforms, never below 0
-    u = [F.greatest(uniforms(seed + i, F.col("rep"), F.col("truth"), F.col("one"), F.col("two")), F.lit(1e-12)) for i in range(2)]
-    z = F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * np.pi * u[1])
-    w = rep.withColumn("w", F.greatest(F.bround(F.col("n") + F.sqrt("n") * z, 0), F.lit(0.0)).cast("long"))
-    k = lambda df, said, group: weighted_kappa(df.groupBy(*group, F.col("truth").alias("a"), F.col(said).alias("b")).agg(F.sum("w").alias("n")), group).select(*group, F.col("kappa").alias(said))
-    d = k(w, "one", ["rep"]).join(k(w, "two", ["rep"]), "rep").select((F.col("one") - F.col("two")).alias("d"))
-    own = c.withColumn("w", F.col("n"))
-    value = k(own, "one", []).crossJoin(k(own, "two", [])).select((F.col("one") - F.col("two")).alias("difference"))  # one row each
-    return value.crossJoin(d.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.stddev_samp("d").alias("se"), F.count("d").alias("replicates")))
+
+def _kappa_difference(w: np.ndarray) -> np.ndarray:
+    """Kappa of the first less that of the second, of stacks of (truth, one, two) tables."""
+    return _kappa(w.sum(-1)) - _kappa(w.sum(-2))
+
+
+def paired_difference(triples: DataFrame, replicates: int, seed: int, levels: int = 6, per_task: int = 500) -> DataFrame:
+    """The difference of two kappas on the same items (truth, one, two): value, two-sided 95 % BCa interval and SE over resamples of at most 216 cells."""
+    table = np.zeros((levels, levels, levels))
+    for r in triples.select("truth", "one", "two").dropna().groupBy("truth", "one", "two").agg(F.count(F.lit(1)).alias("n")).collect():  # at most levels cubed cells
+        table[r.truth, r.one, r.two] = r.n
+    out = _bca(triples.sparkSession, table, _kappa_difference, replicates, seed, per_task, {"low": 0.025, "high": 0.975})
+    return out.select(F.col("value").alias("difference"), "low", "high", "se", "replicates")
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:

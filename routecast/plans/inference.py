@@ -15,7 +15,7 @@ from routecast.registry import query
 def bootstrap_kappa(spark: SparkSession, d: str) -> DataFrame:
     """M21; a resampling result, tested for coverage and against a plain loop."""
     f = forecasts(spark, d).select(truth_level(F.col("correct_count"), F.col("k")).alias("t"), probability_level(F.col("probability")).alias("s"))
-    return I.bootstrap_kappa(I.cells(f, "t", "s"), 2000, 20260728)
+    return I.bootstrap_kappa(I.cells(f, "t", "s"), 10_000, 20260728)
 
 
 @query("paired_kappa_difference")
@@ -23,7 +23,7 @@ def paired_kappa_difference(spark: SparkSession, d: str) -> DataFrame:
     """M21 for two forecasters on the same items."""
     f = forecasts(spark, d)
     t = f.select(truth_level(F.col("correct_count"), F.col("k")).alias("truth"), probability_level(F.col("probability")).alias("one"), probability_level(probability(53)).alias("two"))
-    return I.paired_difference(t, 500, 11)
+    return I.paired_difference(t, 10_000, 11)
 
 
 @query("ols_hc3", over("participants", """, m AS (SELECT count(*) AS n, avg(age) AS mx, avg(outcome) AS my, sum(age * age) - count(*) * avg(age) * avg(age) AS sxx FROM participants),
