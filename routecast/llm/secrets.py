@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,16 +23,19 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
-# A text that matches none of these has no span of any kind.
+# A text that does not match this has no fixed span.
 MAYBE_BASE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{32}"
-MAYBE_PAIR = r"[A-Za-z0-9_$.+/\-\"'\]][ \t]*(?::=|=>|[:=])[ \t]*[\"'A-Za-z0-9_$.+/(-]"
 
 # Name parts that make a target sensitive, and how much each says.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9,
     "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 0.9, "signingkey": 0.9, "encryptionkey": 0.9, "bearer": 0.8,
 }
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|your.*|example.*|change_?me.*|placeholder.*|todo|none|null|true|false|undefined|redacted|insert.*|dummy.*)$|^[<{$%].*")
+# A literal is found only in a text with an operator and the letters of a sensitive name, between which there is no other ASCII letter or digit.
+MAYBE_PAIR = "|".join("[^A-Za-z0-9]*".join(f"(?i:{c})" for c in name) for name in SENSITIVE)
+PLACEHOLDER = re.compile(r"(?i)(?:your|example|change_?me|placeholder|insert|dummy)|(?:todo|none|null|true|false|undefined|redacted)$|[<{$%]")
+FILLERS = ({"x", "X"}, {"*"}, {"."}, {"-"})  # a literal of these only says nothing
+HEAD = 32  # characters of a literal that tell placeholders
 
 # A closing quote has no letter or digit after it; an apostrophe within a word closes nothing.
 _QUOTED = r"(?:\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+')(?![A-Za-z0-9_])"
@@ -66,26 +70,64 @@ def _unquote(text: str, start: int) -> tuple[str, int, int]:
     return text[1:-1], start + 1, start + len(text) - 1
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of assignments, with constants propagated.
+class Value:
+    """A constant: its length, characters and first characters, and the literals (start, end) or constants that it is joined from.
+
+    Joins keep references to their parts, so `a = a + a` costs one node a line however long its value grows.
+    """
+
+    __slots__ = ("n", "counts", "head", "parts")
+
+    def __init__(self, n: int, counts: Counter, head: str, parts: list):
+        self.n, self.counts, self.head, self.parts = n, counts, head, parts
+
+    @classmethod
+    def literal(cls, text: str, start: int = 0, end: int = 0) -> Value:
+        return cls(len(text), Counter(text), text[:HEAD], [(start, end)])
+
+    @classmethod
+    def joined(cls, values: list[Value]) -> Value:
+        if len(values) == 1:
+            return values[0]
+        counts, head = Counter(), ""
+        for v in values:
+            counts.update(v.counts)
+            head = (head + v.head)[:HEAD]
+        return cls(sum(v.n for v in values), counts, head, values)
+
+
+def places(values: list[Value]) -> set[tuple[int, int]]:
+    """The literals that the values are made of; each constant is looked into once."""
+    out, seen, left = set(), set(), list(values)
+    while left:
+        v = left.pop()
+        if isinstance(v, tuple):
+            out.add(v)
+        elif id(v) not in seen:
+            seen.add(id(v))
+            left += v.parts
+    return out
+
+
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """(name, value) of assignments, with constants propagated.
 
     Understands `name = "x"`, `name := x`, `"name": "x"`, `name => "x"`, joins by `+`, and names bound earlier in the
-    same text. A name that takes a constant yields the pair (name, constant) at the place of the literal. A
-    joined value yields each of its literals' places under the whole value. A comment mark ends a value, not the
+    same text. A name that takes a constant yields the pair (name, constant), whose literal stays at its place. A comment mark ends a value, not the
     scan, and what stands between quotes or in a bare value is searched for assignments of its own.
     """
-    return _pairs(text, True)
+    return _pairs(text, 0, True)
 
 
-def _pairs(text: str, whole: bool) -> list[tuple[str, str, int, int]]:
-    bound: dict[str, list[tuple[str, int, int]]] = {}
+def _pairs(text: str, shift: int, whole: bool) -> list[tuple[str, Value]]:
+    bound: dict[str, Value] = {}
     found = []
     for at_line, group in groupby(lex(text, whole), lambda t: t[0] in ("line", "mark")):
         tokens = [] if at_line else list(group)
         for kind, value, start, _ in tokens:
             if kind in ("string", "bare") and OPERATOR.search(value):
                 inner, start, _ = _unquote(value, start) if kind == "string" else (value, start, 0)
-                found += [(n, v, s + start, e + start) for n, v, s, e in _pairs(inner, kind == "string")]
+                found += _pairs(inner, shift + start, kind == "string")
         i = 0
         while i + 2 <= len(tokens) - 1:
             target, op = tokens[i], tokens[i + 1]
@@ -94,15 +136,14 @@ def _pairs(text: str, whole: bool) -> list[tuple[str, str, int, int]]:
                 continue
             name = _unquote(target[1], target[2])[0] if target[0] == "string" else target[1]
             i += 2
-            parts: list[tuple[str, int, int]] = []
+            parts: list[Value] = []
             while i < len(tokens):
                 kind, value, start, end = tokens[i]
-                if kind == "string":
-                    parts.append(_unquote(value, start))
-                elif kind == "word" and value in bound:
-                    parts += bound[value]
-                elif kind in ("word", "bare") and not (i + 1 < len(tokens) and tokens[i + 1][0] == "op"):
-                    parts.append((value, start, end))
+                if kind == "word" and value in bound:
+                    parts.append(bound[value])
+                elif kind == "string" or kind in ("word", "bare") and not (i + 1 < len(tokens) and tokens[i + 1][0] == "op"):
+                    value, start, end = _unquote(value, start) if kind == "string" else (value, start, end)
+                    parts.append(Value.literal(value, shift + start, shift + end))
                 else:
                     break
                 i += 1
@@ -111,23 +152,25 @@ def _pairs(text: str, whole: bool) -> list[tuple[str, str, int, int]]:
                     continue
                 break
             if parts:
-                bound[name] = parts
-                whole = "".join(p[0] for p in parts)
-                found += [(name, whole, start, end) for _, start, end in parts]
+                bound[name] = Value.joined(parts)
+                found.append((name, bound[name]))
     return found
 
 
-def score(name: str, literal: str) -> float:
-    """0 to 1: how likely `literal` is a secret, from the target's name and the literal's characters."""
+def sensitivity(name: str) -> float:
     split = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()
     parts = [p for p in re.split(r"[^a-z0-9]+", split) if p]
     joined = [a + b for a, b in zip(parts, parts[1:])]
-    weight = max((SENSITIVE.get(p, 0.0) for p in parts + joined), default=0.0)
-    if not weight or len(literal) < 8 or PLACEHOLDER.match(literal) or " " in literal:
+    return max((SENSITIVE.get(p, 0.0) for p in parts + joined), default=0.0)
+
+
+def score(name: str, literal: str | Value) -> float:
+    """0 to 1: how likely `literal` is a secret, from the target's name and the literal's characters."""
+    weight, v = sensitivity(name), literal if isinstance(literal, Value) else Value.literal(literal)
+    if not weight or v.n < 8 or PLACEHOLDER.match(v.head) or any(v.counts.keys() <= f for f in FILLERS) or " " in v.counts:
         return 0.0
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    entropy = -sum(c / v.n * math.log2(c / v.n) for c in v.counts.values())
+    classes = sum(any(map(f, v.counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     return weight * min(1.0, entropy / 3.0) * (1.0 if classes >= 2 else 0.6)
 
 
@@ -146,9 +189,10 @@ def spans_of(text: str, threshold: float = 0.7, base: bool = True, paired: bool
     """
     out = base_spans(text) if base else []
     if paired:
-        taken = [(s, e) for s, _, e in out]
-        more = {(s, 3, e) for name, literal, s, e in pairs(text) if e > s and score(name, literal) >= threshold and not any(a <= s and e <= b for a, b in taken)}
-        out = sorted(out + list(more))
+        starts, reach = [s for s, _, _ in out], list(accumulate((e for _, _, e in out), max))
+        likely = places([v for name, v in pairs(text) if score(name, v) >= threshold])
+        more = [(s, 3, e) for s, e in likely if e > s and not ((i := bisect_right(starts, s)) and reach[i - 1] >= e)]
+        out = sorted(out + more)
     return out
 
 
@@ -159,7 +203,7 @@ def _digest(spans: list[tuple[int, int, int]]) -> str:
 def _each(batch: pa.RecordBatch, threshold: float) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
     texts = batch.column(batch.schema.get_field_index("text"))
     base = pc.fill_null(pc.match_substring_regex(texts, MAYBE_BASE), False).to_pylist()
-    paired = pc.fill_null(pc.match_substring_regex(texts, MAYBE_PAIR), False).to_pylist()
+    paired = pc.fill_null(pc.and_(pc.match_substring_regex(texts, "[:=]"), pc.match_substring_regex(texts, MAYBE_PAIR)), False).to_pylist()
     for text, b, p in zip(texts, base, paired):
         text = (text.as_py() or "") if b or p else ""
         yield text, spans_of(text, threshold, b, p) if b or p else []
@@ -220,4 +264,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = 0.7) -> D
 
 
 def op9_secrets(docs: DataFrame) -> DataFrame:
+    """`scan` of all documents with the threshold 0.7; null and empty texts have no span, repeated rows keep a row each."""
     return scan(docs)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,7 +67,46 @@ def test_pairs_and_constants():
     assert literals('a = "Zx81-hun"\nb = a + "ter-22"\nprivateKey = b') == ["Zx81-hun", "ter-22"]
     assert literals('pwd = "changeme"\npwd = "${DB_PWD}"\npwd == "Zx81-hunter-22"') == []
     assert literals("the pwd: of it was : nothing in particular") == []
-    assert literals('# pwd = "Zx81-hunter-22"') == []
+    assert literals('# pwd = "Zx81-hunter-22"') == ["Zx81-hunter-22"]  # a comment hides nothing
+
+
+PARTS = ["pass", "word", "pwd", "Token", "api", "Key", "_", "-", ".", " ", "\n", "=", ":", ":=", "=>", '"', "'", "+", "#", "//", "(", "é", "K", "a", "b2", "Zx81-hunter-22", "q8Xz72LmPw", "AKIA" + "A1" * 8, "0f" * 16, "\\", "x"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), min_size=1, max_size=4))
+def test_prefilters_lose_nothing(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert [found for _, found in secrets._each(batch, 0.7)] == [secrets.spans_of(t) for t in texts]
+
+
+def test_names_beside_digits():
+    assert literals('password_1 = "Xk29vQ81mzPq"') == ["Xk29vQ81mzPq"]
+    assert literals('secret_v2: "Zk3mQ9vLp0aS"') == ["Zk3mQ9vLp0aS"]
+    assert literals('"client_secret_2": "Zk3mQ9vLp0aS"') == ["Zk3mQ9vLp0aS"]
+
+
+def test_joins_cost_a_node_each():
+    """A thousand doublings and a thousand steps of a chain; each literal is reported once."""
+    assert literals('a = "s"\n' + "a = a + a\n" * 1000 + "db_pwd = a\n") == []
+    chain = 'a = "Zx81"\n' + 'a = a + "-hunter"\n' * 1000 + "db_pwd = a\n"
+    assert len(literals(chain)) == 1001
+
+
+def test_long_texts_with_many_fixed_spans():
+    text = "".join(f'db_pwd_{i} = "q8Xz72LmPw{i}" token=abcdefgh{i}\n' for i in range(5000))
+    got = secrets.spans_of(text)
+    assert sum(k == 3 for _, k, _ in got) == sum(k == 0 for _, k, _ in got) == 5000
+
+
+def test_planted_literals(documents, make_docs):
+    """Literals planted in real texts, a third of which are copies of one text, are found where they stand."""
+    texts = [r.text or "" for r in documents.collect()]
+    planted = [t[:len(t) // 2] + f'\nclientPwd := "q8Xz72Lm{i}Pw"\n' + t[len(t) // 2:] for i, t in enumerate(texts)] + [texts[0] + "\nbearer: Zx81-hunter-22"] * 80
+    got = {r.doc_id: r.spans for r in secrets.op9_secrets(make_docs(list(enumerate(planted)))).collect()}
+    for i, t in enumerate(planted):
+        name = f"q8Xz72Lm{i}Pw" if i < len(texts) else "Zx81-hunter-22"
+        assert f"literal:{t.index(name)}:{t.index(name) + len(name)}" in got[i].split(",")
 
 
 def test_redact(make_docs, odd_rows):
