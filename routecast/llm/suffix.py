@@ -39,7 +39,7 @@ SPREAD = WINDOW - GRAM + 1
 LEFT = WINDOW - GRAM  # bytes kept before an anchor; WINDOW bytes are kept from its start
 GROUP_BYTES = 4 << 20  # text in a group of documents
 BUCKET_BYTES = 16 << 20  # text whose anchors share a bucket
-BLOCK_BYTES = 1 << 20  # text hashed at once
+BLOCK_BYTES = (1 << 20) - 64  # text hashed at once
 HOT = 20_000  # entries of an anchor that one task takes
 FEW = 8  # occurrences in a group from which they are counted
 SLICE = 50_000  # entries matched at once, whole anchors
@@ -87,19 +87,32 @@ def _slide(a: np.ndarray, width: int, f: Callable) -> np.ndarray:
     return f(m[:n - width + 1], m[width - s:width - s + n - width + 1])
 
 
-def anchors(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the anchors of texts of the given lengths that lie end to end in `x`."""
+def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the anchors of texts that lie end to end in `x`; `ends` is the end of its text for each byte."""
     if len(x) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, U)
     h = gram_hashes(x, GRAM)
     least = _slide(h, SPREAD, np.minimum)
-    ends = np.repeat(np.cumsum(lengths), lengths)[:len(least)]
-    least[np.arange(WINDOW, len(least) + WINDOW) > ends] = 0
+    least[np.arange(WINDOW, len(least) + WINDOW) > ends[:len(least)]] = 0
     most = _slide(np.concatenate([np.zeros(LEFT, U), least, np.zeros(LEFT, U)]), SPREAD, np.maximum)
     at = np.flatnonzero((most == h) & (most > 0))
     return at, h[at]
 
 
+def _blocks(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`anchors` of all texts, found BLOCK_BYTES at a time; every window lies in one block whole, so long texts may be cut."""
+    at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for lo in range(0, len(x), BLOCK_BYTES):
+        hi = min(len(x), lo + BLOCK_BYTES + WINDOW - 1)
+        i, j = np.searchsorted(ends, [lo, hi - 1], "right")
+        here = ends[i:j + 1]
+        a, h = anchors(x[lo:hi], np.repeat(here - lo, np.diff(np.minimum(here, hi), prepend=lo)))
+        at.append(a + lo)
+        hashes.append(h)
+    at, first = np.unique(np.concatenate(at), return_index=True)
+    return at, np.concatenate(hashes)[first]
+
+
 class Group:
     """The distinct texts of a group, by digest, with their least order and their anchors."""
 
@@ -118,20 +131,14 @@ class Group:
         self.buffer = np.frombuffer(b"".join(self.texts), np.uint8)
         if not find:
             return
-        at, hashes, i = [], [], 0
-        while i < len(self.texts):
-            j = i + max(1, int(np.searchsorted(np.cumsum(self.length[i:i + 4096]), BLOCK_BYTES)))
-            lo, hi = self.start[i], self.start[j] if j < len(self.texts) else len(self.buffer)
-            a, h = anchors(self.buffer[lo:hi], self.length[i:j])
-            at.append(a + lo)
-            hashes.append(h)
-            i = j
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, U)
-        self.owner = np.searchsorted(self.start + self.length, self.at, "right")
-        self.key = (h >> U(32)) % U(buckets) << U(32) | h & U(0xFFFFFFFF)  # bucket and 32 bits more
-        self.known, self.which = np.unique(self.key, return_inverse=True)
-        self.bounds = np.searchsorted(self.known, np.arange(buckets + 1, dtype=np.uint64) << U(32))
+        ends = self.start + self.length
+        self.at, h = _blocks(self.buffer, ends)
+        self.owner = np.searchsorted(ends, self.at, "right")
+        self.known, self.which = np.unique((h >> U(32)) % U(buckets) << U(32) | h & U(0xFFFFFFFF), return_inverse=True)  # bucket and 32 bits more
+
+    def runs(self) -> Iterator[tuple[int, int, int]]:
+        """(bucket, from, to) of the known anchors of each bucket that has any."""
+        return _runs(self.known >> U(32))
 
     def in_many(self) -> np.ndarray:
         """Whether each known anchor is in two texts or more of this group."""
@@ -177,6 +184,22 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=list(names))
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run of equal values."""
+    edges = np.append(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])), len(values)) if len(values) else np.zeros(1, np.int64)
+    return zip(values[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist())
+
+
+def _slices(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of pieces of sorted values: at most SLICE of them, or all equal."""
+    ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)) if len(values) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(values):
+        to = int(max(ends[np.searchsorted(ends, at, "right")], ends[max(0, np.searchsorted(ends, at + SLICE, "right") - 1)]))
+        yield at, to
+        at = to
+
+
 def _u32(a: np.ndarray) -> bytes:
     return a.astype("<u4").tobytes()
 
@@ -192,10 +215,8 @@ def _found(buckets: int) -> Callable:
         g = Group(table, buckets)
         many, rows = g.in_many(), []
         times = np.bincount(g.which, minlength=len(g.known))
-        for b in range(buckets):
-            lo, hi = g.bounds[b], g.bounds[b + 1]
-            if hi > lo:
-                rows.append((b, key[0].as_py(), _u32(g.known[lo:hi] & U(0xFFFFFFFF)), np.packbits(many[lo:hi]).tobytes(), _counts(times[lo:hi])))
+        for b, lo, hi in g.runs():
+            rows.append((b, key[0].as_py(), _u32(g.known[lo:hi] & U(0xFFFFFFFF)), np.packbits(many[lo:hi]).tobytes(), _counts(times[lo:hi])))
         return _table(FOUND, rows)
 
     return run
@@ -239,78 +260,101 @@ def _windows(around: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> Iterat
         yield fits[gone], fits[~gone], place, [digests[i] for i in which[~gone]]
 
 
-def _around(buckets: int) -> Callable:
-    weights = np.random.default_rng(5).integers(1 << 63, size=LEFT + WINDOW + 2, dtype=np.int64).astype(U) * U(2) + U(1)
+def _surroundings(g: Group, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes around anchors (zero beyond their text) and how many there are before and from the anchor."""
+    at, owner = g.at[mine], g.owner[mine]
+    place = at - g.start[owner]
+    before, after = np.minimum(LEFT, place), np.minimum(WINDOW, g.length[owner] - place)
+    around = np.lib.stride_tricks.sliding_window_view(g.padded, LEFT + WINDOW)[at]
+    for edge, cut_off in ((np.flatnonzero(before < LEFT), lambda i: np.arange(LEFT + WINDOW) < LEFT - before[i, None]),
+                          (np.flatnonzero(after < WINDOW), lambda i: np.arange(LEFT + WINDOW) >= LEFT + after[i, None])):
+        for i in range(0, len(edge), SLICE):
+            some = edge[i:i + SLICE]
+            around[some] *= ~cut_off(some)
+    return around, np.stack([before, after], 1).astype(np.uint8)
+
+
+def _standing(around: np.ndarray, sizes: np.ndarray, which: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether an entry has the same anchor and surroundings as one under a smaller order, which stands for it."""
+    words = np.zeros((len(around), 80), np.uint8)
+    words[:, :LEFT + WINDOW], words[:, LEFT + WINDOW:LEFT + WINDOW + 2] = around, sizes
+    words = words.view(U)
+    same = which.astype(U)
+    for column in range(words.shape[1]):
+        same = (same ^ words[:, column]) * U(0x9E3779B97F4A7C15)
+        same ^= same >> U(29)
+    by = np.lexsort((order, same))
+    first = np.concatenate([[True], same[by][1:] != same[by][:-1]])
+    stands = np.empty(len(by), np.int64)
+    stands[by] = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+    return (order > order[stands]) & (which == which[stands]) & (words == words[stands]).all(1)
+
 
+def _around(buckets: int) -> Callable:
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(right):
             return _table(AROUND, [])
         g, me = Group(left, buckets), key[0].as_py()
+        g.padded = np.concatenate([np.zeros(LEFT, np.uint8), g.buffer, np.zeros(WINDOW, np.uint8)])
         dup, hot = np.zeros(len(g.known), bool), np.zeros(len(g.known), bool)
         for b, flags, often in zip(*(right[c].to_pylist() for c in ("bucket", "flags", "hot"))):
-            lo, hi = g.bounds[b], g.bounds[b + 1]
+            lo, hi = np.searchsorted(g.known, np.array([b << 32, b + 1 << 32], U))
             hot[lo + np.frombuffer(often, "<u4").astype(np.int64)] = True
             dup[lo:hi] = np.unpackbits(np.frombuffer(flags, np.uint8), count=hi - lo)
         mine = np.flatnonzero(dup[g.which])
-        at, owner, which = g.at[mine], g.owner[mine], g.which[mine]
-        place, order = at - g.start[owner], g.order[owner]
-        before, after = np.minimum(LEFT, place), np.minimum(WINDOW, g.length[owner] - place)
-        offset = np.arange(-LEFT, WINDOW)
-        around = g.buffer[np.clip(at[:, None] + offset, 0, len(g.buffer) - 1)]
-        around[(offset < -before[:, None]) | (offset >= after[:, None])] = 0
-        sizes = np.stack([before, after], 1).astype(np.uint8)
-        # members of one class have the same anchor and surroundings; the least order stands for the class
-        same = np.einsum("ij,j->i", np.concatenate([around, sizes], 1).astype(U), weights) ^ which.astype(U) * U(0x9E3779B97F4A7C15)
-        by = np.lexsort((order, same))
-        first = np.concatenate([[True], same[by][1:] != same[by][:-1]])
-        stands = np.empty(len(by), np.int64)
-        stands[by] = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
-        equal = (which == which[stands]) & (around == around[stands]).all(1) & (sizes == sizes[stands]).all(1)
-        local = equal & (order > order[stands])
-        rows = []
-        inside = np.flatnonzero(local & (before + after >= WINDOW))
-        if len(inside):
-            spans = np.stack([owner[inside], place[inside] - before[inside], place[inside] + after[inside]], 1)
-            rows.append((buckets + me % buckets, me, None, None, _u32(spans), None, None))
-        often = np.flatnonzero(~local & hot[which])
-        if len(often):
-            rows += _spread(buckets, me, often, around, sizes, order, owner, place)
-        send = np.flatnonzero(~local & ~hot[which])
-        send = send[np.argsort(which[send], kind="stable")]
-        cuts = np.searchsorted(which[send], g.bounds)
-        for b in range(buckets):
-            s = send[cuts[b]:cuts[b + 1]]
-            if len(s):
-                rows.append((b, me, _u32(g.known[which[s]] & U(0xFFFFFFFF)), order[s].astype("<i8").tobytes(),
-                             _u32(np.stack([owner[s], place[s]], 1)), around[s].tobytes(), sizes[s].tobytes()))
+        mine = mine[np.argsort(g.which[mine], kind="stable")]
+        rows: list[tuple] = []
+        for a, z in _slices(g.which[mine]):  # anchors do not depend on each other
+            rows += _send(g, me, buckets, hot, mine[a:z])
         return _table(AROUND, rows)
 
     return run
 
 
-def _spread(buckets: int, me: int, often: np.ndarray, around: np.ndarray, sizes: np.ndarray, order: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple]:
+def _settled(buckets: int, me: int, spans: np.ndarray) -> list[tuple]:
+    return [(buckets + me % buckets, me, None, None, _u32(spans), None, None)] if len(spans) else []
+
+
+def _send(g: Group, me: int, buckets: int, hot: np.ndarray, mine: np.ndarray) -> list[tuple]:
+    """AROUND rows of the anchors `mine`, which are in the order of their buckets."""
+    owner, which = g.owner[mine], g.which[mine]
+    place, order = g.at[mine] - g.start[owner], g.order[owner]
+    around, sizes = _surroundings(g, mine)
+    local = _standing(around, sizes, which, order)
+    before, after = sizes[:, 0].astype(np.int64), sizes[:, 1].astype(np.int64)
+    inside = np.flatnonzero(local & (before + after >= WINDOW))
+    rows = _settled(buckets, me, np.stack([owner[inside], place[inside] - before[inside], place[inside] + after[inside]], 1))
+    often = np.flatnonzero(~local & hot[which])
+    if len(often):
+        rows += _spread(buckets, me, around[often], sizes[often].astype(np.int64), order[often], owner[often], place[often])
+    send = np.flatnonzero(~local & ~hot[which])
+    key = g.known[which[send]]
+    for b, lo, hi in _runs(key >> U(32)):
+        s = send[lo:hi]
+        rows.append((b, me, _u32(key[lo:hi] & U(0xFFFFFFFF)), order[s].astype("<i8").tobytes(),
+                     _u32(np.stack([owner[s], place[s]], 1)), around[s].tobytes(), sizes[s].tobytes()))
+    return rows
+
+
+def _spread(buckets: int, me: int, around: np.ndarray, sizes: np.ndarray, order: np.ndarray, owner: np.ndarray, place: np.ndarray) -> list[tuple]:
     """AROUND rows of hot anchors: spans settled here, and each other window with its digest (in `bytes`), by digest; its span's start is in `places`."""
-    settled, rows, parts = [], [], [[], [], []]
-    for gone, rest, p, digests in _windows(around[often], sizes[often].astype(np.int64), order[often]):
-        gone, rest = often[gone], often[rest]
-        settled.append(np.stack([owner[gone], place[gone] - p, place[gone] - p + WINDOW], 1))
+    least, most, parts = np.full(len(order), WINDOW), np.full(len(order), -1), [[], [], []]
+    for gone, rest, p, digests in _windows(around, sizes, order):
+        least[gone], most[gone] = np.minimum(least[gone], p), p  # windows around one anchor overlap, so their union is one span
         for part, more in zip(parts, (np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST), order[rest], np.stack([owner[rest], place[rest] - p], 1))):
             part.append(more)
-    if not settled:
+    gone = np.flatnonzero(most >= 0)
+    rows = _settled(buckets, me, np.stack([owner[gone], place[gone] - most[gone], place[gone] - least[gone] + WINDOW], 1))
+    if not parts[0]:
         return rows
-    spans = np.concatenate(settled)
-    if len(spans):
-        rows.append((buckets + me % buckets, me, None, None, _u32(spans), None, None))
     digest, orders, starts = map(np.concatenate, parts)
     once = np.unique(starts[:, 0] << 32 | starts[:, 1], return_index=True)[1]  # a window is met at each of its anchors
     digest, orders, starts = digest[once], orders[once], starts[once]
     bucket = np.ascontiguousarray(digest[:, :8]).view("<u8").ravel() % U(buckets)
     by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(U))
-    for b in range(buckets):
-        s = by[cuts[b]:cuts[b + 1]]
-        if len(s):
-            rows.append((b, me, None, orders[s].astype("<i8").tobytes(), _u32(starts[s]), digest[s].tobytes(), None))
+    for b, lo, hi in _runs(bucket[by]):
+        s = by[lo:hi]
+        rows.append((b, me, None, orders[s].astype("<i8").tobytes(), _u32(starts[s]), digest[s].tobytes(), None))
     return rows
 
 
@@ -441,7 +485,14 @@ def _match(buckets: int) -> Callable:
 
 
 def _join(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    """The bytes of all rows of a column without nulls, end to end; rows of one chunk are not copied one by one."""
+    parts = []
+    for chunk in table[name].chunks:
+        if len(chunk):
+            _, edges, data = chunk.buffers()
+            edges = np.frombuffer(edges, np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(data, np.uint8)[edges[0]:edges[-1]] if data is not None else np.zeros(0, np.uint8))
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).view(kind)
 
 
 def _per_group(table: pa.Table, hit: np.ndarray, spans: np.ndarray) -> list[tuple]:
@@ -460,13 +511,10 @@ def _match_entries(table: pa.Table) -> list[tuple]:
     grams, orders = _join(table, "grams", "<u4"), _join(table, "ords", "<i8")
     around, sizes = _join(table, "bytes", np.uint8).reshape(-1, LEFT + WINDOW), _join(table, "sizes", np.uint8).reshape(-1, 2)
     by = np.argsort(grams, kind="stable")
-    ends = np.append(np.flatnonzero(grams[by][1:] != grams[by][:-1]) + 1, len(by))
-    least, most, at = np.empty(len(by), np.int64), np.empty(len(by), np.int64), 0
-    while at < len(by):
-        to = max(ends[np.searchsorted(ends, at, "right")], ends[max(0, np.searchsorted(ends, at + SLICE, "right") - 1)])
+    least, most = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    for at, to in _slices(grams[by]):
         s = by[at:to]
         least[s], most[s] = repeated(grams[s], orders[s], around[s], sizes[s])
-        at = to
     place = _join(table, "places", "<u4").astype(np.int64).reshape(-1, 2)
     return _per_group(table, most >= 0, np.stack([place[:, 0], place[:, 1] - most, place[:, 1] - least + WINDOW], 1))
 
@@ -579,4 +627,5 @@ def strip(docs: DataFrame) -> DataFrame:
 
 
 def op2_suffix_dedup(docs: DataFrame) -> DataFrame:
+    """`dedup` of all documents; null and empty texts lose nothing and each repeated row keeps its row."""
     return dedup(docs)
