@@ -1,14 +1,12 @@
 """Tool-call linking for chat logs (operator 6), in DataFrame functions only.
 
-Calls and results are joined by (conversation, call identifier), calls are ordered topologically by the calls they refer to,
+Calls and results are joined by (conversation, call identifier), calls are ordered topologically by the one call they may refer to,
 arguments are validated against schemas, and each linked call is written as canonical JSON: keys sorted, no
 spaces, which is how Spark prints a parsed variant.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,20 +43,21 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.when(F.col("role") == "user", "assistant").otherwise("tool").alias("role"), F.when(F.col("role") == "user", call).otherwise(result).alias("text"))
 
 
-def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls (conv_id, id, turn, name, arguments, n_calls) and results (conv_id, id, result_turn, content, n_results).
+def calls_and_results(messages: DataFrame) -> DataFrame:
+    """One row per (conv_id, id): turn, name, arguments and n_calls of its call, result_turn, content and n_results of its result; null and 0 where there is none.
 
     Of several calls or results with one identifier the first by turn counts, and `n_*` tells how many there were. Texts that are
-    not such JSON, and entries without an identifier, give nothing.
+    not such JSON, and entries without an identifier, give nothing. Calls meet results in one aggregate, combined before its shuffle.
     """
-    m = own_columns(messages, "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", F.from_json("text", MESSAGE).alias("m"))
-    calls = m.where("role = 'assistant'").select("conv_id", "turn", F.posexplode("m.tool_calls").alias("at", "c")).where("c.id is not null")
-    calls = calls.groupBy("conv_id", F.col("c.id").alias("id")).agg(
-        F.min(F.struct("turn", "at", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"))).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    results = m.where("role = 'tool' and m.tool_call_id is not null").groupBy("conv_id", F.col("m.tool_call_id").alias("id")).agg(
-        F.min(F.struct("turn", F.col("m.content").alias("content"))).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    return (calls.select("conv_id", "id", "c.turn", "c.name", "c.arguments", "n_calls"),
-            results.select("conv_id", "id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results"))
+    m = own_columns(messages, "conv_id", "turn", "role", "text").where("role in ('assistant', 'tool')").select("conv_id", "turn", "role", F.from_json("text", MESSAGE).alias("m"))
+    called = F.transform("m.tool_calls", lambda c, i: F.struct(
+        c["id"].alias("id"), F.struct(F.col("turn"), i.alias("at"), c["name"].alias("name"), c["arguments"].alias("arguments")).alias("c"), F.lit(None).cast("struct<turn: bigint, content: string>").alias("r")))
+    answered = F.array(F.struct(F.col("m.tool_call_id").alias("id"), F.lit(None).cast("struct<turn: bigint, at: int, name: string, arguments: string>").alias("c"),
+                                F.struct(F.col("turn"), F.col("m.content").alias("content")).alias("r")))
+    rows = m.select("conv_id", F.explode(F.when(F.col("role") == "assistant", called).otherwise(answered)).alias("e")).where("e.id is not null")
+    both = rows.groupBy("conv_id", F.col("e.id").alias("id")).agg(
+        F.min("e.c").alias("c"), F.count("e.c").alias("n_calls"), F.min("e.r").alias("r"), F.count("e.r").alias("n_results"))
+    return both.select("conv_id", "id", "c.turn", "c.name", "c.arguments", "n_calls", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
 
 
 def _meet(left: DataFrame, right: DataFrame, how: str, on: str = "id", by: str = "id") -> DataFrame:
@@ -68,23 +67,22 @@ def _meet(left: DataFrame, right: DataFrame, how: str, on: str = "id", by: str =
     return left.join(right, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col(on) == F.col("_id")), how)
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(conv_id, id, level): the length of the longest chain of references below each call; null in and above a cycle.
+def levels(edges: DataFrame) -> DataFrame:
+    """(conv_id, id, level) of each call that refers to another: the length of the chain of references below it; null in and above a cycle.
 
-    `edges` (conv_id, id, needs) link existing nodes. Each round takes the calls that wait for nothing, in all conversations at once,
-    so there are as many rounds as the longest chain has calls.
+    `edges` (conv_id, id, needs) has one row per referring call and links existing calls. Pointers double: each round, a call looks
+    past its target to the target's own target, so a chain of n calls takes log2(n) rounds. A round that brings no further call
+    to the end of its chain leaves only cycles.
     """
-    left, waits, out = nodes.select("conv_id", "id"), cut(edges.select("conv_id", "id", "needs").distinct()), []
-    for level in range(most_rounds):
-        ready = cut(_meet(left, waits.select("conv_id", "id"), "left_anti"))
-        if ready.isEmpty():
-            break
-        out.append(ready.withColumn("level", F.lit(level)))
-        left = cut(_meet(left, ready, "left_anti"))
-        waits = cut(_meet(waits, ready, "left_anti", on="needs"))
-        if left.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, out, left.withColumn("level", F.lit(None).cast("int")))
+    p = edges.select("conv_id", "id", F.col("needs").alias("to"), F.lit(1).alias("dist"))
+    done = -1
+    while True:
+        over = p.select("conv_id", "id", F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+        p = cut(_meet(p, over, "left", on="to").select(
+            "conv_id", "id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_id").isNull().alias("ended")))
+        before, done = done, p.where("ended").count()
+        if done == before or p.where("not ended").isEmpty():
+            return p.select("conv_id", "id", F.when(F.col("ended"), F.col("dist")).alias("level"))
 
 
 def _kind(v: Column) -> Column:
@@ -116,26 +114,22 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     empty if valid) and json. A null conv_id is a conversation of its own. A reference to a missing call
     is the fault `reference` and does not delay; calls in or above a cycle have a null level. An empty log gives no row.
     """
-    calls, results = calls_and_results(messages)
-    calls = cut(calls.withColumn("needs", F.try_variant_get(F.try_parse_json("arguments"), f"$.{REFERENCE}", "string")))
-    known = calls.select("conv_id", "id")
-    edges = cut(_meet(calls.where("needs is not null").select("conv_id", "id", "needs"), known, "left_semi", on="needs"))
-    order = levels(calls, edges)
-    both = _meet(calls, results, "full_outer").select(
-        F.coalesce("conv_id", "_conv").alias("conv_id"), F.coalesce("id", "_id").alias("id"), "turn", "name", "arguments",
-        "needs", "n_calls", "result_turn", "content", "n_results")
-    both = _meet(both, order, "left").drop("_conv", "_id")
-    met = _meet(both, edges.withColumnRenamed("needs", "found"), "left")
+    both = cut(calls_and_results(messages).withColumn("needs", F.try_variant_get(F.try_parse_json("arguments"), f"$.{REFERENCE}", "string")))
+    known = both.where("n_calls > 0").select("conv_id", "id")
+    edges = cut(_meet(both.where("needs is not null").select("conv_id", "id", "needs"), known, "left_semi", on="needs"))
+    met = _meet(both, levels(edges), "left")
     v = F.try_parse_json("arguments")
-    faults = F.concat(violations(F.col("name"), v, schemas), F.when(F.col("needs").isNotNull() & F.col("found").isNull(), F.array(F.lit("reference"))).otherwise(F.array().cast("array<string>")))
-    called = F.col("n_calls").isNotNull()
+    faults = F.concat(violations(F.col("name"), v, schemas), F.when(F.col("needs").isNotNull() & F.col("_id").isNull(), F.array(F.lit("reference"))).otherwise(F.array().cast("array<string>")))
+    called = F.col("n_calls") > 0
+    level = F.when(called, F.when(F.col("_id").isNull(), 0).otherwise(F.col("level")))
     text = F.to_json(F.struct(v.alias("arguments"), F.col("id"), F.col("name"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
-    status = F.when(~called, "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
-    return met.select("conv_id", "turn", F.col("id").alias("call_id"), "name", "result_turn", status.alias("status"), "level",
+    status = F.when(~called, "orphan").when(F.col("n_results") == 0, "unanswered").otherwise("linked")
+    return met.select("conv_id", "turn", F.col("id").alias("call_id"), "name", "result_turn", status.alias("status"), level.alias("level"),
                       F.when(called, F.array_join(F.array_sort(faults), ",")).alias("errors"), F.when(called, text).alias("json"))
 
 
 def op6_tool_calls(conversations: DataFrame) -> DataFrame:
+    """`link` of the tool log that `tool_messages` makes of all conversations; null and empty texts are null and empty arguments or results."""
     return link(tool_messages(conversations))
 
 

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from routecast.llm import chat
 
 LOG = "conv_id long, turn long, role string, text string"
@@ -51,3 +53,31 @@ def test_long_chain(spark):
     text = call(*[(f"c{i}", "search", {"query": "x", **({"after": f"c{i - 1}"} if i else {})}) for i in range(6)])
     got = {r.call_id: r.level for r in chat.link(spark.createDataFrame([(1, 0, "assistant", text)], LOG)).collect()}
     assert got == {f"c{i}": i for i in range(6)}
+
+
+def test_chain_of_thousands_and_a_cycle(spark, monkeypatch):
+    """One conversation holds most rows: a chain of 5,000 calls, a cycle with a call above it, a call that needs itself, and 500 calls of one target."""
+    ring = [("x", "y"), ("y", "z"), ("z", "x"), ("above", "x"), ("self", "self")]
+    calls = [("c0", None), *[(f"c{i}", f"c{i - 1}") for i in range(1, 5000)], *ring, *[(f"w{i}", "c0") for i in range(500)]]
+    rows = [(1, n, "assistant", call((i, "search", {"query": "q", **({"after": a} if a else {})}))) for n, (i, a) in enumerate(calls)]
+    rows += [(2, 0, "assistant", call(("c0", "search", {"query": "q"})))]
+    cuts = []
+    plain = chat.cut
+    monkeypatch.setattr(chat, "cut", lambda df: cuts.append(1) or plain(df))
+    got = {(r.conv_id, r.call_id): r.level for r in chat.link(spark.createDataFrame(rows, LOG)).collect()}
+    assert len(cuts) < 20
+    want = {(1, i): int(i[1:]) if i[0] == "c" else 1 if i[0] == "w" else None for i, _ in calls}
+    assert got == want | {(2, "c0"): 0}
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "x" * 2_000_000
+    rows = [(1, 0, "assistant", call(("a", "search", {"query": long, "after": "zz"}))), (1, 1, "tool", result("a", long)), (1, 2, "tool", result("a", long)), (1, 3, "tool", "")]
+    df = spark.createDataFrame(rows, LOG)
+    for name in ("id", "level", "needs", "_id", "_conv", "to", "dist", "name", "c"):
+        df = df.withColumn(name, df.turn)
+    got = chat.link(df).collect()
+    assert [(r.call_id, r.status, r.level, r.errors) for r in got] == [("a", "linked", 0, "reference")]
+    assert json.loads(got[0].json)["result"] == long
+    talk = spark.createDataFrame([(None, 0, "user", None), (1, 0, "user", ""), (1, 1, "assistant", long), (1, 2, "user", "q"), (1, None, "user", "q")], LOG).withColumn("m", F.lit(1))
+    assert {(r.conv_id, r.call_id): r.status for r in chat.op6_tool_calls(talk).collect()} == {(None, "c0"): "unanswered", (1, "c0"): "linked", (1, "c2"): "unanswered"}
