@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, own_columns
+from .common import cut, own_columns, written
 
 #: Tool name to parameter to (kind, required); kinds are string, integer, number, boolean, array and object.
 SCHEMAS = {
@@ -78,7 +78,7 @@ def levels(edges: DataFrame) -> DataFrame:
     done = -1
     while True:
         over = p.select("conv_id", "id", F.col("to").alias("_to"), F.col("dist").alias("_dist"))
-        p = cut(_meet(p, over, "left", on="to").select(
+        p = written(_meet(p, over, "left", on="to").select(
             "conv_id", "id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_id").isNull().alias("ended")))
         before, done = done, p.where("ended").count()
         if done == before or p.where("not ended").isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one of our own only where none is set."""
+    """The checkpoint folder of the session. Where none is set, one of our own on a single machine; on a cluster that is an error."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have is None:
-        have = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
+        have = spark.conf.get("spark.checkpoint.dir", None)
+        if have is None and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        have = have or tempfile.mkdtemp(prefix="spark-ckpt-")
         sc.setCheckpointDir(have)
     return have
 
@@ -32,11 +36,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like `cut`, by a Parquet table in the shared folder: for loops, because a checkpoint keeps the constraints of its plan, which multiply from round to round."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the caller cannot clash with working ones."""
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, salts: int = 8) -> DataFrame:
+    """Inner join on `key`, unique in the narrow frame `one`, with the rows of each key of `many` dealt over `salts` tasks."""
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in many.columns], F.monotonically_increasing_id()), F.lit(salts)).cast("int")).join(copies, [key, "_salt"]).drop("_salt")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; `lower` does the same on plain ASCII and is cheaper there."""
     upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 
-def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
+def _to_roots(up: DataFrame) -> DataFrame:
+    """(`node`, `up`) with `up` moved to the end of its chain; each step doubles what a pointer spans."""
+    while True:
+        over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        up = written(up.join(over, "up").select("node", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved")))
+        if up.where("moved").isEmpty():
+            return up.select("node", "up")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(`node`, `root`): the least node reachable, for every node of `links` (`a`, `b`, any order, no nulls).
 
-    Each round every node hooks on its least neighbour, roots of that forest are followed one step, and the links are rewritten between
-    the parents; links inside a parent vanish, so the table shrinks with every round. Nothing but counts
-    reaches the driver. An empty link table gives an empty result.
+    In each round every node chooses its least neighbour. Such choices can only circle between two nodes, the lesser of which
+    becomes a root; chains are followed to their roots by doubling, and the links are rewritten between
+    roots. Every node of a round joins another, so the nodes at least halve: log2 rounds of log2 steps, whatever the shape. Nothing but
+    emptiness reaches the driver. An empty link table gives an empty result.
     """
-    links = cut(links.select("a", "b").where("a <> b").distinct())
-    names = None
-    for _ in range(most_rounds):
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("up"))
-        up = cut(up)
-        over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
-        up = up.join(over, "up").select("node", F.col("over").alias("up"))
+    links, names = written(links.select("a", "b").where("a <> b").distinct()), None
+    while names is None or not links.isEmpty():
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("up")).union(links.select("b", "a"))
+        chosen = written(both.groupBy("node").agg(F.min("up").alias("up")))
+        back = chosen.select(F.col("node").alias("up"), F.col("up").alias("back"))
+        up = chosen.join(back, "up").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up"))
+        up = _to_roots(up)
         if names is None:
-            names = up.select("node", F.col("up").alias("root"))
+            names = up.withColumnRenamed("up", "root")
         else:
-            step = up.select(F.col("node").alias("root"), "up")
-            names = names.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        names = cut(names)
-        ends = links.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(
-            up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
-        ends = ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        links = cut(ends)
-        if links.isEmpty():
-            return names
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+            names = written(names.join(up.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        ends = links.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
+        links = written(ends.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+    least = names.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("least"))
+    return names.join(least, "root").select("node", F.col("least").alias("root"))

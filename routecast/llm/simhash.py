@@ -8,6 +8,7 @@ hash aggregation combines them where the text was read. A lane holds 2^31 votes,
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import combinations
 from math import pi
@@ -15,7 +16,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, own_columns, words_of
+from .common import cut, lower_ascii, own_columns, salted_join, words_of
 from .components import components
 
 LANES = 0x100000001
@@ -131,35 +132,39 @@ def near_classes(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     roots = components(ball_links(classes.select("fingerprint"), radius))
     classes = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
         classes["fingerprint"], "first", F.coalesce("root", classes["fingerprint"]).alias("root"))
+    classes = cut(classes)
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = cut(classes.join(least, "root").select("fingerprint", "component_id"))
-    return prints.join(member, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    member = cut(salted_join(classes, least, "root").select("fingerprint", "component_id"))
+    return salted_join(prints, member, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def next_text(docs: DataFrame, rows_per_bucket: int = 512, most_buckets: int = 100_000) -> DataFrame:
+def next_text(docs: DataFrame, rows_per_bucket: int = 512, most_buckets: int = 32_768) -> DataFrame:
     """Each document beside its follower in descending doc_id order (after the last comes the first).
 
     Returns `_b`, `_r` (bucket and place in it, together unique), `_halo`, doc_id, text and `next`, still
-    partitioned by `_b`. Buckets are equal ranges of doc_id, about `rows_per_bucket` rows each. The first row of
-    the bucket that follows is copied in as a halo row, so the text is shuffled once and no window spans
-    the table. Equal doc_ids are ordered by text, null doc_ids come last, a null text counts as empty.
+    partitioned by `_b`. Buckets are quantiles of the order, so outlying, clustered or null ids do no harm: a range partitioning
+    of the narrow keys (doc_id and 64 characters of the text) gives each bucket's least key, at most `most_buckets` of them, and
+    rows find their bucket by these. The first row of a bucket is copied into the one before as a halo row, so the text is shuffled once and no
+    window spans the table. Equal doc_ids are ordered by text, null doc_ids come last, a null text counts as empty. Rows that share
+    doc_id and their first 64 characters share a bucket.
     """
     d = own_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    n, low, high = d.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    buckets = max(1, min(most_buckets, n // rows_per_bucket))
-    wide = (high - low + 1 if high is not None else 1) / buckets
-    b = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(float(wide))).cast("int"), F.lit(-1))
-    d = d.withColumn("_b", b)
-    # at most `most_buckets` + 1 rows: the greatest doc_id of each bucket and the bucket that needs it as halo
-    tops = d.groupBy("_b").agg(F.max("doc_id").alias("_top"))
-    order = Window.orderBy("_b")
-    tops = tops.select("_top", F.col("_b").alias("_own"), F.coalesce(
-        F.lead("_b").over(order), F.first("_b").over(order)).alias("_to"))
-    same = (d["_b"] == tops["_own"]) & d["doc_id"].eqNullSafe(tops["_top"])
-    d = d.join(F.broadcast(tops), same, "left")
-    places = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("h")))).otherwise(
-        F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("h")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("h"))))
-    d = d.select("doc_id", "text", F.explode(places).alias("p")).select(
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("i"), F.substring("text", 1, 64).alias("p"))
+    buckets = max(1, min(most_buckets, d.count() // rows_per_bucket))
+    ranged = d.select(key.alias("k")).select("k.*").repartitionByRange(buckets, "n", "i", "p") if buckets > 1 else d.select(key.alias("k")).select("k.*")
+    ranged = ranged.groupBy(F.spark_partition_id()) if buckets > 1 else ranged.groupBy()
+    lows = sorted((r.k.n, r.k.i, r.k.p) for r in ranged.agg(F.min(F.struct("n", "i", "p")).alias("k")).collect() if r.k is not None)
+    if not lows:
+        return d.select(F.lit(0).alias("_b"), F.lit(0).alias("_halo"), "doc_id", "text", F.lit(0).alias("_r"), F.lit("").alias("next"))
+    wide = max(1, round(len(lows) ** 0.5))
+    named = [{"n": n, "i": i, "p": p} for n, i, p in lows]
+    blocks = F.from_json(F.lit(json.dumps([named[i:i + wide] for i in range(0, len(lows), wide)])), "array<array<struct<n: boolean, i: bigint, p: string>>>")
+    d = d.withColumn("_k", key).withColumn("_c", F.size(F.filter(blocks, lambda block: block[0] <= F.col("_k"))) - 1)
+    d = d.withColumn("_block", F.get(blocks, F.col("_c"))).withColumn("_f", F.size(F.filter("_block", lambda low: low <= F.col("_k"))) - 1)
+    b, first = F.col("_c") * wide + F.col("_f"), F.get("_block", F.col("_f")) == F.col("_k")
+    own = F.struct(b.cast("int").alias("b"), F.lit(0).alias("h"))
+    halo = F.struct(F.pmod(b - 1, F.lit(len(lows))).cast("int").alias("b"), F.lit(1).alias("h"))
+    d = d.select("doc_id", "text", F.explode(F.when(first, F.array(own, halo)).otherwise(F.array(own))).alias("p")).select(
         F.col("p.b").alias("_b"), F.col("p.h").alias("_halo"), "doc_id", "text")
     w = Window.partitionBy("_b").orderBy("_halo", F.col("doc_id").desc_nulls_last(), "text")
     return d.select("*", F.row_number().over(w).alias("_r"), F.lead("text").over(w).alias("next"))
@@ -207,4 +212,5 @@ def op1_fingerprints(docs: DataFrame, radius: int = 3, every: int = 50) -> DataF
 
 
 def op7_near_dedup(docs: DataFrame) -> DataFrame:
+    """`near_classes` of all documents at 2 bits on 3-word shingles; null and blank texts share fingerprint 0, repeated rows keep a row each."""
     return near_classes(docs, radius=2, width=3).select("doc_id", hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")

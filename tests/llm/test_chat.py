@@ -62,8 +62,9 @@ def test_chain_of_thousands_and_a_cycle(spark, monkeypatch):
     rows = [(1, n, "assistant", call((i, "search", {"query": "q", **({"after": a} if a else {})}))) for n, (i, a) in enumerate(calls)]
     rows += [(2, 0, "assistant", call(("c0", "search", {"query": "q"})))]
     cuts = []
-    plain = chat.cut
-    monkeypatch.setattr(chat, "cut", lambda df: cuts.append(1) or plain(df))
+    for name in ("cut", "written"):
+        plain = getattr(chat, name)
+        monkeypatch.setattr(chat, name, lambda df, plain=plain: cuts.append(1) or plain(df))
     got = {(r.conv_id, r.call_id): r.level for r in chat.link(spark.createDataFrame(rows, LOG)).collect()}
     assert len(cuts) < 20
     want = {(1, i): int(i[1:]) if i[0] == "c" else 1 if i[0] == "w" else None for i, _ in calls}

@@ -80,6 +80,49 @@ def test_op1_odd_rows(make_docs, odd_rows, spark):
     assert got1(make_docs([(3, "just one text here")])) == edits([(3, "just one text here")])
 
 
+def test_op1_ids_of_any_shape(documents, spark, monkeypatch):
+    """Outlying, clustered, equal and null ids and one text in a third of the rows still give small buckets."""
+    from pyspark.sql import functions as F
+
+    texts = [r.text for r in documents.orderBy("doc_id").limit(90).collect()]
+    ids = [10**15, -(2**63), 2**63 - 1, *range(30), *[5] * 20, *[None] * 7, *range(10**9, 10**9 + 30)]
+    rows = [(d, texts[i] if i % 3 else texts[0]) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_b", "_k", "n", "i", "p", "fingerprint", "next"):
+        df = df.withColumn(name, F.lit(1))
+    small = simhash.next_text
+    sizes = [r["count"] for r in small(df, rows_per_bucket=5).where("_halo = 0").groupBy("_b").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 15
+    monkeypatch.setattr(simhash, "next_text", lambda d: small(d, rows_per_bucket=5))
+    assert got1(df) == edits(rows)
+
+
+def test_components_of_long_paths(spark, monkeypatch):
+    """Paths, a star around the greatest node and a ring; the rounds stay logarithmic."""
+    import random
+
+    from routecast.llm import components as module
+
+    order = list(range(2000, 2300))
+    random.Random(4).shuffle(order)
+    links = [(i, i + 1) for i in range(400)] + [(1000 + i, 1500) for i in range(200)] + list(zip(order, order[1:])) + [(3000 + i, 3000 + (i + 1) % 64) for i in range(64)]
+    cuts, plain = [], module.written
+    monkeypatch.setattr(module, "written", lambda df: cuts.append(1) or plain(df))
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {**{i: 0 for i in range(401)}, **{1000 + i: 1000 for i in range(200)}, 1500: 1000, **{i: 2000 for i in range(2000, 2300)}, **{3000 + i: 3000 for i in range(64)}}
+    assert got == want
+    assert len(cuts) < 45
+
+
+def test_op7_hot_groups(make_docs):
+    """Most rows are copies of one text; another group chains near copies."""
+    base = " ".join(f"w{i}" for i in range(400))
+    near = [(500 + i, base.replace("w7 ", f"w7{i} ")) for i in range(30)]
+    rows = [(i, "one very common text that many rows hold") for i in range(400)] + near
+    got = sorted((tuple(r) for r in simhash.op7_near_dedup(make_docs(rows)).collect()), key=str)
+    assert got == classes(rows)
+
+
 def test_op1_near_counts(documents):
     rows = [(r.doc_id, fingerprint(r.text, str.lower)) for r in documents.collect()]
     want = {d: sum((f ^ g).bit_count() <= 3 for _, g in rows) - 1 for d, f in rows if d % 50 == 0}
