@@ -118,24 +118,29 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(distance(F.col("a"), F.col("b")) <= radius).distinct()
 
 
+def classified(docs: DataFrame, radius: int = 2, width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `keep`, fingerprint, root (the class, by its least fingerprint) and component_id; see `near_classes`."""
+    rows = own_columns(docs, "doc_id", "text", *keep).select(
+        "doc_id", *keep, F.monotonically_increasing_id().alias("_row"), lower_ascii(F.col("text")).alias("text"))
+    prints = cut(simhash(rows, ["_row", "doc_id", *keep], "text", width).select("doc_id", *keep, "fingerprint"))
+    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    roots = components(ball_links(classes.select("fingerprint"), radius))
+    classes = cut(classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
+        classes["fingerprint"], "first", F.coalesce("root", classes["fingerprint"]).alias("root")))
+    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = cut(salted_join(classes, least, "root").select("fingerprint", "root", "component_id"))
+    return salted_join(prints, member, "fingerprint").select("doc_id", *keep, "fingerprint", "root", "component_id")
+
+
 def near_classes(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (long) and component_id, the least doc_id reachable by links.
 
     Lower-cases A-Z only. Equal fingerprints form one class before any link is searched, so copies cost
     one row each. Null texts count as empty (fingerprint 0, linked like any other). Null doc_ids keep a
-    row; a component whose doc_ids are all null has component_id null. Repeated rows are kept.
+    row; a component whose doc_ids are all null has component_id null. Repeated rows are kept. A class or fingerprint that holds
+    most rows is dealt over several tasks wherever it is joined.
     """
-    rows = own_columns(docs, "doc_id", "text").select(
-        "doc_id", F.monotonically_increasing_id().alias("_row"), lower_ascii(F.col("text")).alias("text"))
-    prints = cut(simhash(rows, ["_row", "doc_id"], "text", width).select("doc_id", "fingerprint"))
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = components(ball_links(classes.select("fingerprint"), radius))
-    classes = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
-        classes["fingerprint"], "first", F.coalesce("root", classes["fingerprint"]).alias("root"))
-    classes = cut(classes)
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = cut(salted_join(classes, least, "root").select("fingerprint", "component_id"))
-    return salted_join(prints, member, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return classified(docs, radius, width).select("doc_id", "fingerprint", "component_id")
 
 
 def next_text(docs: DataFrame, rows_per_bucket: int = 512, most_buckets: int = 32_768) -> DataFrame:

@@ -80,3 +80,11 @@ def test_odd_rows(spark, make_docs, odd_rows):
     for name, _ in pipeline.STAGES:
         empty = step(spark, name, empty)
     assert empty.count() == 0
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark, make_docs):
+    """Two texts under one id are judged apart, null ids stay, and one text in most rows leaves one row."""
+    one, two, three = ("a short story about a river and a boat", "quite another text on the price of salt", "the third text is neither of them at all")
+    rows = [(7, one), (7, two), (3, two), (9, three), (9, three), (None, one), (None, one), (4, None), *[(100 + i, three) for i in range(200)]]
+    got = step(spark, "near_dedup", make_docs(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, one), (3, two), (9, three), (None, one), (None, one), (4, None)], key=str)
