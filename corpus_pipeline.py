@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all rows the stage before k
 columns of `documents`; further columns of the input are left out.
 
 * language: documents whose language is `und` (null text, no letters) go.
-* near_dedup: one document of each near-duplicate class stays, that with the smallest doc_id; repeated rows
-  become one. Rows without doc_id take part as copies of nothing and stay.
+* near_dedup: one document of each near-duplicate class stays, that with the smallest doc_id (of several texts under that id
+  the one with the least digest); repeated rows become one. Rows without doc_id are copies of nothing and all stay.
 * repeats: bytes covered by a 50-byte string that an earlier document has are cut out of the text; rows stay.
 * secrets: found secrets are replaced by a mark in the text; rows stay.
 * packing: pieces of 1024-token windows, one row each (see `routecast.llm.packing.SCHEMA`).
@@ -36,10 +36,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = own_columns(docs, *COLUMNS)
-    gone = _simhash.near_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(cut(gone), "doc_id", "left_anti").withColumn("_h", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
+    docs = own_columns(docs, *COLUMNS).withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = _simhash.classified(docs, keep=("_digest",)).where("doc_id is not null")
+    stay = cut(rows.groupBy("root").agg(F.min(F.struct("doc_id", "_digest")).alias("s")).select("s.doc_id", "s._digest"))
+    named = docs.where("doc_id is not null").join(stay, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
