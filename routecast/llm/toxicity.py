@@ -1,15 +1,14 @@
 """Toxicity by a factorization machine over hashed terms (operator 5).
 
-A text is the set of its hashed terms: words and word prefixes. Labelled rows (a bounded sample, `most_rows`) give counts of terms
-by class, which Spark sums; the terms that tell the classes apart best become the machine's inputs. The machine
-scores w0 + sum w_i + sum over pairs <v_i, v_j>, so a pair of terms can mean more than both alone.
-It is fitted on the sample's input lists; scoring is a map over all documents.
+A text is the set of its hashed terms, words and word prefixes, each in one of 2^BITS slots. The machine
+scores w0 + sum w_i + sum over pairs <v_i, v_j> over all slots of a text, so a pair of terms can mean what neither part means
+alone; no term is chosen by its own share in the classes. It is fitted on a bounded sample of labelled rows
+(`most_rows`), whose slots Spark makes; scoring is a map over all documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,148 +21,157 @@ from .common import own_columns
 from .language import fold
 
 PREFIXES = (4, 5, 6)
+BITS = 18
 
 
-def terms_of(token: str) -> list[int]:
-    """Hashed terms of a white-space token: its letters as a word, and the word's prefixes."""
+def terms_of(token: str, bits: int = BITS) -> tuple[int, ...]:
+    """Slots of a white-space token: its letters as a word, and the word's prefixes."""
     word = "".join(c for c in token if c.isalpha())
     if not word:
-        return []
+        return ()
     names = ["w:" + word, *[f"p:{word[:k]}" for k in PREFIXES if len(word) >= k]]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
+    return tuple(zlib.crc32(n.encode("utf-8", "surrogatepass")) >> 32 - bits for n in names)
 
 
 class Terms:
-    """Term sets of texts; the terms of a token are computed once. `wanted` restricts terms to the model's inputs."""
+    """Sorted slots of texts; those of a token are computed once, of at most `most` tokens at a time."""
 
-    def __init__(self, wanted: dict[int, int] | None = None, most: int = 500_000):
-        self.wanted, self.most = wanted, most
+    def __init__(self, most: int = 500_000):
+        self.most = most
         self.known: dict[str, tuple[int, ...]] = {}
-        self.plain: set[str] = set()
 
-    def __call__(self, text: str | None) -> set[int]:
-        tokens = set((text or "").lower().split()) - self.plain
+    def __call__(self, text: str | None) -> np.ndarray:
         out: set[int] = set()
-        for t in tokens:
+        for t in set((text or "").lower().split()):
             have = self.known.get(t)
             if have is None:
-                have = terms_of(t)
-                have = tuple(have if self.wanted is None else [self.wanted[x] for x in have if x in self.wanted])
-                if len(self.known) + len(self.plain) >= self.most:
+                if len(self.known) >= self.most:
                     self.known.clear()
-                    self.plain.clear()
-                if have:
-                    self.known[t] = have
-                else:
-                    self.plain.add(t)
+                have = self.known[t] = terms_of(t)
             out.update(have)
-        return out
+        return np.sort(np.fromiter(out, np.int32, len(out)))
 
 
 @dataclass(frozen=True)
 class Machine:
-    """A fitted factorization machine over `inputs` (hashed term to place)."""
+    """A fitted factorization machine: bias, a weight and a vector per slot."""
 
-    inputs: dict[int, int]
     bias: float
     linear: np.ndarray
     factors: np.ndarray
 
-    def score(self, rows: list[list[int]]) -> np.ndarray:
-        at = np.fromiter((i for r in rows for i in r), np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    def score(self, rows: list) -> np.ndarray:
+        """0 to 1 for each row, a sequence of distinct slots."""
+        at, owner = _flat(rows)
         return 1 / (1 + np.exp(-_raw(len(rows), owner, at, self.bias, self.linear, self.factors)[0]))
 
 
+def _flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    at = np.concatenate([np.asarray(r, np.int32) for r in rows]) if sizes.sum() else np.zeros(0, np.int32)
+    return at, np.repeat(np.arange(len(rows)), sizes)
+
+
 def _raw(n: int, owner: np.ndarray, at: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = np.zeros((n, factors.shape[1]))
-    np.add.at(total, owner, factors[at])
-    square = np.bincount(owner, (factors[at] ** 2).sum(1), n)
-    return bias + np.bincount(owner, linear[at], n) + 0.5 * ((total**2).sum(1) - square), total
+    v = factors[at]
+    total = np.stack([np.bincount(owner, column, n) for column in v.T], 1)
+    square = np.bincount(owner, np.einsum("ij,ij->i", v, v), n)
+    return np.clip(bias + np.bincount(owner, linear[at], n) + 0.5 * ((total**2).sum(1) - square), -30, 30), total
+
 
+def fit(rows: list, labels: np.ndarray, slots: int = 1 << BITS, rank: int = 4, epochs: int = 6, batch: int = 256, rate: float = 0.3, trust: float = 4.0, least: int = 100,
+        lift: float = 0.6, seed: int = 11) -> Machine:
+    """Logistic loss over batches of rows, several times over all; label 1 counts twice.
 
-def fit(rows: list[list[int]], labels: np.ndarray, inputs: dict[int, int], rank: int = 4, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 11) -> Machine:
-    """Logistic loss with L2 decay by Adam over all rows; labels of the rarer class weigh as much as twice their number."""
+    A weight follows the regularised leader: it stays zero until the sum of its slot's gradients, which are those of the whole machine's errors, is `trust`
+    times their root sum of squares, so thousands of rare terms cannot learn single rows by heart. The vectors, by which pairs act, have no
+    such threshold; slots met in `least` rows have one. `lift` is added to the bias for what the thresholds hold back. With labels of one class
+    only, or none, the score is constant.
+    """
+    n, positive = len(rows), float(np.sum(labels))
+    if not 0 < positive < n:
+        share = (positive + 1) / (n + 2)
+        return Machine(float(np.log(share / (1 - share))), np.zeros(slots, np.float32), np.zeros((slots, rank), np.float32))
     r = np.random.default_rng(seed)
-    k, n = max(1, len(inputs)), len(rows)
-    at = np.fromiter((i for x in rows for i in x), np.int64)
-    owner = np.repeat(np.arange(n), [len(x) for x in rows])
-    weight = np.where(labels > 0, 2.0, 1.0)
-    weight /= weight.sum()
-    rate_of = np.clip((weight * labels).sum(), 1e-3, 1 - 1e-3)
-    params = [np.array([np.log(rate_of / (1 - rate_of))]), np.zeros(k), r.normal(0, 0.01, (k, rank))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
-        raw, total = _raw(n, owner, at, params[0][0], params[1], params[2])
-        slope = weight * (1 / (1 + np.exp(-raw)) - labels)
-        pull = (total[owner] - params[2][at]) * slope[owner][:, None]
-        wide = np.zeros((k, rank))
-        np.add.at(wide, at, pull)
-        grads = [np.array([slope.sum()]), np.bincount(at, slope[owner], k) + decay * params[1] / 10, wide + decay * params[2]]
-        for p, g, a, b in zip(params, grads, first, second):
-            a += 0.1 * (g - a)
-            b += 0.001 * (g * g - b)
-            p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return Machine(inputs, float(params[0][0]), params[1], params[2])
-
-
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms: int = 512, least_z: float = 4.0) -> Machine:
-    """A machine fitted to at most `most_rows` labelled rows of `labels` (doc_id, toxic), chosen by hash of doc_id.
-
-    Labels without doc_id or toxic are left out; of several labels of one id the greatest counts. At
-    most `most_terms` terms whose shares in the two classes differ by at least `least_z` standard errors become inputs. Without labels the score is constant.
+    times = np.bincount(_flat(rows)[0], minlength=slots)
+    known = np.flatnonzero(times)
+    place = np.zeros(slots, np.int32)
+    place[known] = np.arange(len(known))
+    k, often = len(known), (times[known] >= least)[:, None]
+    weights, lead, square = np.zeros(k), np.zeros(k), np.zeros(k)
+    factors, moved = r.normal(0, 0.05, (k, rank)) * often, np.full((k, rank), 1e-6)
+    bias, drift = np.log(2 * positive / (n - positive)), 1e-6
+    for _ in range(epochs):
+        order = r.permutation(n)
+        for i in range(0, n, batch):
+            mine = order[i:i + batch]
+            at, owner = _flat([rows[j] for j in mine])
+            at = place[at]
+            raw, total = _raw(len(mine), owner, at, bias, weights, factors)
+            slope = np.where(labels[mine] > 0, 2.0, 1.0) * (1 / (1 + np.exp(-raw)) - labels[mine])
+            pull = slope[owner]
+            before, square = np.sqrt(square), square + np.bincount(at, pull * pull, k)
+            after = np.sqrt(square)
+            lead += np.bincount(at, pull, k) - (after - before) / rate * weights
+            weights = np.where(np.abs(lead) > trust * after, -lead * rate / (1 + after), 0)
+            push = (total[owner] - factors[at]) * (pull / len(mine))[:, None]
+            wide = np.stack([np.bincount(at, column, k) for column in push.T], 1) + 1e-5 * factors
+            moved += wide * wide
+            factors -= 0.02 * often * wide / np.sqrt(moved)
+            mean = slope.mean()
+            drift += mean * mean
+            bias -= 0.05 * mean / np.sqrt(drift)
+    linear, vectors = np.zeros(slots, np.float32), np.zeros((slots, rank), np.float32)
+    linear[known], vectors[known] = weights, factors
+    return Machine(float(bias + lift), linear, vectors)
+
+
+def sample_of(labels: DataFrame, most_rows: int) -> DataFrame:
+    """At most `most_rows` rows (doc_id, toxic), those with the least hashes of doc_id; of several labels of one id the greatest counts.
+
+    Labels without doc_id or toxic are left out. A hash limit thins the rows before the exact cut, so no task sorts more than about twice `most_rows`.
     """
     own = own_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
-    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    # bounded by most_rows, so it may be broadcast; the texts stay where they are until the join has thinned them
-    rows = own_columns(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(16)
+    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_h", F.xxhash64("doc_id"))
+    n = own.count()
+    if n > 2 * most_rows:
+        own = own.where(F.col("_h") < F.lit(-(1 << 63) + int(2**64 * (1.5 * most_rows / n))))
+    return own.orderBy("_h", "doc_id").limit(most_rows).select("doc_id", "toxic")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, found = Terms(), (Counter(), Counter())
-        n = [0, 0]
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[toxic > 0].update(terms(text))
-                n[toxic > 0] += 1
-        found[0][-1], found[1][-1] = n
-        ids = sorted(found[0].keys() | found[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([f[i] for i in ids], pa.int64()) for f in found]], ["term", "clean", "toxic"])
-
-    counts = rows.mapInArrow(count, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where("clean + toxic >= 5").persist()
-    sizes = counts.where("term = -1").first()
-    if sizes is None or not sizes.clean or not sizes.toxic:
-        counts.unpersist()
-        share = (sizes.toxic + 1) / (sizes.clean + sizes.toxic + 2) if sizes else 0.5
-        return Machine({}, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, 1)))
-    n, m = sizes.toxic, sizes.clean
-    pooled = (F.col("toxic") + F.col("clean") + 1) / F.lit(n + m + 2.0)
-    z = (F.col("toxic") / n - F.col("clean") / m) / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
-    best = counts.where("term >= 0").select("term", F.abs(z).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most_terms).collect()
-    counts.unpersist()
-    inputs = {r.term: i for i, r in enumerate(best)}
+
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Machine:
+    """A machine fitted to at most `most_rows` rows: labelled documents of `sample_of`, of several texts under one id that with the least hash."""
+    sample = sample_of(labels, most_rows)
+    # bounded by most_rows, so it may be broadcast; the texts stay where they are until the join has thinned them
+    rows = own_columns(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(inputs)
+        terms = Terms()
         for batch in batches:
-            found = [sorted(terms(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(batch.column(1).to_pylist(), pa.int32())], ["terms", "toxic"])
+            found = [terms(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "slots"])
 
-    got = rows.mapInArrow(lists, "terms array<int>, toxic int").orderBy(F.xxhash64("terms", "toxic"), "terms").collect()
-    return fit([r.terms for r in got], np.array([float(r.toxic > 0) for r in got]), inputs)
+    got = rows.mapInArrow(lists, "doc_id long, toxic int, slots array<int>").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min_by("slots", F.xxhash64("slots")).alias("slots")).toArrow().sort_by("doc_id")
+    return fit([s.values.to_numpy() for s in got["slots"]], np.array(got["toxic"].to_pylist()) > 0)
 
 
-def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """Columns `keep` and a score of 0 to 1 of each whole text (null: empty), one row per document, nothing shuffled."""
+def score(docs: DataFrame, machine: Machine, keep: list[str], block: int = 256) -> DataFrame:
+    """Columns `keep` and a score of 0 to 1 of each whole text (null: empty), one row per document, nothing shuffled.
+
+    The machine, 2^BITS slots of 20 bytes however large the input, is broadcast.
+    """
     plain = own_columns(docs, *keep, "text")
     schema = plain.select(*keep).withColumn("score", F.lit(0.0)).schema
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(machine.inputs)
+        terms, fitted = Terms(), shared.value
         for batch in batches:
-            rows = [sorted(terms(t.as_py())) for t in batch.column(batch.schema.get_field_index("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(machine.score(rows), pa.float64())], [*keep, "score"])
+            texts, found = batch.column(batch.schema.get_field_index("text")), [np.zeros(0)]
+            for i in range(0, len(texts), block):
+                found.append(fitted.score([terms(t.as_py()) for t in texts.slice(i, block)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(np.concatenate(found), pa.float64())], [*keep, "score"])
 
     return plain.mapInArrow(run, schema)
 

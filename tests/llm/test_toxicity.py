@@ -23,7 +23,7 @@ def test_held_out(spark):
 
 def test_score_by_hand():
     r = np.random.default_rng(0)
-    m = toxicity.Machine({i: i for i in range(6)}, 0.3, r.normal(size=6), r.normal(size=(6, 3)))
+    m = toxicity.Machine(0.3, r.normal(size=6), r.normal(size=(6, 3)))
     rows = [[], [2], [0, 3, 5]]
     for row, got in zip(rows, m.score(rows)):
         raw = 0.3 + sum(m.linear[i] for i in row) + sum(m.factors[i] @ m.factors[j] for i in row for j in row if i < j)
@@ -34,11 +34,40 @@ def test_learns_a_pair():
     """The label is set only where both terms meet, which no additive weights express with these counts."""
     rows = [[0, 1]] * 40 + [[0]] * 40 + [[1]] * 40 + [[]] * 40
     labels = np.array([1.0] * 40 + [0.0] * 40 + [0.0] * 40 + [1.0] * 40)
-    m = toxicity.fit(rows, labels, {0: 0, 1: 1}, steps=1500)
+    m = toxicity.fit(rows, labels, slots=2, epochs=1500, least=1)
     got = m.score([[0, 1], [0], [1], []])
     assert got[0] > 0.7 and got[3] > 0.7 and got[1] < 0.3 and got[2] < 0.3
 
 
+def test_a_label_that_only_a_pair_tells(spark, make_docs):
+    """Through the query: each of four words is in half of both classes; which two meet is the label. One text fills a third of the rows."""
+    r = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(3000):
+        a, b = r.integers(0, 2, 2)
+        words = [*r.choice([f"wort{k}x" for k in range(400)], 40), f"insult{'ab'[a]}", f"group{'ab'[b]}"]
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(a == b)))
+    rows += [(10_000 + i, rows[0][1]) for i in range(1500)]
+    got = toxicity.op5_toxicity(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = {i: t for i, _, t in labels}
+    held = [r for r in got if r.held_out and r.doc_id in want]
+    assert len(held) > 900 and sum(r.predicted == want[r.doc_id] for r in held) > 0.95 * len(held)
+    assert len({r.score for r in got if r.doc_id >= 10_000}) == 1
+
+
+def test_sample_is_bounded(spark, make_docs):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(4000)] * 2, "doc_id long, quality int, toxic int")
+    got = [r.doc_id for r in toxicity.sample_of(labels, 500).collect()]
+    assert len(got) == len(set(got)) == 500
+    same = {r.doc_id for r in toxicity.sample_of(labels.repartition(7), 500).collect()}
+    assert same == set(got)
+    docs = make_docs([(i % 10, f"text {i} of many") for i in range(300)])
+    machine = toxicity.learn(docs, labels)  # thirty texts to an id: one of them is learned from
+    assert np.isfinite(machine.bias)
+
+
 def test_odd_rows(make_docs, odd_rows, spark):
     df = make_docs(odd_rows).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(5))
     labels = spark.createDataFrame([(1, 1, 1), (4, 1, 0), (4, 0, 1), (None, 1, 1), (6, 1, None), (8, 0, 0)], "doc_id long, quality int, toxic int")
