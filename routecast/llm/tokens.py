@@ -2,14 +2,17 @@
 
 The model file gives a normaliser, scored pieces and byte pieces. All are compiled into one transducer:
 
-* the normaliser maps white space as the file says (a dummy space in front, blanks to the space mark);
-* every normal piece is an arc path over its characters, from the state of one last piece to that of another;
-* byte fallback: a character outside the pieces is written as its UTF-8 byte pieces.
-
-For a unigram file an arc weighs minus the piece's score and the tropical shortest path is the encoding. For a merge (BPE)
+* states and arcs: state 0 is the start; an arc reads one character and leads to the state of the characters read since; a state
+  whose characters are a piece gives that piece's id with a weight and goes back to the start;
+* the normaliser's space map is in the arcs: those that read the space mark also read a blank (the dummy space in front and the
+  squeezing of blanks, if the file asks for them, are done on the input);
+* byte fallback: a character that no piece can give goes straight back to the start and gives its UTF-8 byte pieces.
+
+Composing the machine with a text gives a lattice whose nodes are the text's places and whose arcs are the pieces read between them;
+the ids on its tropical shortest path are the encoding. For a unigram file an arc weighs minus the piece's score. For a merge (BPE)
 file the weights are 0 on legal arcs and infinite on others: after piece `a`, piece `b` is legal if merging
 the characters of `ab` gives `a` and `b` again. A sequence whose neighbours are all legal is the
-merge result and there is only one, so the shortest path through the composed lattice is exactly the library's encoding.
+merge result and there is only one, for every place of the text, so the shortest path through the composed lattice is exactly the library's encoding.
 Texts are cut where no piece crosses (before a space mark that follows another character), and the lattice of
 equal chunks is solved once per task.
 """
@@ -20,6 +23,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -75,19 +79,62 @@ class Transducer:
         self.checked: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.most_pairs = 2 * most_chunks
-        self.starts = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
-        self.pairs = {pair for p in self.id for pair in zip(p, p[1:])}
-        self.parts = _Solved(self._encode_part, "", most_chunks)
-        self.plain, self.marked = _Solved(self._encode_chunk, "", most_chunks), _Solved(self._encode_chunk, MARK, most_chunks)
+        self._compile()
+        self.pairs = {pair for p in self.id for q in {p, p.replace(MARK, " ") if self.escape else p} for pair in zip(q, q[1:])}
+        self.parts = _Solved(self._shortest, "", most_chunks)
+        self.blank = " " if self.escape else MARK  # how a space mark is written in the input
+        self.plain, self.marked = _Solved(self._encode_chunk, "", most_chunks), _Solved(self._encode_chunk, self.blank, most_chunks)
         self.raw = [b"" if i in self.silent else bytes([self.of_byte[i]]) if i in self.of_byte else (p.replace(MARK, " ") if self.escape else p).encode() for i, p in enumerate(self.pieces)]
 
+    def _compile(self) -> None:
+        """The machine: `arcs[state]` maps a character to the next state; `gives[state]` is (piece, packed ids, weight) or None."""
+        self.arcs: list[dict[str, int]] = [{}]
+        self.gives: list[tuple[str, bytes, float] | None] = [None]
+        for piece, i in self.id.items():
+            state = 0
+            for c in piece:
+                to = self.arcs[state].get(c)
+                if to is None:
+                    to = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.gives.append(None)
+                state = to
+            self.gives[state] = piece, np.array([i], "<u4").tobytes(), 0.0 if self.merge else -self.score[i]
+        if self.escape:
+            for out in self.arcs:
+                if MARK in out:
+                    out[" "] = out[MARK]
+
+    def _fallback(self, c: str) -> tuple[str, bytes, float]:
+        """The arc of a character that no piece gives; it weighs more than pieces do."""
+        ids = [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
+        return c, np.array(ids, "<u4").tobytes(), 0.0 if self.merge else 1e3
+
+    def _lattice(self, text: str, at: int) -> list[tuple[float, int, tuple[str, bytes, float]]]:
+        """Lattice arcs that leave place `at`: (weight, end, what the machine gives), shortest first."""
+        out, state, end = [], 0, at
+        for c in text[at:at + self.longest]:
+            state = self.arcs[state].get(c)
+            if state is None:
+                break
+            end += 1
+            given = self.gives[state]
+            if given is not None and (not self.merge or end == at + 1 or self._reachable(given[0])):
+                out.append((given[2], end, given))
+        if not out or out[0][1] != at + 1:
+            c = text[at]
+            given = self._fallback(MARK if c == " " and self.escape else c)
+            out.insert(0, (given[2], at + 1, given))
+        return out
+
     def normalise(self, text: str) -> str:
+        """What the machine reads: blanks squeezed and led by one more as the file says; blanks are mapped by the arcs."""
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if not text:
             return ""
         text = (" " if self.dummy else "") + text
-        return text.replace(" ", MARK) if self.escape else text
+        return text.replace(MARK, " ") if self.escape else text
 
     def _split(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes `piece`: its halves, or None for a single character."""
@@ -131,80 +178,49 @@ class Transducer:
                 # ties go to the left pair, and the touching pair is left of b's halves
                 limit, b = np.nextafter(rb, INF), halves[0]
 
-    def _path(self, chunk: str) -> list[str]:
-        """Pieces of the tropical shortest path through chunk composed with the pieces."""
-        return self._legal_path(chunk) if self.merge else self._best_path(chunk)
-
-    def _best_path(self, chunk: str) -> list[str]:
-        """Unigram file: each prefix keeps its best path's last arc (weight, start, piece)."""
-        n = len(chunk)
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")]
-        for j in range(1, n + 1):
-            arcs = []
-            for i in range(max(0, j - self.longest), j):
-                piece = chunk[i:j]
-                if piece in self.id:
-                    arcs.append((best[i][0] - self.score[self.id[piece]], i, piece))
-                elif i + 1 == j:
-                    arcs.append((best[i][0] + 1e3, i, piece))
-            best.append(min(arcs))
-        out, j = [], n
-        while j > 0:
-            _, j, piece = best[j]
-            out.append(piece)
-        return out[::-1]
-
-    def _legal_path(self, chunk: str) -> list[str]:
-        """Merge file: all complete legal paths weigh 0 and there is one, so the first that a depth-first search completes is the shortest.
-
-        The longest arc is tried first. A prefix has one legal path, so a place that was left without success is dead for good.
+    def _shortest(self, text: str) -> bytes:
+        """Packed ids on the tropical shortest path through the lattice of `text`.
+
+        Places are settled in the order of their weight. In a merge file all finite weights are equal, so the place reached last is taken first,
+        and an arc is held against the one that settled its start: no other legal arc ends there.
         """
-        n, at, path, dead = len(chunk), 0, [], set()
-        known, starts, checked = self.id, self.starts, self.checked
-        while at < n:
-            k = 1
-            while at + k < n and chunk[at:at + k + 1] in starts:
-                k += 1
-            last = path[-1] if path else ""
-            while k:
-                piece = chunk[at:at + k]
-                if (k == 1 or piece in known and self._reachable(piece)) and at + k not in dead:
-                    ok = True
-                    if last:
-                        ok = checked.get((last, piece))
-                        if ok is None:
-                            if len(checked) >= self.most_pairs:
-                                checked.clear()
-                            ok = checked[last, piece] = self.legal(last, piece)
-                    if ok:
-                        break
-                k -= 1
-            if k:
-                path.append(piece)
-                at += k
-            else:
-                dead.add(at)
-                at -= len(path.pop())
-        return path
+        n, settled, merge = len(text), {0: (0, ("", b"", 0.0))}, self.merge
+        queue = [(w, end, 0, given) for w, end, given in self._lattice(text, 0)] if n else []
+        if not merge:
+            heapify(queue)
+        while n not in settled:
+            weight, end, start, given = queue.pop() if merge else heappop(queue)
+            if end in settled or merge and start and not self._follows(settled[start][1][0], given[0]):
+                continue
+            settled[end] = start, given
+            if end < n:
+                for w, to, more in self._lattice(text, end):
+                    if to not in settled:
+                        if merge:
+                            queue.append((0.0, to, end, more))
+                        else:
+                            heappush(queue, (weight + w, to, end, more))
+        out, at = [], n
+        while at:
+            at, given = settled[at]
+            out.append(given[1])
+        return b"".join(out[::-1])
+
+    def _follows(self, a: str, b: str) -> bool:
+        ok = self.checked.get((a, b))
+        if ok is None:
+            if len(self.checked) >= self.most_pairs:
+                self.checked.clear()
+            ok = self.checked[a, b] = self.legal(a, b)
+        return ok
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Packed ids of a chunk: of its parts, cut between characters that no piece holds side by side."""
         cuts = [i for i, pair in enumerate(zip(chunk, chunk[1:]), 1) if pair not in self.pairs]
         if not cuts:
-            return self._encode_part(chunk)
+            return self._shortest(chunk)
         return b"".join([self.parts[chunk[i:j]] for i, j in zip([0, *cuts], [*cuts, len(chunk)])])
 
-    def _encode_part(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self._path(chunk):
-            if piece in self.id:
-                ids.append(self.id[piece])
-            elif self.byte:
-                ids += [self.byte[b] for b in piece.encode()]
-            else:
-                ids.append(self.unknown)
-        return np.array(ids, "<u4").tobytes()
-
     def _reachable(self, piece: str) -> bool:
         """Whether the characters of `piece` merge to the piece itself."""
         ok = self.whole.get(piece)
@@ -214,23 +230,24 @@ class Transducer:
         return ok
 
     def chunks(self, text: str) -> list[str]:
-        if self.crosses or MARK not in text:
+        mark = self.blank
+        if self.crosses or mark not in text:
             return [text] if text else []
         out, at = [], 0
-        i = text.find(MARK, 1)
+        i = text.find(mark, 1)
         while i > 0:
-            if text[i - 1] != MARK:
+            if text[i - 1] != mark:
                 out.append(text[at:i])
                 at = i
-            i = text.find(MARK, i + 1)
+            i = text.find(mark, i + 1)
         out.append(text[at:])
         return out
 
     def packed(self, text: str) -> bytes:
         """Little-endian ids of a text."""
-        text = self.normalise(text)
-        if text.startswith(MARK) and not self.crosses and MARK * 2 not in text:
-            return b"".join(map(self.marked.__getitem__, text[1:].split(MARK)))
+        text, mark = self.normalise(text), self.blank
+        if text.startswith(mark) and not self.crosses and mark * 2 not in text:
+            return b"".join(map(self.marked.__getitem__, text[1:].split(mark)))
         return b"".join(map(self.plain.__getitem__, self.chunks(text)))
 
     def encode(self, text: str) -> list[int]:
@@ -292,6 +309,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
 
 def op8_sentencepiece(docs: DataFrame) -> DataFrame:
+    """`encode` of all documents without the ids: nulls have 0 pieces and `same` null, empty texts 0 pieces, repeated rows a row each."""
     import public_tokenizers
 
     return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
