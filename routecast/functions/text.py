@@ -23,5 +23,5 @@ def normal_key(text: Column) -> Column:
 
 
 def ascii_key(text: Column) -> Column:
-    """The same key for plain ASCII texts only, without Python."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """Lower case and single spaces, without Python; the same as `normal_key` on plain ASCII texts."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))

@@ -140,7 +140,16 @@ def tau_b(c: DataFrame, group: list[str] = ()) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _upper_tail(k: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([sum(comb(int(m), i) for i in range(int(x), int(m) + 1)) / 2 ** int(m) for x, m in zip(k, n)])
+    return pd.Series([_tail(int(x), int(m)) for x, m in zip(k, n)])
+
+
+def _tail(k: int, n: int) -> float:
+    """The share of fair coin series of length n with k heads or more; each binomial coefficient is made from the one before."""
+    term, total = comb(n, k), 0
+    for i in range(k, n + 1):
+        total += term
+        term = term * (n - i) // (i + 1)
+    return total / 2**n
 
 
 def mcnemar(g: DataFrame, fp: str = "fp", fn: str = "fn") -> DataFrame:

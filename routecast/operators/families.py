@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routecast.functions.expr import identity
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the session's shared folder, or into one of our own where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+from routecast.sources.shared import written
 
 
 def text_links(df: DataFrame, key: str, text_key: str) -> DataFrame:
@@ -31,14 +22,14 @@ def families(items: DataFrame, key: str, text_keys: list[str], most_rounds: int
     then replaced by their own label's label, so long chains shorten by doubling. Ends when nothing changes.
     """
     long = items.unpivot([key], text_keys, "kind", "value").where("value is not null")
-    members = _cut(long.select(F.col(key).alias("id"), F.sha2(F.concat_ws("\x1f", "kind", "value"), 256).alias("value")).distinct())
-    labels = _cut(items.select(F.col(key).alias("id"), F.col(key).alias("family")).distinct())
+    members = written(long.select(F.col(key).alias("id"), F.sha2(F.concat_ws("\x1f", "kind", "value"), 256).alias("value")).distinct())
+    labels = written(items.select(F.col(key).alias("id"), F.col(key).alias("family")).distinct())
     for _ in range(most_rounds):
         low = members.join(labels, "id").groupBy("value").agg(F.min("family").alias("low"))
         best = members.join(low, "value").groupBy("id").agg(F.min("low").alias("low"))
         new = labels.join(best, "id", "left").select("id", "family", F.coalesce(F.least("low", "family"), F.col("family")).alias("next"))
         hop = labels.select(F.col("id").alias("next"), F.col("family").alias("over"))
-        new = _cut(new.join(hop, "next").select("id", "family", F.least("next", "over").alias("next")))
+        new = written(new.join(hop, "next").select("id", "family", F.least("next", "over").alias("next")))
         changed = new.where("next <> family").limit(1).count()
         labels = new.select("id", F.col("next").alias("family"))
         if not changed:

@@ -5,7 +5,6 @@ Random order is the order of md5(seed:stratum:key), so a draw does not depend on
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,38 +27,46 @@ def band_targets(n: int, levels: int = LEVELS) -> list[int]:
     return [n // levels + (SURPLUS.index(b) < n % levels) for b in range(levels)]
 
 
+def donor_ranks(levels: int = LEVELS) -> list[list[int]]:
+    """For each band, the rank of every other band as a donor: nearest first, then the one nearer the middle, then the lower; a band is no donor of its own."""
+    return [[sorted(range(levels), key=lambda d: (d == b, abs(d - b), abs(2 * d - levels + 1), d)).index(d) for d in range(levels)] for b in range(levels)]
+
+
 def allocation(pools: DataFrame, per_category: int, category: str = "category", level: str = "level") -> DataFrame:
-    """D3: (category, level, target, take, pool); a band's deficit goes to the nearest bands that have room, band after band.
+    """D3: (category, level, target, take, pool); what a band lacks comes from its donors by rank, as far as they have room.
 
-    The order matters, so each category's six counts are settled together; a category with too few rows gets null takes.
+    A donor gives what is left of the lack after the rooms of all better donors, held between 0 and its own room, so a band is settled for
+    all donors at once; the bands are a fold. A category whose takes do not add up gets null takes.
     """
-    targets = band_targets(per_category)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = dict(zip(pdf[level], pdf["pool"]))
-        have = [int(pool.get(b, 0)) for b in range(LEVELS)]
-        take, short = list(targets), 0
-        for b in range(LEVELS):
-            short = max(0, take[b] - have[b])
-            take[b] -= short
-            for donor in sorted(set(range(LEVELS)) - {b}, key=lambda d: (abs(d - b), abs(d - 2.5), d)):
-                move = min(short, max(0, have[donor] - take[donor]))
-                take[donor] += move
-                short -= move
-            if short:
-                break
-        enough = not short and sum(have) >= per_category
-        return pd.DataFrame({category: pdf[category].iloc[0], level: range(LEVELS), "target": targets, "take": pd.array(take if enough else [None] * LEVELS, "Int64"), "pool": have})
-
-    return pools.select(category, level, "pool").groupBy(category).applyInPandas(settle, f"{category} string, {level} int, target int, take int, pool int")
+    wide = pools.groupBy(category).agg(*[F.coalesce(F.sum(F.when(F.col(level) == b, F.col("pool"))), F.lit(0)).cast("long").alias(f"_p{b}") for b in range(LEVELS)])
+    wide = wide.withColumn("_pool", F.array(*[F.col(f"_p{b}") for b in range(LEVELS)])).drop(*[f"_p{b}" for b in range(LEVELS)])
+    targets, pool = F.array(*[F.lit(t).cast("long") for t in band_targets(per_category)]), F.col("_pool")
+    at = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    ranks = F.array(*[F.array(*[F.lit(r) for r in row]) for row in donor_ranks()])
+
+    def settled(take: Column, band: Column) -> Column:
+        lack, rank = F.greatest(F.lit(0).cast("long"), F.get(take, band) - F.get(pool, band)), F.get(ranks, band)
+        room = F.transform(at, lambda d: F.when(d == band, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.get(pool, d) - F.get(take, d))))
+        before = lambda d: F.aggregate(F.filter(at, lambda o: F.get(rank, o) < F.get(rank, d)), F.lit(0).cast("long"), lambda s, o: s + F.get(room, o))
+        return F.transform(at, lambda d: F.when(d == band, F.get(take, d) - lack).otherwise(F.get(take, d) + F.greatest(F.lit(0).cast("long"), F.least(F.get(room, d), lack - before(d)))))
+
+    take = F.aggregate(at, targets, settled)
+    whole = F.aggregate("_take", F.lit(0).cast("long"), lambda s, t: s + t) == per_category
+    done = wide.withColumn("_take", take).withColumn("_take", F.when(whole, F.col("_take")))
+    return done.select(category, F.posexplode("_pool").alias(level, "_n"), targets.alias("_t"), "_take").select(
+        category, level, F.get("_t", F.col(level)).cast("int").alias("target"), F.get("_take", F.col(level)).cast("int").alias("take"), F.col("_n").cast("int").alias("pool"))
 
 
 def stratified_draw(df: DataFrame, per_category: int, seed: int, key: str = "question_id", category: str = "category", level: str = "level") -> DataFrame:
-    """The rows drawn per (category, level) in seeded order."""
+    """The rows drawn per (category, level) in seeded order.
+
+    No band takes more than `per_category` rows, so each task keeps that many of a band before anything is shuffled.
+    """
     pools = df.groupBy(category, level).agg(F.count(F.lit(1)).alias("pool"))
     take = allocation(pools, per_category, category, level).where("take > 0").select(category, level, "take")
     w = Window.partitionBy(category, level).orderBy(draw_order(seed, category, key), key)
-    return df.withColumn("_place", F.row_number().over(w)).join(F.broadcast(take), [category, level]).where("_place <= take").drop("_place", "take")
+    first = df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= per_category)
+    return first.join(take, [category, level]).where("_place <= take").drop("_place", "take")
 
 
 def sqrt_allocation(populations: DataFrame, total: int, fixed: str = "borderline", quota: int = 50, least: int = 12) -> DataFrame:

@@ -43,35 +43,35 @@ def cost_grid(items: DataFrame, policies: list[str], rates: DataFrame, local_wh:
 
     `items` has question_id, category, correct_count, k, mean_tokens and a boolean column per policy (true: local). Scenarios:
     all_cloud, commit (local answers count as they are) and fallback (up to L local attempts, then cloud). Overhead
-    applies to every request of a policy that names one. Categories appear at multiplier 1 only. Items are first summed per
-    token number, so the grid multiplies sums and not rows.
+    applies to every request of a policy that names one. Categories appear at multiplier 1 only. Items and their token numbers are
+    summed as whole numbers per distinct (correct_count, k) before rates and attempts multiply them, so the grid grows with
+    distinct counts and not with rows; means are rounded to 9 places, which no order of summation changes.
     """
-    rate = F.col("correct_count") / F.col("k")
     m = F.explode(F.array(*[F.lit(x) for x in multipliers])).alias("multiplier")
-    base = items.select("category", rate.alias("p"), *policies, "mean_tokens", m).withColumn("tokens", scaled_tokens(F.col("mean_tokens"), F.col("multiplier")))
-    base = base.crossJoin(F.broadcast(rates.select("low", "high")))  # one row: the cloud model's rates
+    base = items.select("category", "correct_count", "k", *policies, "mean_tokens", m).withColumn("tokens", scaled_tokens(F.col("mean_tokens"), F.col("multiplier")).cast("long"))
     named = F.explode(F.array(F.struct(F.lit("all_cloud").alias("policy"), F.lit(False).alias("local"), F.lit(0.0).alias("overhead")), *[
         F.struct(F.lit(n).alias("policy"), F.col(n).alias("local"), F.lit(o).alias("overhead")) for n in policies for o in dict.fromkeys([overheads.get(n, 0.0), 0.0])])).alias("x")
-    rows = base.select("category", "p", "multiplier", "tokens", "low", "high", named).select("category", "p", "multiplier", "tokens", "low", "high", "x.*")
+    rows = base.groupBy("category", "correct_count", "k", "multiplier", *policies).agg(F.count(F.lit(1)).alias("w"), F.sum("tokens").alias("t"))
+    rows = rows.select("category", (F.col("correct_count") / F.col("k")).alias("p"), "multiplier", "w", "t", named).select("category", "p", "multiplier", "w", "t", "x.*")
+    rows = rows.crossJoin(F.broadcast(rates.select("low", "high")))  # one row: the cloud model's rates
     tries = F.explode(F.when(F.col("policy") == "all_cloud", F.array(F.struct(F.lit("all_cloud").alias("scenario"), F.lit(0).alias("attempts")))).otherwise(F.array(
         F.struct(F.lit("commit").alias("scenario"), F.lit(1).alias("attempts")), *[F.struct(F.lit("fallback").alias("scenario"), F.lit(i).alias("attempts")) for i in range(1, retries + 1)]))).alias("s")
-    # counted per distinct case before scenarios and estimates multiply the rows
-    rows = rows.groupBy("category", "p", "multiplier", "tokens", "low", "high", "policy", "local", "overhead").agg(F.count(F.lit(1)).alias("w"))
-    rows = rows.select("*", tries).select("category", "p", "multiplier", "tokens", "low", "high", "policy", "local", "overhead", "w", "s.*")
-    bound = F.explode(F.array(F.struct(F.lit("low").alias("estimate"), (F.col("tokens") * F.col("low")).alias("cloud")), F.struct(F.lit("high").alias("estimate"), (F.col("tokens") * F.col("high")).alias("cloud")))).alias("e")
-    rows = rows.select("*", bound).select("category", "p", "multiplier", "policy", "local", "overhead", "w", "scenario", "attempts", "e.*")
-    fall = F.col("scenario") == "fallback"
+    rows = rows.select("*", tries).select("category", "p", "multiplier", "policy", "local", "overhead", "w", "t", "low", "high", "s.*")
+    bound = F.explode(F.array(F.struct(F.lit("low").alias("estimate"), F.col("low").alias("rate")), F.struct(F.lit("high").alias("estimate"), F.col("high").alias("rate")))).alias("e")
+    rows = rows.select("*", bound).select("category", "p", "multiplier", "policy", "local", "overhead", "w", "t", "scenario", "attempts", "e.*")
+    fall, cloud = F.col("scenario") == "fallback", F.col("t") * F.col("rate")
     left = F.pow(1 - F.col("p"), F.col("attempts"))
-    wh = F.when(~F.col("local"), F.col("cloud")).when(fall, expected_attempts(F.col("p"), F.col("attempts")) * local_wh + left * F.col("cloud")).otherwise(F.lit(local_wh)) + F.col("overhead")
-    success = F.when(F.col("local") & ~fall, F.col("p")).otherwise(1.0)
-    rows = rows.select("category", "multiplier", "policy", "overhead", "scenario", "attempts", "estimate", "w", "local", "cloud", wh.alias("wh"), success.alias("success"))
+    wh = F.when(~F.col("local"), cloud).when(fall, expected_attempts(F.col("p"), F.col("attempts")) * local_wh * F.col("w") + left * cloud).otherwise(F.lit(local_wh) * F.col("w")) + F.col("overhead") * F.col("w")
+    success = F.when(F.col("local") & ~fall, F.col("p") * F.col("w")).otherwise(F.col("w").cast("double"))
+    rows = rows.select("category", "multiplier", "policy", "overhead", "scenario", "attempts", "estimate", "w", F.when(F.col("local"), F.col("w")).otherwise(0).alias("at_home"), cloud.alias("cloud"), wh.alias("wh"), success.alias("success"))
     keys = ["multiplier", "policy", "overhead", "scenario", "attempts", "estimate"]
-    mean = lambda c: F.sum(c * F.col("w")) / F.sum("w")
+    mean = lambda c: F.sum(c) / F.sum("w")
     g = rows.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in [*keys, "category"]]], *[F.col(k) for k in keys], F.col("category")).agg(
-        F.sum("w").alias("n"), mean(F.col("wh")).alias("wh"), mean(F.col("success")).alias("success"), mean(F.col("cloud")).alias("all_cloud_wh"), mean(F.col("local").cast("double")).alias("local_share"),
+        F.sum("w").alias("n"), mean("wh").alias("wh"), mean("success").alias("success"), mean("cloud").alias("all_cloud_wh"), mean("at_home").alias("local_share"),
         F.grouping("category").alias("_whole"))
     g = g.where((F.col("_whole") == 1) | (F.col("multiplier") == 1.0)).drop("_whole")
-    return g.withColumns({"wh_saved": F.col("all_cloud_wh") - F.col("wh"), "relative": F.try_divide("wh", "all_cloud_wh")})
+    g = g.withColumns({"wh_saved": F.col("all_cloud_wh") - F.col("wh"), "relative": F.try_divide("wh", "all_cloud_wh")})
+    return g.withColumns({c: F.round(c, 9) for c in ("wh", "success", "all_cloud_wh", "local_share", "wh_saved", "relative")})
 
 
 def uniforms(seed: int, *parts: Column) -> Column:

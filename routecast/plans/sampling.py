@@ -31,9 +31,28 @@ def allocation(spark: SparkSession, d: str) -> DataFrame:
     return S.allocation(pools, 20).select("category", "level", "pool", "target")
 
 
-@query("allocation_takes")
+def takes_sql(per_category: int) -> str:
+    """CTEs from `p` (category, level, pool) to `tk` (category, take list, pool list): one CTE a band."""
+    n = S.LEVELS
+    pools = ", ".join(f"coalesce(sum(pool) FILTER (level = {b}), 0)::BIGINT" for b in range(n))
+    out = f", t0 AS (SELECT category, [{pools}] AS pool, {S.band_targets(per_category)}::BIGINT[] AS take FROM p GROUP BY category)"
+    for b, ranks in enumerate(S.donor_ranks()):
+        room = lambda d: f"greatest(0, pool[{d + 1}] - take[{d + 1}])"
+        lack = f"greatest(0, take[{b + 1}] - pool[{b + 1}])"
+        new = []
+        for d in range(n):
+            better = " - ".join([lack, *[room(o) for o in range(n) if o != b and ranks[o] < ranks[d]]])
+            new.append(f"take[{d + 1}] - {lack}" if d == b else f"take[{d + 1}] + greatest(0, least({room(d)}, {better}))")
+        out += f", t{b + 1} AS (SELECT category, pool, [{', '.join(new)}]::BIGINT[] AS take FROM t{b})"
+    return out + f", tk AS (SELECT category, pool, CASE WHEN list_sum(take) = {per_category} THEN take END AS take FROM t{n})"
+
+
+POOLS = LEVELLED + ", p AS (SELECT category, level, count(*) AS pool FROM lv GROUP BY 1, 2)"
+
+
+@query("allocation_takes", over("v_labels items", POOLS + takes_sql(20) + " SELECT category, CAST(v AS INT) AS level, [3, 3, 4, 4, 3, 3][v + 1] AS target, CAST(take[v + 1] AS INT) AS take, CAST(pool[v + 1] AS INT) AS pool FROM tk, range(6) l(v)"))
 def allocation_takes(spark: SparkSession, d: str) -> DataFrame:
-    """D3 whole; no SQL expresses the sequential donor step."""
+    """D3 whole."""
     return S.allocation(_levelled(spark, d).groupBy("category", "level").agg(F.count(F.lit(1)).alias("pool")), 20)
 
 
@@ -44,7 +63,8 @@ def stratified_draw(spark: SparkSession, d: str) -> DataFrame:
     return S.stratified_draw(_levelled(spark, d), 2, 7).select("question_id", "category", "level")
 
 
-@query("stratified_draw_full")
+@query("stratified_draw_full", over("v_labels items", POOLS + takes_sql(20) + """, o AS (SELECT *, row_number() OVER (PARTITION BY category, level ORDER BY md5(concat_ws(':', '7', category, question_id)), question_id) AS place FROM lv)
+SELECT question_id, category, level FROM o JOIN tk USING (category) WHERE place <= take[level + 1]"""))
 def stratified_draw_full(spark: SparkSession, d: str) -> DataFrame:
     """D4 with twenty items a category and the sequential donors of D3."""
     return S.stratified_draw(_levelled(spark, d), 20, 7).select("question_id", "category", "level")
@@ -127,22 +147,21 @@ def seeded_limit(spark: SparkSession, d: str) -> DataFrame:
     return S.seeded_limit(read(spark, d, "documents").select("doc_id"), 50, 1, "doc_id")
 
 
-KEYS = r"t AS (SELECT doc_id, source, text, CASE WHEN strlen(text) = length(text) THEN trim(regexp_replace(lower(text), '\s+', ' ', 'g')) END AS k1, md5(left(text, 40)) AS k2 FROM documents)"
-FAMILIES = f"""WITH RECURSIVE {KEYS}, e AS (SELECT doc_id, 'a' || k1 AS v FROM t WHERE k1 IS NOT NULL UNION ALL SELECT doc_id, 'b' || k2 FROM t),
+# Two relations of whole texts: equal but for case and white space, and equal in their letters a-z.
+KEYS = r"t AS (SELECT doc_id, source, text, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS k1, nullif(regexp_replace(lower(text), '[^a-z]+', '', 'g'), '') AS k2 FROM documents)"
+FAMILIES = f"""WITH RECURSIVE {KEYS}, e AS (SELECT doc_id, 'a' || k1 AS v FROM t WHERE k1 IS NOT NULL UNION ALL SELECT doc_id, 'b' || k2 FROM t WHERE k2 IS NOT NULL),
 n AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y USING (v)), r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a), f AS (SELECT a AS doc_id, min(b) AS family FROM r GROUP BY 1)"""
 
 
 def _families(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "documents")
-    plain = F.octet_length("text") == F.char_length("text")
-    keys = t.select("doc_id", F.when(plain, ascii_key(F.col("text"))).alias("k1"), F.md5(F.substring("text", 1, 40)).alias("k2"))
+    letters = F.regexp_replace(F.lower("text"), "[^a-z]+", "")
+    keys = read(spark, d, "documents").select("doc_id", ascii_key(F.col("text")).alias("k1"), F.when(letters != "", letters).alias("k2"))
     return FM.families(keys, "doc_id", ["k1", "k2"])
 
 
 @query("text_links", f"WITH {KEYS}, h AS (SELECT k1, min(doc_id) AS hub FROM t WHERE k1 IS NOT NULL GROUP BY 1) SELECT doc_id AS id, hub FROM t JOIN h USING (k1) WHERE doc_id <> hub")
 def text_links(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "documents").where(F.octet_length("text") == F.char_length("text"))
-    return FM.text_links(t.select("doc_id", ascii_key(F.col("text")).alias("k")), "doc_id", "k")
+    return FM.text_links(read(spark, d, "documents").select("doc_id", ascii_key(F.col("text")).alias("k")), "doc_id", "k")
 
 
 @query("families", FAMILIES + " SELECT * FROM f")

@@ -30,7 +30,8 @@ c AS (SELECT category, p, multiplier, tokens, x.policy AS policy, x.local AS loc
 e AS (SELECT *, tokens * r.rate AS cloud, r.estimate AS estimate FROM c, (VALUES ('low', 0.002e0), ('high', 0.005e0)) r(estimate, rate)),
 w AS (SELECT *, overhead + CASE WHEN NOT local THEN cloud WHEN scenario = 'fallback' THEN (CASE WHEN p = 0 THEN attempts ELSE (1 - pow(1 - p, attempts)) / p END) * 0.05e0 + pow(1 - p, attempts) * cloud ELSE 0.05e0 END AS wh, CASE WHEN local AND scenario <> 'fallback' THEN p ELSE 1e0 END AS success FROM e),
 g AS (SELECT multiplier, policy, overhead, scenario, attempts, estimate, category, count(*) AS n, avg(wh) AS wh, avg(success) AS success, avg(cloud) AS all_cloud_wh, avg(CASE WHEN local THEN 1e0 ELSE 0e0 END) AS local_share, grouping(category) AS gr FROM w GROUP BY GROUPING SETS ((multiplier, policy, overhead, scenario, attempts, estimate), (multiplier, policy, overhead, scenario, attempts, estimate, category))),
-grid AS (SELECT * EXCLUDE (gr), all_cloud_wh - wh AS wh_saved, wh / all_cloud_wh AS relative FROM g WHERE gr = 1 OR multiplier = 1)"""
+grid AS (SELECT multiplier, policy, overhead, scenario, attempts, estimate, category, n, round(wh, 9) AS wh, round(success, 9) AS success, round(all_cloud_wh, 9) AS all_cloud_wh, round(local_share, 9) AS local_share,
+  round(all_cloud_wh - wh, 9) AS wh_saved, round(wh / all_cloud_wh, 9) AS relative FROM g WHERE gr = 1 OR multiplier = 1)"""
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +10,10 @@ from pyspark.sql import types as T
 from routecast.functions.expr import item_key
 from routecast.plans.views import log, over, read
 from routecast.registry import query
+from routecast.sources.shared import fresh
 from routecast.streaming import monitor as S
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """The table as a file stream; the pattern matches its one file or folder, since a stream takes no single file."""
     return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
