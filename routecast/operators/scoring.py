@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routecast.operators.prefix import running
 from routecast.functions.expr import probability_level, truth_level
 from routecast.operators.agreement import pair_descriptors, with_rates
 
@@ -44,10 +45,9 @@ def likelihoods(df: DataFrame, group: list[str] = ()) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
-    """(group, value, out): the average rank of each distinct value; the window runs over distinct values."""
+    """(group, value, out): the average rank of each distinct value, from running counts over distinct values."""
     n = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return n.select(*group, value, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).alias(out))
+    return running(n, value, ["_n"], group).select(*group, value, (F.col("_n_upto") - (F.col("_n") - 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] = ()) -> DataFrame:
@@ -85,7 +85,7 @@ def macro_f1() -> Column:
 def full_sweep(df: DataFrame, group: list[str] = (), extra: tuple[float, ...] = (0.0, 0.5, 0.7, 1.0)) -> DataFrame:
     """M8: the 2x2 table at every distinct probability and at `extra` thresholds, per group.
 
-    Rows are counted per probability; one cumulative window over those counts gives every threshold at once.
+    Rows are counted per probability; running sums over those counts give every threshold at once.
     """
     group = list(group)
     truth = F.col("correct_count") * 2 >= F.col("k")
@@ -93,10 +93,9 @@ def full_sweep(df: DataFrame, group: list[str] = (), extra: tuple[float, ...] =
     more = df.select(*group).distinct() if group else df.sparkSession.range(1).select()
     more = more.select(*group, F.explode(F.array(*[F.lit(t) for t in extra])).alias("threshold"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
     by = by.unionByName(more).groupBy(*group, "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    w = Window.partitionBy(*(group or [F.lit(1)]))
-    down = w.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = by.select(*group, "threshold", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(w).alias("_p"), F.sum("neg").over(w).alias("_n"))
-    c = c.select(*group, "threshold", (F.col("_n") - F.col("fp")).alias("tn"), "fp", (F.col("_p") - F.col("tp")).alias("fn"), "tp")
+    c = running(by, "threshold", ["pos", "neg"], group)
+    tp, fp = F.col("pos_all") - F.col("pos_upto") + F.col("pos"), F.col("neg_all") - F.col("neg_upto") + F.col("neg")
+    c = c.select(*group, "threshold", (F.col("neg_all") - fp).alias("tn"), fp.alias("fp"), (F.col("pos_all") - tp).alias("fn"), tp.alias("tp"))
     return with_rates(c)
 
 

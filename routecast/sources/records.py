@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,21 @@ def read_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> D
     return out.select("r.*", fault.alias("fault")).drop(CORRUPT)
 
 
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(file, line, value, fault) of the lines of text files that do not parse, counted from 1 in each file.
+
+    A line's place is the number of lines of the splits before it and its own in the split; the counts of splits are the only thing summed in order.
+    """
+    row = F.from_json("value", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    m = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), m.alias("_id"), "value", row.alias("r"))
+    sizes = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bad = lines.where((F.trim("value") != "") & (F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()))
+    found = bad.join(sizes.select("file", "split", "first", before.alias("before")), ["file", "split"])
+    return found.select("file", (F.col("before") + F.col("_id") - F.col("first") + 1).alias("line"), "value", F.lit("malformed").alias("fault"))
+
+
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """S3: JSON lines without the lines that do not parse."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -55,6 +70,14 @@ def read_scenarios(spark: SparkSession, path: str, schema: T.StructType | str) -
         "columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
+def scenario_faults(df: DataFrame, may_be_blank: Column, column: str = "local_retries") -> DataFrame:
+    """Rows with `fault`: row (ragged or badly typed) or the column's name where it is blank and must not be; an empty table is an error."""
+    if df.isEmpty():
+        raise ValueError("no scenario rows")
+    fault = F.when(F.col(CORRUPT).isNotNull(), "row").when(F.col(column).isNull() & ~may_be_blank, column)
+    return df.select(*[c for c in df.columns if c != CORRUPT], fault.alias("fault"))
+
+
 def read_repeats(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines below `repN` folders, with `rep` from the path."""
     df = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
@@ -86,16 +109,17 @@ def write_records(df: DataFrame, path: str, form: str = "json") -> None:
     df.write.mode("errorifexists").format(form).save(path)
 
 
-def without_nan(df: DataFrame) -> DataFrame:
-    """NaN of float columns as null."""
+def finite(df: DataFrame) -> DataFrame:
+    """The same rows; a NaN or infinity in a float column ends the job that reads them with an error."""
     floats = [c for c, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+    bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    return df.withColumns({c: F.when(bad(F.col(c)), F.raise_error(F.lit(f"{c} is not a finite number")).cast("double")).otherwise(F.col(c)) for c in floats})
 
 
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
-    """K2: one folder per report section, keys sorted, NaN written as null, nothing overwritten."""
+    """K2: one folder per report section, keys sorted, nothing overwritten; NaN and infinity are errors."""
     for name, df in sorted(sections.items()):
-        without_nan(df).select(*sorted(df.columns)).write.mode("errorifexists").option("ignoreNullFields", False).json(f"{path}/{name}")
+        finite(df).select(*sorted(df.columns)).write.mode("errorifexists").option("ignoreNullFields", False).json(f"{path}/{name}")
 
 
 def write_csv(df: DataFrame, path: str, per: str | None = None, quote_all: bool = False) -> None:

@@ -228,6 +228,32 @@ def test_partitions_do_not_matter(spark):
     assert len(seen) == 1
 
 
+def test_running_sums(spark):
+    """Against a plain loop: null groups and values, one group with most rows, several partitions."""
+    from routecast.operators.prefix import running
+
+    rng = random.Random(3)
+    rows = [(g, v, rng.randrange(9)) for g in ("a", None, "b") for v in rng.sample(range(4000), 900 if g == "a" else 40)] + [("b", None, 4)]
+    got = running(spark.createDataFrame(rows, "g string, v int, n long"), "v", ["n"], ["g"]).collect()
+    assert len(got) == len(rows)
+    low = lambda v: -1 if v is None else v
+    for r in got:
+        mine = [(low(v), n) for g, v, n in rows if g == r.g]
+        assert r.n_all == sum(n for _, n in mine) and r.n_upto == sum(n for v, n in mine if v <= low(r.v))
+
+
+def test_bad_lines_are_numbered(spark, tmp_path):
+    text = "".join('{"n": %d}\n' % i if i % 97 else '{"n": \n' for i in range(1, 5001))
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "b.jsonl").write_text("\n\nx\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = {(r.file.rsplit("/", 1)[1], r.line) for r in R.bad_lines(spark, str(tmp_path / "*.jsonl"), "n int").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {("a.jsonl", i) for i in range(97, 5001, 97)} | {("b.jsonl", 3)}
+
+
 def test_sources(spark, tmp_path):
     lines = tmp_path / "log.jsonl"
     lines.write_text('{"key": "a", "n": 1}\n\n{"key": "b", "n"\n')
@@ -255,12 +281,15 @@ def test_sources(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([("b", 1.0), ("a", float("nan"))], "p string, v double")
+    df = spark.createDataFrame([("b", 1.0), ("a", None)], "p string, v double")
     R.write_records(df, str(tmp_path / "k1"))
     with pytest.raises(Exception):
         R.write_records(df, str(tmp_path / "k1"))
     R.write_report({"part": df}, str(tmp_path / "k2"))
     assert {json.loads(r.value)["v"] for r in spark.read.text(str(tmp_path / "k2/part")).collect()} == {1.0, None}
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="finite"):
+            R.write_report({"part": spark.createDataFrame([(bad,)], "v double")}, str(tmp_path / f"k2-{bad}"))
     R.write_csv(df, str(tmp_path / "k3"), per="p", quote_all=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "k3")).count() == 2
     found = R.digests(spark, str(tmp_path / "k2/part/*.json"))
