@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +20,7 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def run_once(df: DataFrame, mode: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns the last row of each key (in update mode several batches may give one)."""
-    spark, folder = df.sparkSession, _folder(df.sparkSession)
+    spark, folder = df.sparkSession, fresh(df.sparkSession, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
