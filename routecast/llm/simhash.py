@@ -143,22 +143,23 @@ def near_classes(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     return classified(docs, radius, width).select("doc_id", "fingerprint", "component_id")
 
 
-def next_text(docs: DataFrame, rows_per_bucket: int = 512, most_buckets: int = 32_768) -> DataFrame:
+def next_text(docs: DataFrame, rows_per_bucket: int = 512, most_buckets: int = 32_768, most_ranges: int = 2_048) -> DataFrame:
     """Each document beside its follower in descending doc_id order (after the last comes the first).
 
     Returns `_b`, `_r` (bucket and place in it, together unique), `_halo`, doc_id, text and `next`, still
-    partitioned by `_b`. Buckets are quantiles of the order, so outlying, clustered or null ids do no harm: a range partitioning
-    of the narrow keys (doc_id and 64 characters of the text) gives each bucket's least key, at most `most_buckets` of them, and
-    rows find their bucket by these. The first row of a bucket is copied into the one before as a halo row, so the text is shuffled once and no
+    partitioned by `_b`. Buckets are quantiles of the order, so outlying, clustered or null ids do no harm: the narrow keys
+    (doc_id and 64 characters of the text) are sorted in at most `most_ranges` ranges, every so-manieth key of a range begins a bucket, and rows find
+    their bucket by these keys. At most `most_buckets` + `most_ranges` of them come to the driver, and some 100 sampled keys a range, whatever the size. The first row of a bucket is copied into the one before as a halo row, so the text is shuffled once and no
     window spans the table. Equal doc_ids are ordered by text, null doc_ids come last, a null text counts as empty. Rows that share
     doc_id and their first 64 characters share a bucket.
     """
     d = own_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("i"), F.substring("text", 1, 64).alias("p"))
-    buckets = max(1, min(most_buckets, d.count() // rows_per_bucket))
-    ranged = d.select(key.alias("k")).select("k.*").repartitionByRange(buckets, "n", "i", "p") if buckets > 1 else d.select(key.alias("k")).select("k.*")
-    ranged = ranged.groupBy(F.spark_partition_id()) if buckets > 1 else ranged.groupBy()
-    lows = sorted((r.k.n, r.k.i, r.k.p) for r in ranged.agg(F.min(F.struct("n", "i", "p")).alias("k")).collect() if r.k is not None)
+    rows = d.count()
+    step = max(rows_per_bucket, -(-rows // most_buckets))
+    ranged = d.select(key.alias("k")).select("k.*").repartitionByRange(max(1, min(most_ranges, rows // (16 * step))), "n", "i", "p")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its sorted range
+    lows = sorted({(r.n, r.i, r.p) for r in ranged.sortWithinPartitions("n", "i", "p").withColumn("_at", place).where(F.col("_at") % step == 0).collect()})
     if not lows:
         return d.select(F.lit(0).alias("_b"), F.lit(0).alias("_halo"), "doc_id", "text", F.lit(0).alias("_r"), F.lit("").alias("next"))
     wide = max(1, round(len(lows) ** 0.5))
