@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("projections", "sources", "validation", "trials", "agreement", "scoring", "sampling", "scenarios", "logs", "inference", "streams")
+PLANS = ("projections", "sources", "validation", "trials", "agreement", "scoring", "sampling", "scenarios", "logs", "inference", "streams", "reports")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
