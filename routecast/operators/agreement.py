@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from routecast.operators.panel import majority
+from routecast.operators.prefix import with_quantiles
 
 DEC = "decimal(38,0)"
 
@@ -240,15 +241,16 @@ def leave_one_out(ratings: DataFrame, truth: DataFrame, prompt: str = "prompt")
 
 def iqr_fences(df: DataFrame, value: str) -> DataFrame:
     """A18 (A17: linear quantiles): rows strictly outside Q1 - 1.5 IQR or Q3 + 1.5 IQR; none if a value is null or there are fewer than four."""
-    q = df.agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.count(value).alias("n"), F.count(F.lit(1)).alias("rows"))
+    q = with_quantiles(df.agg(F.count(value).alias("n"), F.count(F.lit(1)).alias("rows")), df, value, {"q1": 0.25, "q3": 0.75})
     q = q.where("n >= 4 and n = rows").select((F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("high"))
     return df.crossJoin(F.broadcast(q)).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))  # one row of fences
 
 
 def mad_fences(df: DataFrame, value: str, width: float = 2.0) -> DataFrame:
     """Rows outside median +- width * 1.4826 * MAD; none if the MAD is 0, a value is null or there are fewer than four."""
-    m = df.agg(F.percentile(value, F.lit(0.5)).alias("mid"), F.count(value).alias("n"), F.count(F.lit(1)).alias("rows")).where("n >= 4 and n = rows")
-    mad = df.crossJoin(F.broadcast(m)).agg(F.percentile(F.abs(F.col(value) - F.col("mid")), F.lit(0.5)).alias("mad"), F.max("mid").alias("mid")).where("mad > 0")
+    m = with_quantiles(df.agg(F.count(value).alias("n"), F.count(F.lit(1)).alias("rows")), df, value, {"mid": 0.5}).where("n >= 4 and n = rows")
+    away = df.crossJoin(F.broadcast(m)).select("mid", F.abs(F.col(value) - F.col("mid")).alias("away"))  # one row of m
+    mad = with_quantiles(m.select("mid"), away, "away", {"mad": 0.5}).where("mad > 0")
     f = mad.select((F.col("mid") - width * 1.4826 * F.col("mad")).alias("low"), (F.col("mid") + width * 1.4826 * F.col("mad")).alias("high"))
     return df.crossJoin(F.broadcast(f)).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))  # one row of fences
 

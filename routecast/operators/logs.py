@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routecast.operators import checks
+from routecast.operators.prefix import running
 
 
 def latest(df: DataFrame, key: str, seq: list[str]) -> DataFrame:
@@ -25,10 +26,10 @@ def failed(df: DataFrame, key: str, seq: list[str]) -> DataFrame:
 
 
 def error_runs(df: DataFrame, key: str, seq: list[str]) -> DataFrame:
-    """L4: (key, longest, total) of consecutive errors per source: gaps and islands of one window per source."""
-    w = Window.partitionBy(key).orderBy(*seq)
-    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(key, "error").orderBy(*seq))
-    runs = df.withColumn("_i", island).where("error").groupBy(key, "_i").agg(F.count(F.lit(1)).alias("n"))
+    """L4: (key, longest, total) of consecutive errors per source. Errors of one run share the running count of other rows before them, so no source needs one task."""
+    ok = F.when(F.col("error"), 0).otherwise(1).cast("long")
+    r = running(df.select(key, F.struct(*seq).alias("_s"), "error", ok.alias("_ok")), "_s", ["_ok"], [key])
+    runs = r.where("error").groupBy(key, "_ok_upto").agg(F.count(F.lit(1)).alias("n"))
     found = runs.groupBy(key).agg(F.max("n").alias("longest"), F.sum("n").alias("total"))
     return df.select(key).distinct().join(found, key, "left").na.fill(0, ["longest", "total"])
 

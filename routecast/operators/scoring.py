@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routecast.operators.prefix import running
+from routecast.operators.prefix import running, with_quantiles
 from routecast.functions.expr import probability_level, truth_level
 from routecast.operators.agreement import pair_descriptors, with_rates
 
@@ -195,9 +195,10 @@ def contrasts(metrics: DataFrame, left: str, right: str, names: list[str], key:
 
 def numeric_summary(df: DataFrame, value: str, group: list[str] = ()) -> DataFrame:
     """N, missing, mean, SD, quartiles, least and greatest, rounded half to even to one place."""
-    q = lambda p: F.bround(F.percentile(value, F.lit(p)), 1)
-    return df.groupBy(*group).agg(F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.bround(F.avg(value), 1).alias("mean"), F.bround(F.stddev_samp(value), 1).alias("sd"),
-                                  q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.bround(F.min(value), 1).alias("least"), F.bround(F.max(value), 1).alias("greatest"))
+    base = df.groupBy(*group).agg(F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.bround(F.avg(value), 1).alias("mean"), F.bround(F.stddev_samp(value), 1).alias("sd"),
+                                  F.bround(F.min(value), 1).alias("least"), F.bround(F.max(value), 1).alias("greatest"))
+    q = with_quantiles(base, df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group)
+    return q.select(*group, "n", "missing", "mean", "sd", *[F.bround(c, 1).alias(c) for c in ("q1", "median", "q3")], "least", "greatest")
 
 
 def category_summary(df: DataFrame, value: str, categories: list[str]) -> DataFrame:
@@ -210,8 +211,9 @@ def category_summary(df: DataFrame, value: str, categories: list[str]) -> DataFr
 
 def timing(ratings: DataFrame, rater: str = "rater", ms: str = "response_time_ms") -> DataFrame:
     """Median seconds per item and median of the raters' total seconds."""
-    item = ratings.agg((F.percentile(ms, F.lit(0.5)) / 1000).alias("item_seconds"), F.count(ms).alias("n"))
-    whole = ratings.groupBy(rater).agg(F.sum(ms).alias("s")).agg((F.percentile("s", F.lit(0.5)) / 1000).alias("rater_seconds"), F.count(F.lit(1)).alias("raters"))
+    item = with_quantiles(ratings.agg(F.count(ms).alias("n")), ratings, ms, {"_m": 0.5}).select((F.col("_m") / 1000).alias("item_seconds"), "n")
+    sums = ratings.groupBy(rater).agg(F.sum(ms).alias("s"))
+    whole = with_quantiles(sums.agg(F.count(F.lit(1)).alias("raters")), sums, "s", {"_w": 0.5}).select((F.col("_w") / 1000).alias("rater_seconds"), "raters")
     return item.crossJoin(whole)  # one row each
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routecast.operators.prefix import preceding
+
 
 def counter_deltas(samples: DataFrame, domain: str = "domain", seq: tuple[str, ...] = ("ts",), scale: float = 1.0) -> DataFrame:
-    """(domain, samples, wraps, total): increments of a cumulative counter; a fall means that it wrapped at max_range."""
-    d = F.col("value") - F.lag("value").over(Window.partitionBy(domain).orderBy(*seq))
-    s = samples.withColumn("_d", d)
+    """(domain, samples, wraps, total): increments of a cumulative counter; a fall means that it wrapped at max_range. No domain needs one task."""
+    s = preceding(samples.select(domain, *seq, "value", "max_range"), list(seq), "value", "_was", [domain]).withColumn("_d", F.col("value") - F.col("_was"))
     step = F.when(F.col("_d") < 0, F.col("_d") + F.col("max_range")).otherwise(F.col("_d"))
     return s.groupBy(domain).agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("_d") < 0).alias("wraps"), (F.coalesce(F.sum(step), F.lit(0)) * scale).alias("total"))
 
