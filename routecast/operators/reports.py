@@ -11,8 +11,7 @@ from routecast.functions import expr as X
 from routecast.operators import scoring
 from routecast.operators.agreement import confusion, fleiss, scotts_pi, stratified_error
 from routecast.operators.panel import majority
-from routecast.operators.prefix import running
-from routecast.operators.sampling import draw_order
+from routecast.operators.sampling import packages
 
 
 def panel_agreement(verdicts: DataFrame, panel: DataFrame) -> DataFrame:
@@ -151,10 +150,5 @@ def audit_first(df: DataFrame, most: int = 10) -> DataFrame:
 
 
 def annotation_forms(items: DataFrame, annotators: list[str], seed: int, key: str, blanks: list[str]) -> DataFrame:
-    """Every item once per annotator with empty form columns, `place` its seeded order of the annotator's own.
-
-    The places come from running counts over ranges of the order, so no annotator's rows meet in one task. Keys are unique.
-    """
-    names = items.sparkSession.createDataFrame([(a,) for a in annotators], "annotator string")
-    rows = items.crossJoin(F.broadcast(names)).withColumns({"_o": F.concat_ws(":", draw_order(seed, "annotator", key), F.col(key).cast("string")), "_one": F.lit(1).cast("long"), **{b: F.lit("") for b in blanks}})  # a fixed list
-    return running(rows, "_o", ["_one"], ["annotator"]).withColumnRenamed("_one_upto", "place").drop("_o", "_one", "_one_all")
+    """The packages of the annotators with empty form columns."""
+    return packages(items, annotators, seed, key).withColumns({b: F.lit("") for b in blanks})

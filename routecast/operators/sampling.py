@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routecast.operators.prefix import running
+
 LEVELS = 6
 SURPLUS = (2, 3, 1, 4, 0, 5)  # bands that get a surplus first
 
@@ -156,10 +158,14 @@ def with_texts(drawn: DataFrame, texts: DataFrame, key: str = "question_id") ->
 
 
 def packages(items: DataFrame, annotators: list[str], seed: int, key: str) -> DataFrame:
-    """Every item once per annotator, in an order of the annotator's own."""
+    """Every item once per annotator, `place` in an order of the annotator's own. Keys are unique.
+
+    Places are running counts over ranges of the order, so an annotator's rows spread over tasks.
+    """
     names = items.sparkSession.createDataFrame([(a,) for a in annotators], "annotator string")
-    place = F.row_number().over(Window.partitionBy("annotator").orderBy(draw_order(seed, "annotator", key), key))
-    return items.crossJoin(F.broadcast(names)).withColumn("place", place)  # a fixed list of annotators
+    order = F.concat_ws(":", draw_order(seed, "annotator", key), F.col(key).cast("string"))
+    rows = items.crossJoin(F.broadcast(names)).withColumns({"_o": order, "_one": F.lit(1).cast("long")})  # a fixed list of annotators
+    return running(rows, "_o", ["_one"], ["annotator"]).withColumnRenamed("_one_upto", "place").drop("_o", "_one", "_one_all")
 
 
 def design_faults(plan: DataFrame, prompts: int, categories: int, participants: int, per_participant: int) -> DataFrame:

@@ -188,12 +188,12 @@ def run_flips(spark: SparkSession, d: str) -> DataFrame:
     return A.flips(_decisions(spark, d))
 
 
-VOTES = "(SELECT l_partkey AS item, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN 'no' ELSE 'borderline' END AS vote FROM lineitem WHERE l_linenumber = 1)"
+VOTES = "(SELECT l_partkey AS item, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN 'no' ELSE 'borderline' END AS vote FROM lineitem)"
 
 
 def _votes(spark: SparkSession, d: str) -> DataFrame:
     vote = F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "N", "no").otherwise("borderline")
-    return read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("item"), vote.alias("vote"))
+    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), vote.alias("vote"))
 
 
 @query("stratified_error", over("items", f""", m AS (SELECT item, CASE WHEN count(*) FILTER (vote = 'yes') >= 2 THEN true WHEN count(*) FILTER (vote = 'no') >= 2 THEN false END AS t FROM {VOTES} GROUP BY 1),
@@ -205,13 +205,13 @@ def stratified_error(spark: SparkSession, d: str) -> DataFrame:
     return A.stratified_error(_votes(spark, d), i.select(F.col("question_id").alias("item"), F.col("category").alias("stratum"), (F.col("question_id") % 3 > 0).alias("decided")), pops)
 
 
-@query("field_errors", over("items", f""", v AS (SELECT l_partkey AS item, unnest([{{'field': 'meaning', 'vote': CASE WHEN l_quantity < 30 THEN 'yes' ELSE 'no' END}}, {{'field': 'self_contained', 'vote': CASE WHEN l_tax < 0.07e0 THEN 'yes' ELSE 'no' END}}], recursive := true) FROM lineitem WHERE l_linenumber <= 2),
+@query("field_errors", over("items", f""", v AS (SELECT l_partkey AS item, unnest([{{'field': 'meaning', 'vote': CASE WHEN l_quantity < 30 THEN 'yes' ELSE 'no' END}}, {{'field': 'self_contained', 'vote': CASE WHEN l_tax < 0.07e0 THEN 'yes' ELSE 'no' END}}], recursive := true) FROM lineitem),
 m AS (SELECT field, item, CASE WHEN count(*) FILTER (vote = 'yes') >= 2 THEN true WHEN count(*) FILTER (vote = 'no') >= 2 THEN false END AS ok FROM v GROUP BY 1, 2), p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1),
 g AS (SELECT field, category AS stratum, count(ok) AS scored, count(*) FILTER (NOT ok) AS wrong FROM m JOIN items ON item = question_id GROUP BY 1, 2), e AS (SELECT field, sum(population * (wrong / CAST(scored AS DOUBLE))) / sum(population) AS error, CAST(sum(wrong) AS BIGINT) AS wrong FROM g JOIN p USING (stratum) WHERE scored > 0 GROUP BY 1)
 SELECT *, CASE WHEN error <= 0.05e0 THEN 'pass' WHEN error <= 0.1e0 THEN 'repair' ELSE 'revise' END AS decision FROM e"""))
 def field_errors(spark: SparkSession, d: str) -> DataFrame:
     i = items(spark, d)
-    v = read(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_partkey").alias("item"), F.when(F.col("l_quantity") < 30, "yes").otherwise("no").alias("meaning"), F.when(F.col("l_tax") < 0.07, "yes").otherwise("no").alias("self_contained"))
+    v = read(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.when(F.col("l_quantity") < 30, "yes").otherwise("no").alias("meaning"), F.when(F.col("l_tax") < 0.07, "yes").otherwise("no").alias("self_contained"))
     pops = i.groupBy(F.col("category").alias("stratum")).agg(F.count(F.lit(1)).alias("population"))
     return A.field_errors(v.join(i.select(F.col("question_id").alias("item"), F.col("category").alias("stratum")), "item"), pops, ["meaning", "self_contained"])
 

@@ -131,9 +131,9 @@ def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
     return S.with_texts(i.select("question_id", "category"), texts)[0]
 
 
-@query("packages", over("corpus", "SELECT question_id, annotator, CAST(row_number() OVER (PARTITION BY annotator ORDER BY md5(concat_ws(':', '4', annotator, question_id)), question_id) AS INT) AS place FROM (SELECT question_id FROM corpus WHERE score = 4), (VALUES ('ann'), ('bo'), ('cy')) a(annotator)"))
+@query("packages", over("corpus", "SELECT question_id, annotator, row_number() OVER (PARTITION BY annotator ORDER BY md5(concat_ws(':', '4', annotator, question_id)), question_id) AS place FROM (SELECT question_id FROM corpus), (VALUES ('ann'), ('bo'), ('cy')) a(annotator)"))
 def packages(spark: SparkSession, d: str) -> DataFrame:
-    return S.packages(corpus(spark, d).where("score = 4").select("question_id"), ["ann", "bo", "cy"], 4, "question_id")
+    return S.packages(corpus(spark, d).select("question_id"), ["ann", "bo", "cy"], 4, "question_id")
 
 
 @query("design_check", over("items", ASSIGN + " SELECT rule, found, wanted FROM (SELECT unnest([{'rule': 'prompts', 'found': count(DISTINCT prompt_id), 'wanted': 280}, {'rule': 'categories', 'found': count(DISTINCT category), 'wanted': 14}, {'rule': 'participants', 'found': count(DISTINCT participant), 'wanted': 30}], recursive := true) FROM g) WHERE found <> wanted"))

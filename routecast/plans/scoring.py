@@ -65,21 +65,17 @@ def fixed_sweep(spark: SparkSession, d: str) -> DataFrame:
     return M.fixed_sweep(forecasts(spark, d))
 
 
-BINS = ", b AS (SELECT CAST(unnest(range(10)) AS INT) AS bin), g AS (SELECT CAST(least(floor(probability * 10), 9) AS INT) AS bin, probability AS p, correct_count / CAST(k AS DOUBLE) AS r FROM forecasts WHERE probability < 0.3e0 OR probability > 0.5e0), q AS (SELECT b.bin, count(p) AS n, avg(p) AS mean_probability, avg(r) AS mean_rate, avg(p) - avg(r) AS gap FROM b LEFT JOIN g ON b.bin = g.bin GROUP BY 1)"
-
-
-def _bins(spark: SparkSession, d: str) -> DataFrame:
-    return forecasts(spark, d).where("probability < 0.3 or probability > 0.5")
+BINS = ", b AS (SELECT CAST(unnest(range(10)) AS INT) AS bin), g AS (SELECT CAST(least(floor(probability * 10), 9) AS INT) AS bin, probability AS p, correct_count / CAST(k AS DOUBLE) AS r FROM forecasts), q AS (SELECT b.bin, count(p) AS n, avg(p) AS mean_probability, avg(r) AS mean_rate, avg(p) - avg(r) AS gap FROM b LEFT JOIN g ON b.bin = g.bin GROUP BY 1)"
 
 
 @query("reliability_bins", over("forecasts", BINS + " SELECT * FROM q"))
 def reliability_bins(spark: SparkSession, d: str) -> DataFrame:
-    return M.reliability_bins(_bins(spark, d))
+    return M.reliability_bins(forecasts(spark, d))
 
 
 @query("calibration_error", over("forecasts", BINS + " SELECT CAST(sum(n) AS BIGINT) AS n, sum(n * abs(gap)) / sum(n) AS ece FROM q"))
 def calibration_error(spark: SparkSession, d: str) -> DataFrame:
-    return M.calibration_error(M.reliability_bins(_bins(spark, d)))
+    return M.calibration_error(M.reliability_bins(forecasts(spark, d)))
 
 
 @query("bin_faults", over("forecasts", "SELECT unnest(['partition', 'total']) AS rule, true AS ok FROM (SELECT count(*) AS n FROM forecasts)"))

@@ -13,9 +13,9 @@ from routecast.registry import query
 PANEL = """, p AS (SELECT key, count(*) AS n, count(*) FILTER (verdict = 'match') AS n_match, count(*) FILTER (verdict = 'no_match') AS n_no_match, count(*) FILTER (verdict = 'no_answer') AS n_no_answer, min(verdict) = max(verdict) AS unanimous FROM verdicts GROUP BY 1 HAVING count(*) = 3)"""
 
 
-@query("with_reference", over("trials items", "SELECT question_id, rep, success, category FROM trials JOIN items USING (question_id) WHERE question_id % 3 = 0"))
+@query("with_reference", over("trials items", "SELECT question_id, rep, success, category FROM trials JOIN items USING (question_id)"))
 def with_reference(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = P.with_reference(trials(spark, d), items(spark, d).where("question_id % 3 = 0").select("question_id", "category"))
+    found, _ = P.with_reference(trials(spark, d), items(spark, d).select("question_id", "category"))
     return found.select("question_id", "rep", "success", "category")
 
 
@@ -54,9 +54,9 @@ def panel_complete(spark: SparkSession, d: str) -> DataFrame:
     return P.completeness(l, items(spark, d).withColumn("convertible", F.lit(True)), 5)
 
 
-@query("majority_votes", "SELECT l_partkey AS item, CASE WHEN count(*) FILTER (l_returnflag = 'A') >= 2 THEN true WHEN count(*) FILTER (l_returnflag = 'N') >= 2 THEN false END AS majority FROM lineitem WHERE l_linenumber = 1 GROUP BY 1")
+@query("majority_votes", "SELECT l_partkey AS item, CASE WHEN count(*) FILTER (l_returnflag = 'A') >= 2 THEN true WHEN count(*) FILTER (l_returnflag = 'N') >= 2 THEN false END AS majority FROM lineitem GROUP BY 1")
 def majority_votes(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "lineitem").where("l_linenumber = 1")
+    t = read(spark, d, "lineitem")
     vote = F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "N", "no").otherwise("borderline")
     return t.select(F.col("l_partkey").alias("item"), vote.alias("vote")).groupBy("item").agg(P.majority(F.col("vote")).alias("majority"))
 
