@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, quality, secrets, simhash, suffix, tokens, toxicity
+from . import chat, clusters, language, packing, quality, runs, secrets, simhash, suffix, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,8 @@ QUERIES: dict[str, Query] = {
     "op8_sentencepiece": _on("documents", tokens.op8_sentencepiece),
     "op9_secrets": _on("documents", secrets.op9_secrets),
     "op10_language": _on("documents", language.op10_language),
+    "op11_periodic_runs": _on("documents", runs.op11_periodic_runs),
+    "op12_centroids": _on("embeddings", clusters.op12_centroids),
 }
 
-ORACLES: dict[str, str] = {"op4_quality": quality.SQL, "op6_tool_calls": chat.SQL}
+ORACLES: dict[str, str] = {"op4_quality": quality.SQL, "op6_tool_calls": chat.SQL, "op12_centroids": clusters.SQL}
