@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clusters, language, packing, quality, runs, secrets, simhash, suffix, tokens, toxicity
+from . import chat, clusters, language, packing, quality, recompression, runs, secrets, simhash, suffix, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op10_language": _on("documents", language.op10_language),
     "op11_periodic_runs": _on("documents", runs.op11_periodic_runs),
     "op12_centroids": _on("embeddings", clusters.op12_centroids),
+    "op13_substring_dedup": _on("documents", recompression.op13_substring_dedup),
 }
 
 ORACLES: dict[str, str] = {"op4_quality": quality.SQL, "op6_tool_calls": chat.SQL, "op12_centroids": clusters.SQL}
