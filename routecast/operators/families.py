@@ -5,43 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routecast.functions.expr import identity
-from routecast.sources.shared import written
+from routecast.functions.text import normal_key
+from routecast.operators.components import components
+from routecast.operators.digests import member_digests
 
 
-def text_links(df: DataFrame, key: str, text_key: str) -> DataFrame:
-    """(id, hub): each item linked to the least id with the same text key; never all pairs."""
-    hub = df.groupBy(text_key).agg(F.min(key).alias("hub"))
-    return df.join(hub, text_key).where(F.col(key) != F.col("hub")).select(F.col(key).alias("id"), "hub")
+def text_keys(items: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """(id, value): a digest of the P10 key of each text of an item, told apart by which text it is; null and blank texts have none."""
+    named = items.select(F.col(key).alias("id"), *[normal_key(F.col(t)).alias(t) for t in texts]).unpivot(["id"], texts, "kind", "value")
+    return named.where("value <> ''").select("id", F.sha2(F.concat_ws("\x1f", "kind", "value"), 256).alias("value")).distinct()
 
 
-def families(items: DataFrame, key: str, text_keys: list[str], most_rounds: int = 50) -> DataFrame:
-    """(key, family): the least id reachable by equal values of any of the text keys; null keys link nothing.
+def hub_links(keys: DataFrame) -> DataFrame:
+    """(id, hub): each item of (id, value) linked to the least id with the same value; never all pairs."""
+    hub = keys.groupBy("value").agg(F.min("id").alias("hub"))
+    return keys.join(hub, "value").where("id <> hub").select("id", "hub")
 
-    Items carry a label, text values take the least label of their items, items the least of their values; labels are
-    then replaced by their own label's label, so long chains shorten by doubling. Ends when nothing changes.
+
+def text_links(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, hub) for items whose texts have the same P10 key."""
+    return hub_links(text_keys(items, key, [text]))
+
+
+def families(items: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """(key, family): the least id reachable by equal P10 keys of any one of the texts, for every item.
+
+    A link needs the same text of both (an original never meets a conversion). Null and blank texts link nothing; items without links are
+    families of their own; a null id keeps a row with a null family.
     """
-    long = items.unpivot([key], text_keys, "kind", "value").where("value is not null")
-    members = written(long.select(F.col(key).alias("id"), F.sha2(F.concat_ws("\x1f", "kind", "value"), 256).alias("value")).distinct())
-    labels = written(items.select(F.col(key).alias("id"), F.col(key).alias("family")).distinct())
-    for _ in range(most_rounds):
-        low = members.join(labels, "id").groupBy("value").agg(F.min("family").alias("low"))
-        best = members.join(low, "value").groupBy("id").agg(F.min("low").alias("low"))
-        new = labels.join(best, "id", "left").select("id", "family", F.coalesce(F.least("low", "family"), F.col("family")).alias("next"))
-        hop = labels.select(F.col("id").alias("next"), F.col("family").alias("over"))
-        new = written(new.join(hop, "next").select("id", "family", F.least("next", "over").alias("next")))
-        changed = new.where("next <> family").limit(1).count()
-        labels = new.select("id", F.col("next").alias("family"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError("families did not settle")
-    return labels.select(F.col("id").alias(key), "family")
+    links = hub_links(text_keys(items, key, texts)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    roots = components(links)
+    ids = items.select(F.col(key).alias("id")).distinct()
+    return ids.join(roots, ids["id"] == roots["node"], "left").select(F.col("id").alias(key), F.coalesce("root", "id").alias("family"))
 
 
 def family_ids(labelled: DataFrame, key: str) -> DataFrame:
     """(family, size, family_id): the digest of the sorted member list."""
-    return labelled.groupBy("family").agg(F.count(F.lit(1)).alias("size"), identity(F.collect_list(key)).alias("family_id"))
+    return member_digests(labelled, "family", key, "size", "family_id")
 
 
 def unprotected(candidates: DataFrame, labelled: DataFrame, protected: DataFrame, key: str, listed: DataFrame | None = None) -> DataFrame:
