@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from routecast.functions import expr as X
 from routecast.functions.text import ascii_key, normal_key
 from routecast.operators.digests import member_digests
+from routecast.operators.leaks import leaked
 from routecast.plans.views import corpus, forecasts, items, over, read, trials, v_labels
 from routecast.registry import query
 from routecast.sources import records
@@ -42,17 +43,9 @@ def list_style_items(spark: SparkSession, d: str) -> DataFrame:
 def answer_leaks(spark: SparkSession, d: str) -> DataFrame:
     """P7 over the corpus: benchmark items, of 8 characters or more, whose whole text is in a document, whatever its case.
 
-    Each item is found by one of its 8-character strings, the one with the least hash, among those of all documents; only hashes are joined,
-    and texts come back for the pairs that meet. Null and shorter items match nothing.
+    See `leaks.leaked`; only texts that may have an item leave the tasks that read them.
     """
-    low = lambda c: F.split(F.lower(c), "")
-    grams = F.transform(F.sequence(F.lit(0), F.size("c") - 8), lambda i: F.xxhash64(*[F.get(F.col("c"), i + k) for k in range(8)]))
-    b = read(spark, d, "benchmark").select("item_id", F.col("text").alias("answer"))
-    anchors = b.select("item_id", low(F.trim("answer")).alias("c")).where(F.size("c") >= 8).select("item_id", F.array_min(grams).alias("h"))
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", low(F.col("text")).alias("c")).where(F.size("c") >= 8).select("doc_id", F.explode(F.array_distinct(grams)).alias("h"))
-    pairs = found.join(anchors, "h").select("item_id", "doc_id").distinct()
-    return pairs.join(b, "item_id").join(docs, "doc_id").where(X.leaks(F.col("answer"), F.col("text"), F.lit(""))).select("item_id", "doc_id").distinct()
+    return leaked(read(spark, d, "benchmark").select("item_id", F.col("text").alias("answer")), read(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("math_delimiters", r"""
