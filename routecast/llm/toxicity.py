@@ -79,27 +79,41 @@ def _raw(n: int, owner: np.ndarray, at: np.ndarray, bias: float, linear: np.ndar
     return np.clip(bias + np.bincount(owner, linear[at], n) + 0.5 * ((total**2).sum(1) - square), -30, 30), total
 
 
-def fit(rows: list, labels: np.ndarray, slots: int = 1 << BITS, rank: int = 4, epochs: int = 6, batch: int = 256, rate: float = 0.3, trust: float = 4.0, least: int = 100,
-        lift: float = 0.6, seed: int = 11) -> Machine:
+class _Leader:
+    """Weights that follow the regularised leader from where they start: one stays there until the sum of its gradients is `trust` times their
+    root sum of squares, however many or few they are, so thousands of rare terms cannot learn single rows by heart."""
+
+    def __init__(self, start: np.ndarray, rate: float, trust: float, calm: float):
+        self.start, self.value, self.rate, self.trust, self.calm = start, start.copy(), rate, trust, calm
+        self.lead, self.square = np.zeros_like(start), np.zeros_like(start)
+
+    def step(self, at: np.ndarray, gradient: np.ndarray, square: np.ndarray) -> None:
+        before = np.sqrt(self.square[at])
+        self.square[at] += square
+        after = np.sqrt(self.square[at])
+        lead = self.lead[at] + gradient - (after - before) / self.rate * (self.value[at] - self.start[at])
+        self.lead[at] = lead
+        self.value[at] = self.start[at] + np.where(np.abs(lead) > self.trust * after, -lead * self.rate / (self.calm + after), 0)
+
+
+def fit(rows: list, labels: np.ndarray, slots: int = 1 << BITS, rank: int = 4, epochs: int = 6, batch: int = 256, rate: float = 0.3, trust: float = 4.0,
+        pair_rate: float = 0.05, spread: float = 0.02, lift: float = 1.0, seed: int = 11) -> Machine:
     """Logistic loss over batches of rows, several times over all; label 1 counts twice.
 
-    A weight follows the regularised leader: it stays zero until the sum of its slot's gradients, which are those of the whole machine's errors, is `trust`
-    times their root sum of squares, so thousands of rare terms cannot learn single rows by heart. The vectors, by which pairs act, have no
-    such threshold; slots met in `least` rows have one. `lift` is added to the bias for what the thresholds hold back. With labels of one class
-    only, or none, the score is constant.
+    Weights start at zero, vectors at random values of size `spread`, and every slot that is met has both; gradients are those of the whole machine's
+    errors, and both move once theirs agree (see `_Leader`). `lift` is added to the bias for what that holds back. With labels of one class only, or
+    none, the score is constant.
     """
     n, positive = len(rows), float(np.sum(labels))
     if not 0 < positive < n:
         share = (positive + 1) / (n + 2)
         return Machine(float(np.log(share / (1 - share))), np.zeros(slots, np.float32), np.zeros((slots, rank), np.float32))
     r = np.random.default_rng(seed)
-    times = np.bincount(_flat(rows)[0], minlength=slots)
-    known = np.flatnonzero(times)
+    known = np.flatnonzero(np.bincount(_flat(rows)[0], minlength=slots))
     place = np.zeros(slots, np.int32)
     place[known] = np.arange(len(known))
-    k, often = len(known), (times[known] >= least)[:, None]
-    weights, lead, square = np.zeros(k), np.zeros(k), np.zeros(k)
-    factors, moved = r.normal(0, 0.05, (k, rank)) * often, np.full((k, rank), 1e-6)
+    weights = _Leader(np.zeros(len(known)), rate, trust, 1.0)
+    vectors = _Leader(r.normal(0, spread, (len(known), rank)), pair_rate, trust, 1e-3)
     bias, drift = np.log(2 * positive / (n - positive)), 1e-6
     for _ in range(epochs):
         order = r.permutation(n)
@@ -107,23 +121,20 @@ def fit(rows: list, labels: np.ndarray, slots: int = 1 << BITS, rank: int = 4, e
             mine = order[i:i + batch]
             at, owner = _flat([rows[j] for j in mine])
             at = place[at]
-            raw, total = _raw(len(mine), owner, at, bias, weights, factors)
+            raw, total = _raw(len(mine), owner, at, bias, weights.value, vectors.value)
             slope = np.where(labels[mine] > 0, 2.0, 1.0) * (1 / (1 + np.exp(-raw)) - labels[mine])
+            met, which = np.unique(at, return_inverse=True)
+            summed = lambda x: np.bincount(which, x, len(met))  # noqa: B023, E731
             pull = slope[owner]
-            before, square = np.sqrt(square), square + np.bincount(at, pull * pull, k)
-            after = np.sqrt(square)
-            lead += np.bincount(at, pull, k) - (after - before) / rate * weights
-            weights = np.where(np.abs(lead) > trust * after, -lead * rate / (1 + after), 0)
-            push = (total[owner] - factors[at]) * (pull / len(mine))[:, None]
-            wide = np.stack([np.bincount(at, column, k) for column in push.T], 1) + 1e-5 * factors
-            moved += wide * wide
-            factors -= 0.02 * often * wide / np.sqrt(moved)
+            push = (total[owner] - vectors.value[at]) * pull[:, None]
+            weights.step(met, summed(pull), summed(pull * pull))
+            vectors.step(met, np.stack([summed(c) for c in push.T], 1), np.stack([summed(c * c) for c in push.T], 1))
             mean = slope.mean()
             drift += mean * mean
             bias -= 0.05 * mean / np.sqrt(drift)
-    linear, vectors = np.zeros(slots, np.float32), np.zeros((slots, rank), np.float32)
-    linear[known], vectors[known] = weights, factors
-    return Machine(float(bias + lift), linear, vectors)
+    linear, factors = np.zeros(slots, np.float32), np.zeros((slots, rank), np.float32)
+    linear[known], factors[known] = weights.value, vectors.value
+    return Machine(float(bias + lift), linear, factors)
 
 
 def sample_of(labels: DataFrame, most_rows: int) -> DataFrame:
@@ -140,7 +151,11 @@ def sample_of(labels: DataFrame, most_rows: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Machine:
-    """A machine fitted to at most `most_rows` rows: labelled documents of `sample_of`, of several texts under one id that with the least hash."""
+    """A machine fitted to at most `most_rows` rows: labelled documents of `sample_of`, of several texts under one id that with the least hash.
+
+    What reaches the driver is the slots of these rows: bounded in rows, and in slots by 2^BITS a row (1 MB), which only a text of
+    as many different words has.
+    """
     sample = sample_of(labels, most_rows)
     # bounded by most_rows, so it may be broadcast; the texts stay where they are until the join has thinned them
     rows = own_columns(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")

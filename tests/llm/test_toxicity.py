@@ -34,7 +34,7 @@ def test_learns_a_pair():
     """The label is set only where both terms meet, which no additive weights express with these counts."""
     rows = [[0, 1]] * 40 + [[0]] * 40 + [[1]] * 40 + [[]] * 40
     labels = np.array([1.0] * 40 + [0.0] * 40 + [0.0] * 40 + [1.0] * 40)
-    m = toxicity.fit(rows, labels, slots=2, epochs=1500, least=1)
+    m = toxicity.fit(rows, labels, slots=2, epochs=1500)
     got = m.score([[0, 1], [0], [1], []])
     assert got[0] > 0.7 and got[3] > 0.7 and got[1] < 0.3 and got[2] < 0.3
 
@@ -75,3 +75,30 @@ def test_odd_rows(make_docs, odd_rows, spark):
         got = toxicity.op5_toxicity(df, lab).collect()
         assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.op5_toxicity(df.limit(0), labels).count() == 0
+
+
+def test_rare_pairs_tell(spark, make_docs):
+    """Through the query: of four rare words two pairs are toxic and the crossed ones are not, each in some 30 learned rows, which no additive weights express."""
+    pairs = [("insultfoo", "groupbar", 1), ("offencebaz", "peoplequx", 1), ("insultfoo", "peoplequx", 0), ("offencebaz", "groupbar", 0)]
+    rows, want = [], {}
+    for i in range(1500):
+        rest = ["fine", "well", "good"][i % 3]
+        if i < 180:
+            a, b, want[i] = pairs[i % 4]
+            rest = f"{a} {b} {rest}"
+        rows.append((i, rest))
+    labels = [(i, 1, want.get(i, 0)) for i, _ in rows]
+    got = {r.doc_id: r for r in toxicity.op5_toxicity(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    learned = [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(k, 180, 4)) for k in range(4)]
+    assert max(learned) <= 35
+    held = [(got[i].predicted, want.get(i, 0)) for i, _ in rows if got[i].held_out]
+    assert sum(t for _, t in held) >= 20 and all(p == t for p, t in held)
+
+
+def test_every_term_met_has_a_vector(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = toxicity.learn(docs, labels)
+    terms = toxicity.Terms()
+    met = np.unique(np.concatenate([terms(r.text) for r in docs.join(labels, "doc_id").collect()]))
+    assert len(met) > 10_000 and (np.abs(machine.factors[met]).max(1) > 0).all()
