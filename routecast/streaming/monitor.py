@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from routecast.operators.panel import success_counts
 
@@ -33,29 +35,108 @@ def error_bursts(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFram
     return g.select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "errors")
 
 
+RUNS = "key long, part int, n long, lead long, tail long, longest long, last timestamp"
 ALERTS = "key long, run long, longest long, alert boolean"
 
 
-def error_runs(events: DataFrame, threshold: int, idle_ms: int | None = None) -> DataFrame:
-    """Consecutive errors per key, kept as state: (key, run, longest, alert) after each batch of a stream.
-
-    Rows of a batch are taken in order of (ts, event_id). With `idle_ms` an idle key's state is dropped after that time; such a stream never
-    runs out of batches, so it does not end under an `availableNow` trigger.
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key of sorted rows: how many, errors before the first good row, errors after the last, the longest run and the last time."""
+    part, have = TaskContext.get().partitionId(), None
+    names = [f.split()[0] for f in RUNS.split(", ")]
+    done: list[list] = []
+
+    def made() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.timestamp("us", "UTC"))
+        columns = list(zip(*done)) if done else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    for batch in batches:
+        for key, ts, bad in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            if have is None or have[0] != key:
+                if have is not None:
+                    done.append(have)
+                have = [key, part, 0, 0, 0, 0, None]
+            have[4] = have[4] + 1 if bad else 0
+            have[3] += bool(bad) and have[3] == have[2]
+            have[2] += 1
+            have[5], have[6] = max(have[5], have[4]), ts.as_py()
+        yield made()
+        done = []
+    if have is not None:
+        done.append(have)
+        yield made()
+
+
+def batch_runs(rows: DataFrame) -> DataFrame:
+    """One row for each key of a batch (key, n, lead, tail, longest, last), in the order of (ts, event_id).
+
+    Rows are range-partitioned by key and time, so a key with most rows spreads over tasks; each task walks through its own stretch with one state,
+    and the stretches of a key, one a task, are put together in order.
     """
+    d = rows.select("key", F.col("ts").cast("timestamp").alias("ts"), F.coalesce("error", F.lit(False)).alias("error"), "event_id").where("key is not null")
+    d = d.repartitionByRange("key", "ts", "event_id").sortWithinPartitions("key", "ts", "event_id")
+    g = d.select("key", "ts", "error").mapInArrow(_stretches, RUNS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "n", "lead", "tail", "longest", "last"))).alias("s"))
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "lead", "tail", "longest")], F.lit(None).cast("timestamp").alias("last"))
+
+    def put(a: Column, b: Column) -> Column:
+        return F.struct((a.n + b.n).alias("n"), F.when(a.lead == a.n, a.n + b.lead).otherwise(a.lead).alias("lead"), F.when(b.tail == b.n, a.tail + b.n).otherwise(b.tail).alias("tail"),
+                        F.greatest(a.longest, b.longest, a.tail + b.lead).alias("longest"), b["last"].alias("last"))
+
+    return g.select("key", F.aggregate("s", zero, put).alias("r")).select("key", "r.*")
+
+
+def write_runs(events: DataFrame, folder: str) -> DataStreamWriter:
+    """A writer that reduces each batch of a stream of (key, ts, event_id, error) to `batch_runs` under `folder`; a batch that is repeated is written again in its place."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch_runs(batch).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{folder}/batch-{number:09d}")
+
+    return events.writeStream.foreachBatch(keep)
+
+
+RUN_ROWS = "key long, n long, lead long, tail long, longest long, last timestamp, batch long"
+
+
+class _Runs(StatefulProcessor):
+    """A key's current and longest run in a value state; with `idle_ms`, a timer in event time drops both."""
 
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        run, longest = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for bad in rows["error"]:
-            run = run + 1 if bad else 0
-            longest = max(longest, run)
-        state.update((run, longest))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"key": [key[0]], "run": [run], "longest": [longest], "alert": [longest >= threshold]})
-
-    d = events.select("key", "ts", "event_id", "error")
-    return d.groupBy("key").applyInPandasWithState(step, ALERTS, "run long, longest long", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    def __init__(self, threshold: int, idle_ms: int | None):
+        self.threshold, self.idle_ms = threshold, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("runs", "run long, longest long, timer long")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, longest, timer = self.state.get() if self.state.exists() else (0, 0, 0)
+        every = sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: r.batch)  # a row a batch
+        for r in every:
+            longest = max(longest, run + int(r.lead), int(r.longest))
+            run = run + int(r.n) if r.lead == r.n else int(r.tail)
+        if self.idle_ms is not None:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = int(max(r.last for r in every).timestamp() * 1000) + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.state.update((run, longest, timer))
+        yield pd.DataFrame({"key": [key[0]], "run": [run], "longest": [longest], "alert": [longest >= self.threshold]})
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def error_runs(runs: DataFrame, threshold: int, idle_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Consecutive errors per key over all batches: (key, run, longest, alert) of each key in a batch of a stream of RUN_ROWS.
+
+    Keeps two numbers a key, however many rows it has. With `idle_ms` a key is forgotten once the watermark, `delay` behind the last row
+    of all keys, is that long past its own last row. Needs the RocksDB state store (`ROCKS`).
+    """
+    timed = runs.withWatermark("last", delay) if idle_ms is not None else runs
+    return timed.groupBy("key").transformWithStateInPandas(_Runs(threshold, idle_ms), ALERTS, "Update", "EventTime" if idle_ms is not None else "None")
