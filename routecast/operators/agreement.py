@@ -6,13 +6,10 @@ of a group, so nothing here depends on the number of rows behind them. Whole-num
 
 from __future__ import annotations
 
-from math import comb
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from routecast.operators.joins import salted_join
 from routecast.operators.panel import majority
 from routecast.operators.prefix import with_quantiles
 
@@ -139,24 +136,47 @@ def tau_b(c: DataFrame, group: list[str] = ()) -> DataFrame:
     return g.select(*group, con.cast("long").alias("concordant"), dis.cast("long").alias("discordant"), F.try_divide(con - dis, F.sqrt((con + dis + ta) * (con + dis + tb))).alias("tau_b"))
 
 
-@F.pandas_udf(DoubleType())
-def _upper_tail(k: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([_tail(int(x), int(m)) for x, m in zip(k, n)])
+def _log_stirling_rest(x: Column) -> Column:
+    """log(x!) less Stirling's (x + 1/2) log x - x + log(2 pi) / 2, for whole x of 1 or more: a series from 16 on, steps down to smaller x."""
+    high = F.greatest(x, F.lit(16.0))
+    series = (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / (high * high)) / (high * high)) / (high * high)) / high
+    steps = F.aggregate(F.when(x < 16, F.sequence(x.cast("int"), F.lit(15))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + (j + 0.5) * F.log1p(1 / j) - 1)
+    return series + steps
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) - x + mean."""
+    share = (x - mean) / mean
+    return mean * ((1 + share) * F.log1p(share) - share)
+
+
+def upper_tail(k: Column, n: Column) -> Column:
+    """The share of fair coin series of length n with k heads or more: the regularised incomplete beta function I(1/2; k, n - k + 1).
+
+    Its series is a fold: the probability of k heads (by deviances, so that no large logarithms cancel) times the sum of the products of
+    (n - k - j) / (k + j + 1), which fall below the last digit after some ten roots of n; below the middle, one less the other tail.
+    """
+    n, k = n.cast("double"), k.cast("double")
+    far = F.when(2 * k > n, k).otherwise(n - k + 1)  # above the middle
+    some, rest = F.greatest(F.least(far, n), F.lit(1.0)), n - far
+    at = F.greatest(rest, F.lit(1.0))
+    log_one = _log_stirling_rest(F.greatest(n, F.lit(1.0))) - _log_stirling_rest(some) - _log_stirling_rest(at) - _deviance(some, n / 2) - _deviance(at, n / 2) + 0.5 * F.log(n / (2 * F.pi() * some * at))
+    one = F.when(rest < 0, F.lit(0.0)).when(rest == 0, F.pow(F.lit(0.5), n)).otherwise(F.exp(log_one))
+    steps = F.when(rest >= 1, F.sequence(F.lit(0), F.least(rest - 1, 10 * F.sqrt(n) + 60).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
+    def add(s: Column, j: Column) -> Column:
+        term = s.term * (rest - j) / (far + j + 1)
+        return F.struct(term.alias("term"), (s.total + term).alias("total"))
 
-def _tail(k: int, n: int) -> float:
-    """The share of fair coin series of length n with k heads or more; each binomial coefficient is made from the one before."""
-    term, total = comb(n, k), 0
-    for i in range(k, n + 1):
-        total += term
-        term = term * (n - i) // (i + 1)
-    return total / 2**n
+    tail = F.least(F.lit(1.0), one * F.aggregate(steps, start, add, lambda s: s.total))
+    return F.when(2 * k > n, tail).otherwise(1 - tail)
 
 
 def mcnemar(g: DataFrame, fp: str = "fp", fn: str = "fn") -> DataFrame:
-    """Exact upper tails of the discordant counts in both directions; one small exact sum per row of counts."""
+    """Exact upper tails of the discordant counts in both directions, in column expressions."""
     n = F.col(fp) + F.col(fn)
-    return g.withColumns({"p_false_local": _upper_tail(F.col(fp), n), "p_false_cloud": _upper_tail(F.col(fn), n)})
+    return g.withColumns({"p_false_local": upper_tail(F.col(fp), n), "p_false_cloud": upper_tail(F.col(fn), n)})
 
 
 def pair_descriptors(df: DataFrame, truth: str, said: str, group: list[str] = (), local_from: int = 3) -> DataFrame:
@@ -217,26 +237,43 @@ def after_removal(ratings: DataFrame, truth: DataFrame, removed: DataFrame, prom
     return pair_descriptors(long.select("truth_level", "x.branch", "x.level"), "truth_level", "level", ["branch"])
 
 
+def _medians(counts: Column) -> Column:
+    """Lower and upper median of an ascending array of (level, n); nulls if all n are 0."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x.n)
+
+    def at(place: Column) -> Column:
+        kind = counts[0].level
+        start = F.struct(F.lit(0).cast("long").alias("upto"), F.nullif(kind, kind).alias("level"))
+        step = lambda s, x: F.struct((s.upto + x.n).alias("upto"), F.when((s.upto <= place) & (place < s.upto + x.n), x.level).otherwise(s.level).alias("level"))
+        return F.aggregate(counts, start, step, lambda s: s.level)
+
+    return F.struct(at(F.floor((total - 1) / 2)).alias("lower"), at(F.floor(total / 2)).alias("upper"))
+
+
 def leave_one_out(ratings: DataFrame, truth: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Descriptors by removed rater and branch.
 
-    Only prompts that a rater touched are computed anew; for all others the cells of the whole table are taken, minus
-    those prompts' own cells. So the work is that of one pass over (rater, prompt), not raters times prompts.
+    Ratings of a prompt are counted by level, and the medians without a rater are read off these few counts less the rater's own, so the work is in
+    proportion to the ratings, however many a prompt has. Only prompts that a rater touched change; for all others the cells of
+    the whole table are taken, less those prompts' own. A rater who is alone on a prompt takes it out.
     """
-    pair = lambda df, group: df.select(*group, "truth_level", F.explode(F.array(F.struct(F.lit("lower").alias("branch"), F.col("lower").alias("level")), F.struct(F.lit("upper").alias("branch"), F.col("upper").alias("level")))).alias("x")).select(*group, "truth_level", "x.branch", "x.level")
-    whole = _branches(ratings, truth, [], prompt)
-    base = cells(pair(whole, []), "truth_level", "level", ["branch"])
-    touched = ratings.select(prompt, F.col("rater").alias("removed"))
-    minus = cells(pair(touched.join(whole, prompt), ["removed"]), "truth_level", "level", ["removed", "branch"]).withColumn("n", -F.col("n"))
-    others = touched.join(ratings.select(prompt, "rater", "rating_level"), prompt).where("rater <> removed")
-    plus = cells(pair(_branches(others, truth, ["removed"], prompt), ["removed"]), "truth_level", "level", ["removed", "branch"])
-    all_raters = ratings.select(F.col("rater").alias("removed")).distinct()
-    each = base.crossJoin(F.broadcast(all_raters)).select("removed", "branch", "a", "b", "n")  # at most 72 cells beside the raters
+    levels = ratings.groupBy(prompt, F.col("rating_level").alias("level")).agg(F.count(F.lit(1)).alias("n")).groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("counts"))
+    per = levels.join(truth.select(prompt, "truth_level"), prompt).withColumn("whole", _medians(F.col("counts")))
+    branches = lambda c: F.array(*[F.struct(F.lit(b).alias("branch"), F.col(f"{c}.{b}").alias("level")) for b in ("lower", "upper")])
+    count = lambda df, c, group: cells(df.select(*group, "truth_level", F.explode(branches(c)).alias("x")).select(*group, "truth_level", "x.branch", "x.level"), "truth_level", "level", [*group, "branch"])
+    base = count(per, "whole", [])
+    own = ratings.groupBy(prompt, F.col("rater").alias("removed")).agg(F.collect_list("rating_level").alias("mine"))  # one level, or those of a repeated rating
+    left = F.transform("counts", lambda x: F.struct(x.level.alias("level"), (x.n - F.size(F.filter("mine", lambda m: m == x.level))).alias("n")))
+    touched = salted_join(own, per, prompt).withColumn("without", _medians(left))
+    minus = count(touched, "whole", ["removed"]).withColumn("n", -F.col("n"))
+    plus = count(touched.where(F.col("without.lower").isNotNull()), "without", ["removed"])
+    raters = ratings.select(F.col("rater").alias("removed")).distinct()
+    each = raters.crossJoin(F.broadcast(base)).select("removed", "branch", "a", "b", "n")  # base: two branches of levels squared cells
     c = each.unionByName(minus).unionByName(plus).groupBy("removed", "branch", "a", "b").agg(F.sum("n").alias("n")).where("n > 0")
     k = weighted_kappa(c, ["removed", "branch"])
     t, s = F.col("a") >= 3, F.col("b") >= 3
-    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    return k.join(c.groupBy("removed", "branch").agg(count(~t & s).alias("fp"), count(t & ~s).alias("fn")), ["removed", "branch"])
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return k.join(c.groupBy("removed", "branch").agg(total(~t & s).alias("fp"), total(t & ~s).alias("fn")), ["removed", "branch"])
 
 
 def iqr_fences(df: DataFrame, value: str) -> DataFrame:

@@ -113,11 +113,19 @@ def design_faults(design: DataFrame, raters: int, per_category: int) -> DataFram
     return repeated.union(uneven).union(wrong).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pair_overlap(design: DataFrame, participant: str = "participant_id", prompt: str = "prompt_id") -> DataFrame:
-    """(a, b, shared) prompts shared by each rater pair; a prompt has a fixed small number of raters."""
-    a = design.select(F.col(participant).alias("a"), prompt)
-    b = design.select(F.col(participant).alias("b"), prompt)
-    return a.join(b, prompt).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+def pair_overlap(design: DataFrame, participant: str = "participant_id", prompt: str = "prompt_id", most: int = 256) -> DataFrame:
+    """(a, b, shared) prompts shared by each rater pair; repeated rows count once.
+
+    The result is the pairs themselves. Raters of a prompt are dealt into blocks of about `most`, and pairs are made by block against block, so a
+    prompt with few raters is one key, and one with most of the rows spreads over many tasks.
+    """
+    d = design.select(F.col(participant).alias("a"), F.col(prompt).alias("p")).where("a is not null and p is not null").distinct()
+    size = d.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    d = d.join(size, "p").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    left = d.select("p", F.col("a").alias("x"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = d.select("p", F.col("a").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    met = left.join(right, ["p", "i", "j"]).where("i < j or x < y")
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def stage_coverage(first: DataFrame, second: DataFrame, rewrites: DataFrame, key: str = "question_id") -> DataFrame:
@@ -193,13 +201,18 @@ def matrix_faults(ratings: DataFrame, per_prompt: int = 3, raters: int | None =
 
 
 def vote_faults(votes: DataFrame, expected: DataFrame, allowed: tuple[str, ...] = ("yes", "no", "borderline")) -> DataFrame:
-    """(rater, fault, n) for votes (rater, key, id, vote): repeated, missing, unknown items and votes outside the set."""
+    """(rater, fault, n) for votes (rater, key, id, vote): repeated, missing, unknown items and votes outside the set.
+
+    What a rater lacks is counted: all expected items less those known among the rater's own. No rater meets items without a vote.
+    """
     v = votes.select("rater", F.coalesce("key", "id").alias("item"), "vote")
-    wanted = expected.select(F.col("id").alias("item")).distinct().crossJoin(F.broadcast(v.select("rater").distinct()))
-    say = lambda df, f: df.groupBy("rater").agg(F.count(F.lit(1)).alias("n")).select("rater", F.lit(f).alias("fault"), "n")
-    side = key_difference(wanted, v, ["rater", "item"])
-    return say(duplicates(v, ["rater", "item"]), "repeated").union(say(side.where("side = 'missing'"), "missing")).union(
-        say(side.where("side = 'extra'"), "unknown")).union(say(v.where(~F.coalesce(F.col("vote").isin(*allowed), F.lit(False))), "vote"))
+    wanted = expected.select(F.col("id").alias("item")).distinct()
+    per = v.groupBy("rater", "item").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("vote").isin(*allowed), F.lit(False))).alias("bad"))
+    seen = per.join(wanted.select("item", F.lit(True).alias("known")), "item", "left")
+    g = seen.groupBy("rater").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("known").isNull()).alias("unknown"), F.sum("bad").alias("vote"), F.count("known").alias("have"))
+    total = wanted.agg(F.count(F.lit(1)).alias("all"))
+    g = g.crossJoin(F.broadcast(total)).withColumn("missing", F.col("all") - F.col("have"))  # one row
+    return g.unpivot(["rater"], ["repeated", "missing", "unknown", "vote"], "fault", "n").where("n > 0")
 
 
 def enforce(found: DataFrame, what: str = "check") -> None:
