@@ -23,6 +23,63 @@ def _kappa(w: np.ndarray) -> np.ndarray:
         return np.where(e > 0, (e - n * o) / e, np.nan)
 
 
+def _tau_b(w: np.ndarray) -> np.ndarray:
+    """Kendall's tau-b of stacks of two-way tables; nan where a side is constant."""
+    upto = w.cumsum(-1).cumsum(-2)
+    more = lambda t: np.pad(t[..., ::-1, ::-1].cumsum(-1).cumsum(-2)[..., ::-1, ::-1][..., 1:, 1:], [(0, 0)] * (t.ndim - 2) + [(0, 1), (0, 1)])
+    concordant = (w * more(w)).sum((-2, -1))
+    discordant = (w[..., ::-1] * more(w[..., ::-1])).sum((-2, -1))
+    n = upto[..., -1, -1]
+    untied = lambda margin: (n * n - (margin**2).sum(-1)) / 2
+    below = np.sqrt(untied(w.sum(-1)) * untied(w.sum(-2)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(below > 0, (concordant - discordant) / below, np.nan)
+
+
+def _alpha(w: np.ndarray, raters: int) -> np.ndarray:
+    """Ordinal Krippendorff alpha of stacks of tables with an axis for each rater; nan without expected disagreement."""
+    levels = w.shape[-1]
+    counts = np.stack([sum((np.indices((levels,) * raters)[r] == a) for r in range(raters)) for a in range(levels)], -1).reshape(-1, levels)
+    pairs = counts[:, :, None] * counts[:, None, :] - np.einsum("ca,ab->cab", counts, np.eye(levels))
+    o = np.tensordot(w.reshape(*w.shape[:-raters], -1), pairs / (raters - 1), 1)
+    c = o.sum(-1)
+    upto, total = c.cumsum(-1), c.sum(-1)
+    lo, hi = np.minimum.outer(range(levels), range(levels)), np.maximum.outer(range(levels), range(levels))
+    between = upto[..., hi] - upto[..., lo] + c[..., lo] - (c[..., lo] + c[..., hi]) / 2
+    d = between**2
+    expected = c[..., :, None] * c[..., None, :] - np.eye(levels) * c[..., None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        e = (expected * d).sum((-2, -1)) / (total - 1)
+        return np.where((total > 1) & (e > 0), 1 - (o * d).sum((-2, -1)) / e, np.nan)
+
+
+def _pi(w: np.ndarray) -> np.ndarray:
+    """Scott's pi of stacks of 2 x 2 tables; with chance agreement 1 it is 1 if both always agree, else 0."""
+    n = w.sum((-2, -1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        p = (w.sum(-1)[..., 1] + w.sum(-2)[..., 1]) / (2 * n)
+        chance, seen = p * p + (1 - p) ** 2, (w[..., 0, 0] + w[..., 1, 1]) / n
+        return np.where(n == 0, np.nan, np.where(chance == 1, (seen == 1).astype(float), (seen - chance) / (1 - chance)))
+
+
+#: Statistics of a table of counts (an axis for each column): of stacks of tables, by name.
+STATISTICS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
+    "kappa": lambda w, _: _kappa(w), "tau_b": lambda w, _: _tau_b(w), "alpha": _alpha, "pi": lambda w, _: _pi(w), "kappa_difference": lambda w, _: _kappa_difference(w)}
+
+
+def bootstrap(df: DataFrame, columns: list[str], statistic: str | Callable[[np.ndarray, int], np.ndarray], replicates: int, seed: int, levels: int = 6, per_task: int = 500) -> DataFrame:
+    """M21 of any statistic of the contingency cells of `columns` (levels 0, 1, ...): n, value, two-sided and one-sided 95 % BCa bounds, se, replicates.
+
+    Rows are reduced to cells first, so resampling costs the same for any number of rows; rows with a null are left out. The same seed gives
+    the same draws for every statistic of the same cells.
+    """
+    f = STATISTICS[statistic] if isinstance(statistic, str) else statistic
+    table = np.zeros((levels,) * len(columns))
+    for r in df.select(*columns).dropna().groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).collect():  # at most levels ** columns cells
+        table[tuple(int(x) for x in r[:-1])] = r[-1]
+    return _bca(df.sparkSession, table, lambda w: f(w, len(columns)), replicates, seed, per_task, {"low": 0.025, "high": 0.975, "one_sided_low": 0.05, "one_sided_high": 0.95})
+
+
 def _bca(spark: SparkSession, table: np.ndarray, statistic: Callable[[np.ndarray], np.ndarray], replicates: int, seed: int, per_task: int, bounds: dict[str, float]) -> DataFrame:
     """One row for a table of counts: value, the BCa bounds named in `bounds` (null where not finite), se and replicates.
 

@@ -26,6 +26,17 @@ def paired_kappa_difference(spark: SparkSession, d: str) -> DataFrame:
     return I.paired_difference(t, 10_000, 11)
 
 
+@query("bootstrap_statistics")
+def bootstrap_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """M21 for tau-b, pi and alpha: forecast against truth by level and by route, and three readings of an item. Tests compare with plain loops."""
+    f = forecasts(spark, d)
+    two = f.select(truth_level(F.col("correct_count"), F.col("k")).alias("t"), probability_level(F.col("probability")).alias("s"), probability_level(probability(53)).alias("u"))
+    routes = two.select((F.col("t") >= 3).cast("int").alias("t"), (F.col("s") >= 3).cast("int").alias("s"))
+    named = lambda name, df: df.select(F.lit(name).alias("statistic"), "*")
+    return named("tau_b", I.bootstrap(two, ["t", "s"], "tau_b", 10_000, 5)).unionByName(named("alpha", I.bootstrap(two, ["t", "s", "u"], "alpha", 10_000, 5))).unionByName(
+        named("pi", I.bootstrap(routes, ["t", "s"], "pi", 10_000, 5, levels=2)))
+
+
 @query("ols_hc3", over("participants", """, m AS (SELECT count(*) AS n, avg(age) AS mx, avg(outcome) AS my, sum(age * age) - count(*) * avg(age) * avg(age) AS sxx FROM participants),
 b AS (SELECT n, mx, my, sxx, (SELECT regr_slope(outcome, age) FROM participants) AS b FROM m), e AS (SELECT age, outcome - (my + b * (age - mx)) AS e, 1e0 / n + (age - mx) * (age - mx) / sxx AS h, n, mx, my, sxx, b FROM participants, b),
 v AS (SELECT any_value(n) AS n, any_value(my - b * mx) AS a, any_value(b) AS b, sqrt(sum(pow(e / (1 - h), 2) * pow((age - mx) / sxx, 2))) AS sb, sqrt(sum(pow(e / (1 - h), 2) * pow(1e0 / n - mx * (age - mx) / sxx, 2))) AS sa, sum(e * e) AS rss FROM e)
