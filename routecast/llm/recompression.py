@@ -11,8 +11,8 @@ every window would shuffle every word of the corpus, so texts are parsed by reco
    words. That depends on its own words only, so equal windows have equal units, and some windows share one. Which units occur in two texts
    is counted by Spark (4 bytes a unit and group are shuffled, a bit comes back).
 3. Windows whose unit is shared are named by a 128-bit digest of their very words; a group of texts keeps the least order of each and settles
-   greater ones itself, and digests are dealt over the tasks, one entry per window and group (and repetition within its least
-   document). So a passage in all documents is a few entries per group, and no task holds all its copies.
+   greater ones itself, and digests are dealt over the tasks, one entry per window and group, whatever number of rows share its least
+   order (rows without doc_id share one). So a passage in all documents is an entry per group, and no task holds all its copies.
 4. The places found are put together per text, and results are joined back to the documents by the digest of the text.
 """
 
@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, cut, own_columns, salted_join
-from .suffix import LAST, _join, _runs, _table, _u32, texts
+from .suffix import DIGEST, LAST, SPANS, _join, _runs, _table, _u32, by_window, extra_places, gone_of, smaller, texts
 
 WINDOW, ROUNDS, LOWEST = 13, 3, 2  # units come from rounds LOWEST to ROUNDS
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20  # text in a group of documents, and text whose units share a bucket
-DIGEST = 16
 FAR = 1 << 40
 U = np.uint64
 
@@ -155,8 +154,7 @@ def units(words: Words, window: int = WINDOW, rounds: int = ROUNDS, lowest: int
 
 FOUND = "bucket int, g int, units binary, many binary"
 FLAGS = "g int, bucket int, flags binary"
-ENTRIES = "bucket int, g int, digests binary, ords binary, places binary"
-SPANS = "g int, spans binary"
+ENTRIES = "bucket int, g int, digests binary, ords binary, places binary, several binary, extra binary"
 
 
 class Group(Words):
@@ -220,18 +218,12 @@ def _entries(buckets: int) -> Callable:
         raw = b"".join(hashlib.blake2b(g.buffer[a:b], digest_size=DIGEST).digest() for a, b in zip(g.at[at].tolist(), g.end[at + WINDOW - 1].tolist()))
         digest = np.frombuffer(raw, f"V{DIGEST}")
         order = g.order[g.owner[at]]
-        known, which = np.unique(digest, return_inverse=True)
-        low = np.full(len(known), LAST, np.int64)
-        np.minimum.at(low, which, order)
-        gone = order > low[which]
+        gone = smaller(digest, order)
         places = np.column_stack([g.owner[at], at - g.first[g.owner[at]]])
-        rows = [(buckets + me % buckets, me, None, None, _spans(places[gone]))] if gone.any() else []
-        digest, order, places = digest[~gone], order[~gone], places[~gone]
-        bucket = np.frombuffer(digest.tobytes(), "<u8")[::2] % U(buckets)
-        by = np.argsort(bucket, kind="stable")
-        for b, lo, hi in _runs(bucket[by]):
-            s = by[lo:hi]
-            rows.append((b, me, digest[s].tobytes(), order[s].astype("<i8").tobytes(), _u32(places[s])))
+        dealt, extra = by_window(buckets, me, digest[~gone], order[~gone], places[~gone])
+        rows = [(b, me, digests, ords, first, several, None) for b, digests, ords, first, several in dealt]
+        if gone.any() or extra:
+            rows.append((buckets + me % buckets, me, None, None, _spans(places[gone]) if gone.any() else None, None, extra))
         return _table(ENTRIES, rows)
 
     return run
@@ -242,16 +234,13 @@ def _least(buckets: int) -> Callable:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= buckets:  # settled inside their group
-            return _table(SPANS, list(zip(table["g"].to_pylist(), table["places"].to_pylist())))
-        order = _join(table, "ords", "<i8")
-        known, which = np.unique(_join(table, "digests", f"V{DIGEST}"), return_inverse=True)
-        low = np.full(len(known), LAST, np.int64)
-        np.minimum.at(low, which, order)
-        gone, rows, at = order > low[which], [], 0
-        for g, p in zip(table["g"].to_pylist(), table["places"].to_pylist()):
+            return _table(SPANS, [(g, p, None, e) for g, p, e in zip(*(table[c].to_pylist() for c in ("g", "places", "extra")))])
+        digest = _join(table, "digests", f"V{DIGEST}")
+        gone, rows, at = smaller(digest, _join(table, "ords", "<i8")), [], 0
+        for g, p, several in zip(*(table[c].to_pylist() for c in ("g", "places", "several"))):
             to = at + len(p) // 8
             if gone[at:to].any():
-                rows.append((g, _spans(np.frombuffer(p, "<u4").astype(np.int64).reshape(-1, 2)[gone[at:to]])))
+                rows.append((g, _spans(np.frombuffer(p, "<u4").astype(np.int64).reshape(-1, 2)[gone[at:to]]), gone_of(digest[at:to], gone[at:to], several), None))
             at = to
         return _table(SPANS, rows)
 
@@ -265,7 +254,9 @@ def _apply(with_text: bool) -> Callable:
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         g = Words(left)
         edge = np.zeros(g.n + 1, np.int64)
-        spans = np.frombuffer(b"".join(right["spans"].to_pylist()), "<u4").astype(np.int64).reshape(-1, 3)
+        more = extra_places(right)
+        spans = np.frombuffer(b"".join(x for x in right["spans"].to_pylist() if x), "<u4").astype(np.int64).reshape(-1, 3)
+        spans = np.concatenate([spans, np.column_stack([more, more[:, 1] + WINDOW])])
         np.add.at(edge, g.first[spans[:, 0]] + spans[:, 1], 1)
         np.add.at(edge, g.first[spans[:, 0]] + spans[:, 2], -1)
         stays = np.cumsum(edge[:-1]) == 0

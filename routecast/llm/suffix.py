@@ -17,7 +17,8 @@ anchor. Equal windows have equal anchors at equal places, so no match is lost. T
 Occurrences with the same surroundings are merged before the shuffle. The ends of a passage have different surroundings
 in each document, so an anchor that may have more than HOT entries is matched window by window instead: a group keeps the least
 order of each of its windows, settles greater ones itself, and windows are dealt to the buckets by digest. An anchor brings at most
-HOT entries to a bucket, and a window one per group (and repetition in its least document).
+HOT entries to a bucket, and a window one per group, whatever number of rows share its least order (rows without doc_id share one);
+their further places stay with the group.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, own_columns
+from .common import cut, own_columns, salted_join
 
 WINDOW, GRAM = 50, 24
 SPREAD = WINDOW - GRAM + 1
@@ -173,8 +174,9 @@ def texts(docs: DataFrame, groups: int) -> DataFrame:
 FOUND = "bucket int, g int, grams binary, many binary, counts binary"
 FLAGS = "g int, bucket int, flags binary, hot binary"
 DIGEST = 16
-AROUND = "bucket int, g int, grams binary, ords binary, places binary, bytes binary, sizes binary"
-SPANS = "g int, spans binary"
+EXTRA = np.dtype([("digest", f"V{DIGEST}"), ("place", "<u4", 2)])
+AROUND = "bucket int, g int, grams binary, ords binary, places binary, bytes binary, sizes binary, several binary"
+SPANS = "g int, spans binary, gone binary, extra binary"
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -312,7 +314,55 @@ def _around(buckets: int) -> Callable:
 
 
 def _settled(buckets: int, me: int, spans: np.ndarray) -> list[tuple]:
-    return [(buckets + me % buckets, me, None, None, _u32(spans), None, None)] if len(spans) else []
+    return [(buckets + me % buckets, me, None, None, _u32(spans), None, None, None)] if len(spans) else []
+
+
+def by_window(buckets: int, me: int, digest: np.ndarray, order: np.ndarray, places: np.ndarray) -> tuple[list[tuple], bytes]:
+    """Windows of a group, each under its least order, dealt to buckets: ((bucket, digests, orders, first places, several) rows, extra).
+
+    A window goes to its bucket once, however many rows without doc_id, of one doc_id or of one text have it: `several` are the digests of those with further places,
+    and `extra` is these, as (digest, place), which go back to the group past the buckets.
+    """
+    known, first, which = np.unique(digest, return_index=True, return_inverse=True)
+    more = np.ones(len(digest), bool)
+    more[first] = False
+    twice = np.zeros(len(known), bool)
+    twice[which[more]] = True
+    bucket = np.frombuffer(known.tobytes(), "<u8")[::DIGEST // 8] % U(buckets)
+    by = np.argsort(bucket, kind="stable")
+    rows = []
+    for b, lo, hi in _runs(bucket[by]):
+        s = by[lo:hi]
+        rows.append((b, known[s].tobytes(), order[first[s]].astype("<i8").tobytes(), _u32(places[first[s]]), known[s[twice[s]]].tobytes()))
+    extra = np.zeros(int(more.sum()), EXTRA)
+    extra["digest"], extra["place"] = digest[more], places[more]
+    return rows, extra.tobytes()
+
+
+def smaller(digest: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each entry's window also has a smaller order among the entries."""
+    known, which = np.unique(digest, return_inverse=True)
+    low = np.full(len(known), LAST, np.int64)
+    np.minimum.at(low, which, order)
+    return order > low[which]
+
+
+def gone_of(digest: np.ndarray, gone: np.ndarray, several: bytes) -> bytes:
+    """The digests of `several` that are gone."""
+    asked = np.frombuffer(several, f"V{DIGEST}")
+    return np.intersect1d(digest[gone], asked).tobytes() if len(asked) else b""
+
+
+def extra_places(right: pa.Table) -> np.ndarray:
+    """The further places (text, start) of a group's windows that are gone."""
+    gone = np.frombuffer(b"".join(x for x in right["gone"].to_pylist() if x), f"V{DIGEST}")
+    extra = np.frombuffer(b"".join(x for x in right["extra"].to_pylist() if x), EXTRA)
+    if not len(gone) or not len(extra):
+        return np.zeros((0, 2), np.int64)
+    known, which = np.unique(np.concatenate([gone, extra["digest"]]), return_inverse=True)
+    flag = np.zeros(len(known), bool)
+    flag[which[:len(gone)]] = True
+    return extra["place"][flag[which[len(gone):]]].astype(np.int64)
 
 
 def _send(g: Group, me: int, buckets: int, hot: np.ndarray, mine: np.ndarray) -> list[tuple]:
@@ -332,7 +382,7 @@ def _send(g: Group, me: int, buckets: int, hot: np.ndarray, mine: np.ndarray) ->
     for b, lo, hi in _runs(key >> U(32)):
         s = send[lo:hi]
         rows.append((b, me, _u32(key[lo:hi] & U(0xFFFFFFFF)), order[s].astype("<i8").tobytes(),
-                     _u32(np.stack([owner[s], place[s]], 1)), around[s].tobytes(), sizes[s].tobytes()))
+                     _u32(np.stack([owner[s], place[s]], 1)), around[s].tobytes(), sizes[s].tobytes(), None))
     return rows
 
 
@@ -349,13 +399,12 @@ def _spread(buckets: int, me: int, around: np.ndarray, sizes: np.ndarray, order:
         return rows
     digest, orders, starts = map(np.concatenate, parts)
     once = np.unique(starts[:, 0] << 32 | starts[:, 1], return_index=True)[1]  # a window is met at each of its anchors
-    digest, orders, starts = digest[once], orders[once], starts[once]
-    bucket = np.ascontiguousarray(digest[:, :8]).view("<u8").ravel() % U(buckets)
-    by = np.argsort(bucket, kind="stable")
-    for b, lo, hi in _runs(bucket[by]):
-        s = by[lo:hi]
-        rows.append((b, me, None, orders[s].astype("<i8").tobytes(), _u32(starts[s]), digest[s].tobytes(), None))
-    return rows
+    digest, orders, starts = np.ascontiguousarray(digest[once]).view(f"V{DIGEST}").ravel(), orders[once], starts[once]
+    late = smaller(digest, orders)  # around an anchor that only some texts with this window have
+    rows += _settled(buckets, me, np.column_stack([starts[late], starts[late, 1] + WINDOW]))
+    dealt, extra = by_window(buckets, me, digest[~late], orders[~late], starts[~late])
+    rows += [(b, me, None, ords, places, digests, None, several) for b, digests, ords, places, several in dealt]
+    return rows + ([(buckets + me % buckets, me, None, None, None, extra, None, None)] if extra else [])
 
 
 class Suffixes:
@@ -477,7 +526,7 @@ def repeated(grams: np.ndarray, orders: np.ndarray, around: np.ndarray, sizes: n
 def _match(buckets: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= buckets:  # settled inside their group
-            return _table(SPANS, list(zip(table["g"].to_pylist(), table["places"].to_pylist())))
+            return _table(SPANS, [(g, p, None, e) for g, p, e in zip(*(table[c].to_pylist() for c in ("g", "places", "bytes")))])
         hot = pc.is_null(table["grams"])
         return _table(SPANS, _match_entries(table.filter(pc.invert(hot))) + _match_windows(table.filter(hot)))
 
@@ -500,7 +549,7 @@ def _per_group(table: pa.Table, hit: np.ndarray, spans: np.ndarray) -> list[tupl
     for g, p in zip(table["g"].to_pylist(), table["places"].to_pylist()):
         to = at + len(p) // 8
         if hit[at:to].any():
-            rows.append((g, _u32(spans[at:to][hit[at:to]])))
+            rows.append((g, _u32(spans[at:to][hit[at:to]]), None, None))
         at = to
     return rows
 
@@ -523,10 +572,15 @@ def _match_windows(table: pa.Table) -> list[tuple]:
     if not len(table):
         return []
     orders, place = _join(table, "ords", "<i8"), _join(table, "places", "<u4").astype(np.int64).reshape(-1, 2)
-    known, which = np.unique(_join(table, "bytes", f"V{DIGEST}"), return_inverse=True)
-    low = np.full(len(known), LAST, np.int64)
-    np.minimum.at(low, which, orders)
-    return _per_group(table, orders > low[which], np.stack([place[:, 0], place[:, 1], place[:, 1] + WINDOW], 1))
+    digest = _join(table, "bytes", f"V{DIGEST}")
+    gone, at = smaller(digest, orders), 0
+    rows = _per_group(table, gone, np.stack([place[:, 0], place[:, 1], place[:, 1] + WINDOW], 1))
+    for g, digests, several in zip(*(table[c].to_pylist() for c in ("g", "bytes", "several"))):
+        to = at + len(digests) // DIGEST
+        if found := gone_of(digest[at:to], gone[at:to], several):
+            rows.append((g, None, found, None))
+        at = to
+    return rows
 
 
 def _merged(spans: np.ndarray, length: int) -> np.ndarray:
@@ -546,7 +600,9 @@ def _apply(with_text: bool) -> Callable:
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         g = Group(left, 1, find=False)
-        spans = np.frombuffer(b"".join(right["spans"].to_pylist()), "<u4").astype(np.int64).reshape(-1, 3)
+        more = extra_places(right)
+        spans = np.frombuffer(b"".join(x for x in right["spans"].to_pylist() if x), "<u4").astype(np.int64).reshape(-1, 3)
+        spans = np.concatenate([spans, np.column_stack([more, more[:, 1] + WINDOW])])
         spans = spans[np.argsort(spans[:, 0], kind="stable")]
         cuts = np.searchsorted(spans[:, 0], np.arange(len(g.sha) + 1))
         rows = []
@@ -596,7 +652,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = (F.col("ord") > F.col("least")) & (F.col("n_bytes") >= WINDOW)
     nothing = hashlib.sha256(b"").hexdigest()
     whole = F.col("ord") > F.col("least")
-    return rows.join(per, "sha").select(
+    return salted_join(rows, per, "sha").select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).when(whole, F.lit(0)).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).when(whole, F.lit(0)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
@@ -620,7 +676,7 @@ def strip(docs: DataFrame) -> DataFrame:
     copy = F.col("ord") > F.col("least")
     text = F.when(F.col("_null"), F.lit(None)).when(copy & (F.col("n_bytes") >= WINDOW), F.lit("")).otherwise(F.col("kept"))
     changed = F.when(copy, F.col("n_bytes") >= WINDOW).otherwise(F.col("n_removed") > 0)
-    out = sized.join(per, "sha").select("doc_id", text.alias("text"), F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), *names.values())
+    out = salted_join(sized, per, "sha").select("doc_id", text.alias("text"), F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), *names.values())
     back = {n: c for c, n in names.items()}
     out = out.select([F.col(n).alias(back.get(n, n)) for n in out.columns])
     return out.select([F.col(f"`{c}`") for c in docs.columns])

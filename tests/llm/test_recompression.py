@@ -127,3 +127,21 @@ def test_kept_words_and_clashing_columns(make_docs):
     docs = make_docs([(1, p), (2, f"before {p} after"), (3, p), (4, None)]).withColumn("sha", F.lit("x")).withColumn("ord", F.lit(1)).withColumn("g", F.lit(2))
     assert {r.doc_id: r.kept for r in rc.dedup_words(docs, with_text=True).collect()} == {1: p, 2: "before after", 3: "", 4: ""}
     assert rc.op13_substring_dedup(docs.where("false")).count() == 0
+
+
+def test_a_passage_in_every_row_of_a_table_without_ids(make_docs, small):
+    """A bucket gets one entry per window and group, and nothing is lost where one row has an id."""
+    from collections import Counter
+
+    r = np.random.default_rng(5)
+    draw = lambda n: " ".join(f"w{x}" for x in r.integers(0, 9000, n))
+    passage = draw(25)
+    none = [(None, f"{draw(6)} {passage} {draw(6)} {passage}") for _ in range(300)] + [(9, f"{draw(4)} {passage}")] * 2 + [(9, f"{passage} {draw(4)}")]
+    for rows in (none[:300], none, [*none, (1, passage)]):
+        t = rc.texts(make_docs(rows), 5)
+        flags = t.groupBy("g").applyInArrow(rc._found(4), rc.FOUND).groupBy("bucket").applyInArrow(rc._shared, rc.FLAGS)
+        windows = Counter()
+        for x in t.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(rc._entries(4), rc.ENTRIES).collect():
+            windows.update(bytes(w) for w in np.frombuffer(x.digests or b"", np.uint8).reshape(-1, rc.DIGEST))
+        assert len(windows) >= 13 and max(windows.values()) <= 5
+        assert got(make_docs(rows)) == brute(rows)

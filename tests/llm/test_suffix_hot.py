@@ -61,3 +61,17 @@ def test_slices_hold_whole_grams(monkeypatch):
     for size in (1, 40, 200):
         monkeypatch.setattr(suffix, "SLICE", size)
         assert suffix._match_entries(table) == whole
+
+
+def test_a_passage_in_every_row_of_a_table_without_ids(make_docs, hot):
+    """No bucket gets more than an entry per window and group, and nothing is lost where one row has an id."""
+    r = np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + int(c)) for c in r.integers(0, 26, 30))
+    none = [(None, f"{word()} {FOOTER} {word()} {FOOTER}") for _ in range(300)] + [(9, f"{word()} {FOOTER}")] * 2 + [(9, f"{FOOTER} {word()}")]
+    for rows_ in (none[:300], none, [*none, (1, FOOTER)]):
+        t, buckets, windows = suffix.texts(make_docs(rows_), 5), 4, Counter()
+        for x in suffix._entries(t, buckets).collect():
+            if x.bucket < buckets and x.grams is None:
+                windows.update(bytes(w) for w in np.frombuffer(x.bytes, np.uint8).reshape(-1, suffix.DIGEST))
+        assert len(windows) > 50 and max(windows.values()) <= 2 * 5
+        assert got(make_docs(rows_)) == brute(rows_)
