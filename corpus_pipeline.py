@@ -60,10 +60,18 @@ STAGES = [("language", language), ("near_dedup", near_dedup), ("repeats", repeat
 ORACLE_SQL = None  # fingerprints, token ids and learned languages are beyond SQL; tests/llm has a brute-force version
 
 
+def _dropped(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces; every stage but the last is written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    """The packed pieces; every stage but the last is written to the shared folder and read again, and dropped once the next one is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _dropped(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
