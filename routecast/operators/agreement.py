@@ -222,21 +222,6 @@ def transitions(before: DataFrame, after: DataFrame, key: str, level: str) -> Da
     return a.join(b, key).groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _branches(ratings: DataFrame, truth: DataFrame, group: list[str], prompt: str) -> DataFrame:
-    """(group, prompt, truth_level, lower, upper): lower and upper medians of the ratings that are left."""
-    g = ratings.groupBy(*group, prompt).agg(F.sort_array(F.collect_list("rating_level")).alias("l"))
-    n = F.size("l")
-    g = g.select(*group, prompt, F.get("l", F.floor((n - 1) / 2).cast("int")).alias("lower"), F.get("l", F.floor(n / 2).cast("int")).alias("upper"))
-    return g.join(truth.select(prompt, "truth_level"), prompt)
-
-
-def after_removal(ratings: DataFrame, truth: DataFrame, removed: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Descriptors by branch (lower, upper median) without the raters in `removed`; prompts without ratings are left out."""
-    b = _branches(ratings.join(removed.select("rater").distinct(), "rater", "left_anti"), truth, [], prompt)
-    long = b.select("truth_level", F.explode(F.array(F.struct(F.lit("lower").alias("branch"), F.col("lower").alias("level")), F.struct(F.lit("upper").alias("branch"), F.col("upper").alias("level")))).alias("x"))
-    return pair_descriptors(long.select("truth_level", "x.branch", "x.level"), "truth_level", "level", ["branch"])
-
-
 def _medians(counts: Column) -> Column:
     """Lower and upper median of an ascending array of (level, n); nulls if all n are 0."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x.n)
@@ -250,6 +235,20 @@ def _medians(counts: Column) -> Column:
     return F.struct(at(F.floor((total - 1) / 2)).alias("lower"), at(F.floor(total / 2)).alias("upper"))
 
 
+def _branches(ratings: DataFrame, truth: DataFrame, prompt: str) -> DataFrame:
+    """(prompt, truth_level, lower, upper): lower and upper medians of the ratings that are left, read off their counts by level."""
+    n = ratings.groupBy(prompt, F.col("rating_level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    g = n.groupBy(prompt).agg(_medians(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("m"))
+    return g.join(truth.select(prompt, "truth_level"), prompt).select(prompt, "truth_level", "m.*")
+
+
+def after_removal(ratings: DataFrame, truth: DataFrame, removed: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """Descriptors by branch (lower, upper median) without the raters in `removed`; prompts without ratings are left out."""
+    b = _branches(ratings.join(removed.select("rater").distinct(), "rater", "left_anti"), truth, prompt)
+    long = b.select("truth_level", F.explode(F.array(F.struct(F.lit("lower").alias("branch"), F.col("lower").alias("level")), F.struct(F.lit("upper").alias("branch"), F.col("upper").alias("level")))).alias("x"))
+    return pair_descriptors(long.select("truth_level", "x.branch", "x.level"), "truth_level", "level", ["branch"])
+
+
 def leave_one_out(ratings: DataFrame, truth: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Descriptors by removed rater and branch.
 

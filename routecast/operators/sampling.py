@@ -128,12 +128,12 @@ def assignment(prompts: DataFrame, seed: int, participants: int, raters: int, pe
     n = prompts.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     fits = (F.col("n") * raters == participants * per_participant) & (per_participant <= F.col("n")) & (F.col("n") % per_participant == 0)
     good, bad = n.where(fits), n.where(~fits)
-    item = prompts.join(F.broadcast(good), "category").select("category", "prompt_id", "n", (F.row_number().over(Window.partitionBy("category").orderBy(draw_order(seed, F.lit("item"), "category", "prompt_id"), "prompt_id")) - 1).alias("item"))
+    item = prompts.join(good, "category").select("category", "prompt_id", "n", (F.row_number().over(Window.partitionBy("category").orderBy(draw_order(seed, F.lit("item"), "category", "prompt_id"), "prompt_id")) - 1).alias("item"))
     people = good.select("category", F.explode(F.sequence(F.lit(0), F.lit(participants - 1))).alias("participant"))
     people = people.select("category", "participant", (F.row_number().over(Window.partitionBy("category").orderBy(draw_order(seed, F.lit("rater"), "category", "participant"), "participant")) - 1).alias("place"))
     slots = item.select("category", "prompt_id", F.explode(F.sequence(F.lit(0), F.lit(raters - 1))).alias("r"), (F.col("item") + F.col("r") * F.col("n")).alias("slot"))
     slots = slots.withColumn("place", F.floor(F.col("slot") / per_participant).cast("int"))
-    return slots.join(F.broadcast(people), ["category", "place"]).select("participant", "prompt_id", "category"), bad
+    return slots.join(people, ["category", "place"]).select("participant", "prompt_id", "category"), bad
 
 
 def participant_order(plan: DataFrame, seed: int, attention: bool = True) -> DataFrame:

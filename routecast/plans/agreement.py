@@ -12,7 +12,7 @@ from routecast.plans.views import corpus, forecasts, items, over, ratings, ratin
 from routecast.registry import query
 
 LEVELS = ", lv AS (SELECT *, CAST(least(6 * correct_count // k, 5) AS INT) AS a, CAST(least(floor(probability * 6), 5) AS INT) AS b FROM forecasts)"
-RATED = ", lv AS (SELECT rater, prompt, CAST(least(6 * correct_count // k, 5) AS INT) AS a, rating_level AS b FROM ratings3 JOIN v_labels ON prompt = question_id)"
+RATED = ", lv AS (SELECT rater, prompt, CAST(least(6 * correct_count // k, 5) AS INT) AS a, rating_level AS b FROM ratings JOIN v_labels ON prompt = question_id)"
 KAPPA = """(SELECT {g} count(*) AS n, sum(abs(a - b)) AS o FROM {t} {by}) x {j} (SELECT {rg} sum(abs(ra.a - rb.b) * ra.n * rb.n) AS e FROM (SELECT {g} a, count(*) AS n FROM {t} GROUP BY {g} a) ra JOIN (SELECT {g} b, count(*) AS n FROM {t} GROUP BY {g} b) rb ON {on} {rby}) y {using}"""
 
 
@@ -23,7 +23,7 @@ def _levels(spark: SparkSession, d: str) -> DataFrame:
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     l = v_labels(spark, d).select(F.col("question_id").alias("prompt"), truth_level(F.col("correct_count"), F.col("k")).alias("truth_level"))
-    return ratings3(spark, d).join(l, "prompt")
+    return ratings(spark, d).join(l, "prompt")
 
 
 def _kappa_sql(table: str, group: str) -> str:
@@ -88,7 +88,7 @@ def mcnemar(spark: SparkSession, d: str) -> DataFrame:
 DESCRIBE = "avg(b - a) AS bias, avg(abs(b - a)) AS mae, count(*) FILTER (a < 3 AND b < 3) AS tn, count(*) FILTER (a < 3 AND b >= 3) AS fp, count(*) FILTER (a >= 3 AND b < 3) AS fn, count(*) FILTER (a >= 3 AND b >= 3) AS tp, count(*) FILTER (a < 3 AND b >= 3) - count(*) FILTER (a >= 3 AND b < 3) AS net_local"
 
 
-@query("rater_descriptors", over("ratings3 v_labels", RATED + f" SELECT rater, n, CASE WHEN e > 0 THEN CAST(e - n * o AS DOUBLE) / e END AS kappa, bias, mae, tn, fp, fn, tp, net_local, lowest FROM {_kappa_sql('lv', 'rater')} JOIN (SELECT rater, {DESCRIBE}, count(*) FILTER (b = 0) AS lowest FROM lv GROUP BY 1) z USING (rater)"))
+@query("rater_descriptors", over("ratings v_labels", RATED + f" SELECT rater, n, CASE WHEN e > 0 THEN CAST(e - n * o AS DOUBLE) / e END AS kappa, bias, mae, tn, fp, fn, tp, net_local, lowest FROM {_kappa_sql('lv', 'rater')} JOIN (SELECT rater, {DESCRIBE}, count(*) FILTER (b = 0) AS lowest FROM lv GROUP BY 1) z USING (rater)"))
 def rater_descriptors(spark: SparkSession, d: str) -> DataFrame:
     """A10, A11."""
     r = _rated(spark, d)
@@ -127,7 +127,7 @@ def _removal_sql(keep: str, select: str, by: str) -> str:
 lv AS (SELECT {by} u.branch AS branch, u.b AS b, CAST(least(6 * correct_count // k, 5) AS INT) AS a FROM (SELECT {by} prompt, unnest([{{'branch': 'lower', 'b': l[(len(l) - 1) // 2 + 1]}}, {{'branch': 'upper', 'b': l[len(l) // 2 + 1]}}]) AS u FROM br) JOIN v_labels ON prompt = question_id) {select}"""
 
 
-@query("after_removal", over("ratings3 v_labels", _removal_sql("(SELECT * FROM ratings3 WHERE rater % 7 <> 0)", f"SELECT branch, n, CASE WHEN e > 0 THEN CAST(e - n * o AS DOUBLE) / e END AS kappa, bias, mae, tn, fp, fn, tp, net_local FROM {_kappa_sql('lv', 'branch')} JOIN (SELECT branch, {DESCRIBE} FROM lv GROUP BY 1) z USING (branch)", "")))
+@query("after_removal", over("ratings v_labels", _removal_sql("(SELECT * FROM ratings WHERE rater % 7 <> 0)", f"SELECT branch, n, CASE WHEN e > 0 THEN CAST(e - n * o AS DOUBLE) / e END AS kappa, bias, mae, tn, fp, fn, tp, net_local FROM {_kappa_sql('lv', 'branch')} JOIN (SELECT branch, {DESCRIBE} FROM lv GROUP BY 1) z USING (branch)", "")))
 def after_removal(spark: SparkSession, d: str) -> DataFrame:
     """A15, A20."""
     r = _rated(spark, d)
@@ -135,26 +135,26 @@ def after_removal(spark: SparkSession, d: str) -> DataFrame:
     return A.after_removal(r, truth, r.where("rater % 7 = 0")).drop("numerator", "denominator")
 
 
-@query("leave_one_rater_out", over("ratings3 v_labels", _removal_sql("(SELECT q.removed, x.* FROM ratings3 x JOIN (SELECT DISTINCT rater AS removed FROM ratings3) q ON q.removed <> x.rater)", f""", lz AS (SELECT *, removed || branch AS rb FROM lv)
+@query("leave_one_rater_out", over("ratings v_labels", _removal_sql("(SELECT q.removed, x.* FROM ratings x JOIN (SELECT DISTINCT rater AS removed FROM ratings) q ON q.removed <> x.rater)", f""", lz AS (SELECT *, removed || branch AS rb FROM lv)
 SELECT z.removed, z.branch, x.n, CASE WHEN e > 0 THEN CAST(e - n * o AS DOUBLE) / e END AS kappa, z.fp, z.fn FROM {_kappa_sql('lz', 'rb')} JOIN (SELECT rb, any_value(removed) AS removed, any_value(branch) AS branch, count(*) FILTER (a < 3 AND b >= 3) AS fp, count(*) FILTER (a >= 3 AND b < 3) AS fn FROM lz GROUP BY 1) z USING (rb)""", "removed,")))
 def leave_one_rater_out(spark: SparkSession, d: str) -> DataFrame:
     r = _rated(spark, d)
     return A.leave_one_out(r, r.select("prompt", "truth_level").distinct()).select("removed", "branch", "n", "kappa", "fp", "fn")
 
 
-RATER_MEANS = ", m AS (SELECT rater, avg(rating_level) AS v FROM ratings3 GROUP BY 1)"
+RATER_MEANS = ", m AS (SELECT rater, avg(rating_level) AS v FROM ratings GROUP BY 1)"
 
 
 def _rater_means(spark: SparkSession, d: str) -> DataFrame:
-    return ratings3(spark, d).groupBy("rater").agg(F.avg("rating_level").alias("v"))
+    return ratings(spark, d).groupBy("rater").agg(F.avg("rating_level").alias("v"))
 
 
-@query("rater_iqr_fences", over("ratings3", RATER_MEANS + ", q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM m) SELECT rater, v, a - 1.5e0 * (b - a) AS low, b + 1.5e0 * (b - a) AS high FROM m, q WHERE v < a - 1.5e0 * (b - a) OR v > b + 1.5e0 * (b - a)"))
+@query("rater_iqr_fences", over("ratings", RATER_MEANS + ", q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM m) SELECT rater, v, a - 1.5e0 * (b - a) AS low, b + 1.5e0 * (b - a) AS high FROM m, q WHERE v < a - 1.5e0 * (b - a) OR v > b + 1.5e0 * (b - a)"))
 def rater_iqr_fences(spark: SparkSession, d: str) -> DataFrame:
     return A.iqr_fences(_rater_means(spark, d), "v")
 
 
-@query("rater_mad_fences", over("ratings3", RATER_MEANS + ", q AS (SELECT median(v) AS c FROM m), w AS (SELECT c, median(abs(v - c)) AS w FROM m, q GROUP BY c) SELECT rater, v, c - 2 * 1.4826e0 * w AS low, c + 2 * 1.4826e0 * w AS high FROM m, w WHERE v < c - 2 * 1.4826e0 * w OR v > c + 2 * 1.4826e0 * w"))
+@query("rater_mad_fences", over("ratings", RATER_MEANS + ", q AS (SELECT median(v) AS c FROM m), w AS (SELECT c, median(abs(v - c)) AS w FROM m, q GROUP BY c) SELECT rater, v, c - 2 * 1.4826e0 * w AS low, c + 2 * 1.4826e0 * w AS high FROM m, w WHERE v < c - 2 * 1.4826e0 * w OR v > c + 2 * 1.4826e0 * w"))
 def rater_mad_fences(spark: SparkSession, d: str) -> DataFrame:
     return A.mad_fences(_rater_means(spark, d), "v")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from routecast.functions.expr import truth_level
 from routecast.operators import families as FM
 from routecast.operators import sampling as S
-from routecast.plans.views import corpus, items, over, ratings3, read, split, v_labels
+from routecast.plans.views import corpus, items, over, ratings, read, split, v_labels
 from routecast.registry import query
 
 LEVELLED = ", lv AS (SELECT question_id, category, CAST(least(6 * correct_count // k, 5) AS INT) AS level FROM v_labels JOIN items USING (question_id))"
@@ -97,26 +97,26 @@ def priority_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.priority_sample(t, 5, per_category=2, total=100)
 
 
-ASSIGN = """, q AS (SELECT category, prompt_id, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws(':', '9', 'item', category, prompt_id)), prompt_id) - 1 AS item FROM (SELECT category, question_id AS prompt_id, row_number() OVER (PARTITION BY category ORDER BY question_id) AS p FROM items) WHERE p <= 20),
+# 20 prompts a category by the seeded draw of D4, over the whole table.
+DRAWN = POOLS + takes_sql(20) + """, o AS (SELECT *, row_number() OVER (PARTITION BY category, level ORDER BY md5(concat_ws(':', '7', category, question_id)), question_id) AS place FROM lv),
+dr AS (SELECT category, question_id AS prompt_id FROM o JOIN tk USING (category) WHERE place <= take[level + 1])"""
+ASSIGN = DRAWN + """, q AS (SELECT category, prompt_id, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws(':', '9', 'item', category, prompt_id)), prompt_id) - 1 AS item FROM dr),
 w AS (SELECT category, v AS participant, row_number() OVER (PARTITION BY category ORDER BY md5(concat_ws(':', '9', 'rater', category, v)), v) - 1 AS place FROM (SELECT DISTINCT category FROM q), range(30) t(v)),
 s AS (SELECT category, prompt_id, item + r.v * 20 AS slot FROM q, range(3) r(v)), g AS (SELECT CAST(participant AS INT) AS participant, prompt_id, category FROM s JOIN w USING (category) WHERE place = slot // 2)"""
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("category").orderBy("question_id"))
-    prompts = items(spark, d).select("category", F.col("question_id").alias("prompt_id"), place.alias("p")).where("p <= 20").drop("p")
+    prompts = S.stratified_draw(_levelled(spark, d), 20, 7).select("category", F.col("question_id").alias("prompt_id"))
     return S.assignment(prompts, 9, participants=30, raters=3, per_participant=2)[0]
 
 
-@query("rater_assignment", over("items", ASSIGN + " SELECT * FROM g"))
+@query("rater_assignment", over("v_labels items", ASSIGN + " SELECT * FROM g"))
 def rater_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d)
 
 
-@query("participant_order", over("items", ASSIGN + """, o AS (SELECT participant, CAST(prompt_id AS VARCHAR) AS prompt_id, category, CAST(row_number() OVER (PARTITION BY participant ORDER BY md5(concat_ws(':', '9', participant, prompt_id)), prompt_id) AS DOUBLE) AS pos FROM g),
-n AS (SELECT participant, count(*) AS n FROM g GROUP BY 1), u AS (SELECT * FROM o UNION ALL SELECT participant, 'ATT-' || participant, 'attention', CAST('0x' || left(md5(concat_ws(':', '9', 'attention', participant)), 8) AS BIGINT) % n + 1.5e0 FROM n)
+@query("participant_order", over("v_labels items", ASSIGN + """, po AS (SELECT participant, CAST(prompt_id AS VARCHAR) AS prompt_id, category, CAST(row_number() OVER (PARTITION BY participant ORDER BY md5(concat_ws(':', '9', participant, prompt_id)), prompt_id) AS DOUBLE) AS pos FROM g),
+n AS (SELECT participant, count(*) AS n FROM g GROUP BY 1), u AS (SELECT * FROM po UNION ALL SELECT participant, 'ATT-' || participant, 'attention', CAST('0x' || left(md5(concat_ws(':', '9', 'attention', participant)), 8) AS BIGINT) % n + 1.5e0 FROM n)
 SELECT participant, CAST(row_number() OVER (PARTITION BY participant ORDER BY pos) AS INT) AS position, prompt_id, category FROM u"""))
 def participant_order(spark: SparkSession, d: str) -> DataFrame:
     return S.participant_order(_assigned(spark, d).withColumn("prompt_id", F.col("prompt_id").cast("string")), 9)
@@ -135,7 +135,7 @@ def packages(spark: SparkSession, d: str) -> DataFrame:
     return S.packages(corpus(spark, d).select("question_id"), ["ann", "bo", "cy"], 4, "question_id")
 
 
-@query("design_check", over("items", ASSIGN + " SELECT rule, found, wanted FROM (SELECT unnest([{'rule': 'prompts', 'found': count(DISTINCT prompt_id), 'wanted': 280}, {'rule': 'categories', 'found': count(DISTINCT category), 'wanted': 14}, {'rule': 'participants', 'found': count(DISTINCT participant), 'wanted': 30}], recursive := true) FROM g) WHERE found <> wanted"))
+@query("design_check", over("v_labels items", ASSIGN + " SELECT rule, found, wanted FROM (SELECT unnest([{'rule': 'prompts', 'found': count(DISTINCT prompt_id), 'wanted': 280}, {'rule': 'categories', 'found': count(DISTINCT category), 'wanted': 14}, {'rule': 'participants', 'found': count(DISTINCT participant), 'wanted': 30}], recursive := true) FROM g) WHERE found <> wanted"))
 def design_check(spark: SparkSession, d: str) -> DataFrame:
     """D12."""
     return S.design_faults(_assigned(spark, d), 280, 14, 30, 12)
@@ -212,6 +212,6 @@ def normalised_families(spark: SparkSession, d: str) -> DataFrame:
     return FM.families(read(spark, d, "documents").select("doc_id", "text"), "doc_id", ["text"])
 
 
-@query("design_pairs", over("ratings3", "SELECT prompt, count(DISTINCT rater) AS raters FROM ratings3 GROUP BY 1"))
+@query("design_pairs", over("ratings", "SELECT prompt, count(DISTINCT rater) AS raters FROM ratings GROUP BY 1"))
 def design_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return ratings3(spark, d).groupBy("prompt").agg(F.count_distinct("rater").alias("raters"))
+    return ratings(spark, d).groupBy("prompt").agg(F.count_distinct("rater").alias("raters"))

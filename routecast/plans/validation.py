@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from routecast.functions.expr import stratum
 from routecast.operators import checks as C
-from routecast.plans.views import corpus, forecasts, items, over, ratings, ratings3, read, split, trials, v_labels, verdicts
+from routecast.plans.views import corpus, forecasts, items, over, ratings, read, split, trials, v_labels, verdicts
 from routecast.registry import query
 
 
@@ -103,9 +103,9 @@ def manifest_difference(spark: SparkSession, d: str) -> DataFrame:
     return C.manifest_difference(a, b)
 
 
-@query("design_overlap", over("ratings3", "SELECT x.rater AS a, y.rater AS b, count(*) AS shared FROM ratings3 x JOIN ratings3 y ON x.prompt = y.prompt AND x.rater < y.rater GROUP BY 1, 2"))
+@query("design_overlap", over("ratings", "SELECT x.rater AS a, y.rater AS b, count(*) AS shared FROM ratings x JOIN ratings y ON x.prompt = y.prompt AND x.rater < y.rater GROUP BY 1, 2"))
 def design_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return C.pair_overlap(ratings3(spark, d), "rater", "prompt")
+    return C.pair_overlap(ratings(spark, d), "rater", "prompt")
 
 
 @query("design_faults", over("ratings items", """, g AS (SELECT rater, prompt, category FROM ratings JOIN items ON prompt = question_id)
