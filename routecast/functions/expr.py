@@ -100,11 +100,27 @@ def suspect(answer: Column) -> Column:
         (words <= 2) & (F.length(a) <= 12), "very_short").otherwise("")
 
 
+#: Inline and display mathematics between dollars, and signs that only mathematics has.
+DISPLAY_MATH = r"(?s)\$\$(.+?)\$\$"
+INLINE_MATH = r"(?<!\$)\$(?!\$)[^$\n]+?\$(?!\$)"
+MATH_SIGNS = r"[\\^_=]"
+
+
 def math_delimiters(text: Column) -> Column:
-    """`$$x$$` to `\\[x\\]`, and `$x$` to `\\(x\\)` where x does not start with a digit or has one of `\\ ^ _ =`."""
-    display = F.regexp_replace(text, r"(?s)\$\$(.+?)\$\$", r"\\[$1\\]")
-    looks = r"(?=\s*[^\s$\d]|[^$\n]*[\\^_=])"
-    return F.regexp_replace(display, r"(?U)(?<!\$)\$(?!\$)" + looks + r"([^$\n]*?[^\s$][^$\n]*?)\$(?!\$)", r"\\($1\\)")
+    """`$$x$$` to `\\[x\\]`, and `$x$` to `\\(x\\)` where x does not start with a digit or has one of `\\ ^ _ =`.
+
+    Dollars pair up from the left, whether a pair is changed or not, so of `$5 and $x$` nothing is mathematics.
+    """
+    display = F.regexp_replace(text, DISPLAY_MATH, r"\\[$1\\]")
+
+    def changed(pair: Column) -> Column:
+        inside = F.substring(pair, F.lit(2), F.length(pair) - 2)
+        looks = inside.rlike(r"(?U)^\s*[^\s\d]") | (inside.rlike(r"(?U)\S") & inside.rlike(MATH_SIGNS))
+        return F.when(looks, F.concat(F.lit("\\("), inside, F.lit("\\)"))).otherwise(pair)
+
+    between, pairs = F.split(display, INLINE_MATH, -1), F.regexp_extract_all(display, F.lit(INLINE_MATH), F.lit(0))
+    rest = F.transform(pairs, lambda p, i: F.concat(changed(p), F.get(between, i + 1)))
+    return F.concat(F.get(between, F.lit(0)), F.array_join(rest, ""))
 
 
 def repaired_json(text: Column) -> Column:
@@ -161,7 +177,7 @@ def coded_background(df: DataFrame, field: str = "field", raw: str = "raw") -> D
 def reversed_votes(df: DataFrame, corrections: DataFrame) -> DataFrame:
     """Swaps yes and no of the (rater, field) pairs in `corrections`; adds `reversed`."""
     c = corrections.select(F.col("rater").alias("_r"), F.col("field").alias("_f"))
-    j = df.join(F.broadcast(c), (F.col("rater") == F.col("_r")) & (F.col("field") == F.col("_f")), "left")
+    j = df.join(c, (F.col("rater") == F.col("_r")) & (F.col("field") == F.col("_f")), "left")
     hit = F.col("_r").isNotNull() & F.col("vote").isin("yes", "no")
     vote = F.when(hit & (F.col("vote") == "yes"), "no").when(hit, "yes").otherwise(F.col("vote"))
     return j.select(*[c for c in df.columns if c != "vote"], vote.alias("vote"), F.coalesce(hit, F.lit(False)).alias("reversed"))

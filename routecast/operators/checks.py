@@ -182,12 +182,18 @@ def key_corpus_faults(key: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def blind_design(order: DataFrame, verdicts: DataFrame, runs: DataFrame) -> DataFrame:
-    """(rule, n): repeated blind or real ids, verdicts not covering the order, runs (run, id) not covering it."""
+    """(rule, n): repeated blind or real ids, verdicts not covering the order, runs (run, id) not covering it.
+
+    What the runs lack is counted, all ids less a run's own known ones; no run meets ids that it has no row for.
+    """
     count = lambda df, rule: df.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(rule).alias("rule"), "n")
-    names = runs.select("run").distinct()
-    wanted = order.select("id").crossJoin(F.broadcast(names))  # a few runs beside the ids
+    ids = order.select("id").distinct()
+    seen = runs.select("run", "id").distinct().join(ids.withColumn("known", F.lit(True)), "id", "left")
+    per = seen.groupBy("run").agg(F.count("known").alias("have"), F.count_if(F.col("known").isNull()).alias("more"))
+    total = ids.agg(F.count(F.lit(1)).alias("all"))
+    off = per.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum(F.col("all") - F.col("have") + F.col("more")), F.lit(0)).cast("long").alias("n"))  # one row
     return count(duplicates(order, "blind_id"), "blind_id").union(count(duplicates(order, "id"), "id")).union(
-        count(key_difference(order, verdicts, "blind_id"), "verdicts")).union(count(key_difference(wanted, runs, ["run", "id"]), "runs"))
+        count(key_difference(order, verdicts, "blind_id"), "verdicts")).union(off.where("n > 0").select(F.lit("runs").alias("rule"), "n"))
 
 
 def matrix_faults(ratings: DataFrame, per_prompt: int = 3, raters: int | None = None) -> DataFrame:

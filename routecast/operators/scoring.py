@@ -132,13 +132,13 @@ def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.abs("gap")), F.sum("n")).alias("ece"))
 
 
-def bin_faults(bins: DataFrame, rows: DataFrame, stored_ece: float | None = None, count: int = 10) -> DataFrame:
-    """(rule, ok): the bins are 0..count-1, hold all rows, and reproduce the stored error."""
+def bin_faults(bins: DataFrame, rows: DataFrame, stored_ece: float | None = None, count: int = 10, tolerance: float = 1e-14) -> DataFrame:
+    """(rule, ok): the bins are 0..count-1, hold all rows, and reproduce the stored error within `tolerance`."""
     total = rows.agg(F.count(F.lit(1)).alias("rows"))
     g = bins.agg(F.count_distinct("bin").alias("bins"), F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("n").alias("n")).crossJoin(total).crossJoin(calibration_error(bins).select("ece"))  # one row each
     rules = [("partition", (F.col("bins") == count) & (F.col("lo") == 0) & (F.col("hi") == count - 1)), ("total", F.col("n") == F.col("rows"))]
     if stored_ece is not None:
-        rules.append(("error", F.abs(F.col("ece") - stored_ece) <= 1e-14))
+        rules.append(("error", F.abs(F.col("ece") - stored_ece) <= tolerance))
     return g.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), c.alias("ok")) for r, c in rules])).alias("x")).select("x.*")
 
 

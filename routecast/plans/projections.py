@@ -34,9 +34,11 @@ def wording_flags(spark: SparkSession, d: str) -> DataFrame:
                                               X.slug(F.col("source")).alias("slug"), X.ungradable(t).alias("ungradable"), X.word_count(t).alias("words"))
 
 
-@query("list_style_items", "SELECT p_partkey AS question_id, starts_with(lower(trim('Which of the following ' || p_name)), 'which of the following') AS list_style FROM part")
+@query("list_style_items", "SELECT p_partkey AS question_id, p_size % 5 = 0 AS list_style FROM part")
 def list_style_items(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select(F.col("p_partkey").alias("question_id"), X.list_style(F.concat(F.lit("Which of the following "), "p_name")).alias("list_style"))
+    """P5: questions of which those of every fifth size ask for one of a list."""
+    text = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("  Which of the following is a "), "p_name")).otherwise(F.concat(F.lit("Which of these is a "), "p_name"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("question_id"), X.list_style(text).alias("list_style"))
 
 
 @query("answer_leaks", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON length(trim(b.text)) >= 8 AND contains(lower(d.text), lower(trim(b.text)))")
@@ -49,20 +51,19 @@ def answer_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("math_delimiters", r"""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pay ' || '\(x_' || doc_id || '\) or $5 and $10' WHEN doc_id % 3 = 1 THEN '\[a' || doc_id || chr(10) || 'b\]' ELSE 'no dollars' END AS text FROM documents""")
+WITH x AS (SELECT doc_id, regexp_replace(text, '[$\n]', ' ', 'g') AS x FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(x, '^\s*[^\s\d]') OR (trim(x) <> '' AND regexp_matches(x, '[\\^_=]')) THEN '\(' || x || '\)' ELSE '$' || x || '$' END || ' or $5 and $10' AS text FROM x""")
 def math_delimiters(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id").cast("string")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("pay $x_"), i, F.lit("$ or $5 and $10"))).when(
-        F.col("doc_id") % 3 == 1, F.concat(F.lit("$$a"), i, F.lit("\nb$$"))).otherwise("no dollars")
-    return read(spark, d, "documents").select("doc_id", X.math_delimiters(raw).alias("text"))
+    """Whole texts between dollars, before prices."""
+    x = F.regexp_replace("text", r"[$\n]", " ")
+    return read(spark, d, "documents").select("doc_id", X.math_delimiters(F.concat(F.lit("$"), x, F.lit("$ or $5 and $10"))).alias("text"))
 
 
-@query("repaired_json", "SELECT doc_id, 'k' || (doc_id % 5) AS verdict, '50% of \\alpha_' || doc_id AS reason FROM documents")
+@query("repaired_json", "SELECT doc_id, source AS verdict, text AS reason FROM documents")
 def repaired_json(spark: SparkSession, d: str) -> DataFrame:
-    """Replies with invalid escapes are parsed after repair."""
-    i = F.col("doc_id")
-    raw = F.concat(F.lit('{"verdict": "k'), (i % 5).cast("string"), F.lit('", "reason": "50\\% of \\alpha\\_'), i.cast("string"), F.lit('"}'))
-    r = F.from_json(X.repaired_json(raw), "verdict string, reason string")
+    """Replies that quote whole texts, with escapes before `%`, `&`, `#` and `_` that JSON does not have, are parsed after repair."""
+    valid = F.to_json(F.struct(F.col("source").alias("verdict"), F.col("text").alias("reason")), {"ignoreNullFields": "false"})
+    r = F.from_json(X.repaired_json(F.regexp_replace(valid, r"(?<!\\)[%&#_]", r"\\$0")), "verdict string, reason string")
     return read(spark, d, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.verdict", "r.reason")
 
 
@@ -105,13 +106,14 @@ def decode_heads(spark: SparkSession, d: str) -> DataFrame:
     return z.select("question_id", mean("five", "regression"), mean("five", "binomial"), mean("five", "beta_binomial"), mean("five", "corn"), mean("six", "softmax"))
 
 
-@query("valid_pmfs", over("forecasts", "SELECT question_id, probability BETWEEN 0 AND 1 AS valid, true AS consistent FROM forecasts"))
+@query("valid_pmfs", over("forecasts", "SELECT question_id, correct_count % 4 <> 0 AS valid, k % 3 <> 0 AS consistent FROM forecasts"))
 def valid_pmfs(spark: SparkSession, d: str) -> DataFrame:
-    """The binomial head's distribution is valid and its mean is consistent with the logit."""
-    p = F.greatest(F.least(F.col("probability"), F.lit(0.999)), F.lit(0.001))
-    f = forecasts(spark, d).select("question_id", "probability", F.array(F.ln(p / (1 - p))).alias("logits"), p.alias("p"))
+    """The binomial head's distribution, with its first share lost where the count divides by 4, and a mean, stored too large where the trials divide by 3."""
+    p = F.greatest(F.least(F.col("probability"), F.lit(0.9)), F.lit(0.1))
+    f = forecasts(spark, d).select("question_id", "correct_count", F.array(F.ln(p / (1 - p))).alias("logits"), p.alias("p"), F.when(F.col("k") % 3 == 0, p + 0.01).otherwise(p).alias("stored"))
     _, pmf = X.decoded(F.col("logits"), "binomial")
-    return f.select("question_id", X.valid_pmf(pmf, F.col("p")).alias("valid"), X.consistent(F.col("p"), F.col("logits"), "binomial").alias("consistent"))
+    broken = F.when(F.col("correct_count") % 4 == 0, F.transform(pmf, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x))).otherwise(pmf)
+    return f.select("question_id", X.valid_pmf(broken, F.col("p")).alias("valid"), X.consistent(F.col("stored"), F.col("logits"), "binomial").alias("consistent"))
 
 
 @query("strata", over("corpus", """
@@ -128,12 +130,17 @@ def scaled_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("strict_parses", """
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 = 1 THEN false END AS flag, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS number FROM orders""")
+WITH x AS (SELECT o_orderkey, unnest(['status', 'priority', 'key', 'customer', 'price', 'large']) AS field, unnest([o_orderstatus, left(o_orderpriority, 1), '0' || o_orderkey, CAST(o_custkey AS VARCHAR), NULL, NULL]) AS raw,
+  o_totalprice > 150000 AS large FROM orders)
+SELECT o_orderkey, field, CASE WHEN field = 'large' THEN CASE WHEN large THEN true WHEN o_orderkey % 2 = 0 THEN false END END AS flag,
+  CASE WHEN field IN ('priority', 'customer') THEN CAST(raw AS BIGINT) END AS number FROM x""")
 def strict_parses(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    flag = F.when(k % 4 == 0, "True").when(k % 4 == 1, "FALSE").when(k % 4 == 2, "true").otherwise("1")
-    number = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit("0"), k.cast("string"))).otherwise(F.concat(F.lit("+"), k.cast("string")))
-    return read(spark, d, "orders").select("o_orderkey", X.strict_bool(flag).alias("flag"), X.strict_int(number).alias("number"))
+    """Texts of several columns read as truth values and as whole numbers."""
+    large = F.col("o_totalprice") > 150000
+    texts = {"status": F.col("o_orderstatus"), "priority": F.substring("o_orderpriority", 1, 1), "key": F.concat(F.lit("0"), F.col("o_orderkey").cast("string")), "customer": F.col("o_custkey").cast("string"),
+             "price": F.format_string("%.2f", "o_totalprice"), "large": F.when(large, "TRUE").otherwise(F.when(F.col("o_orderkey") % 2 == 0, "False").otherwise("false"))}
+    rows = read(spark, d, "orders").select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), t.alias("raw")) for k, t in texts.items()])).alias("x")).select("o_orderkey", "x.*")
+    return rows.select("o_orderkey", "field", X.strict_bool(F.col("raw")).alias("flag"), X.strict_int(F.col("raw")).alias("number"))
 
 
 @query("normalised_keys", r"SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS key FROM documents")

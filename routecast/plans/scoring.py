@@ -78,10 +78,14 @@ def calibration_error(spark: SparkSession, d: str) -> DataFrame:
     return M.calibration_error(M.reliability_bins(forecasts(spark, d)))
 
 
-@query("bin_faults", over("forecasts", "SELECT unnest(['partition', 'total']) AS rule, true AS ok FROM (SELECT count(*) AS n FROM forecasts)"))
+@query("bin_faults", over("forecasts", """, b AS (SELECT least(floor(probability * 10), 9) AS bin, count(*) AS n, abs(avg(probability) - avg(correct_count / CAST(k AS DOUBLE))) AS gap FROM forecasts GROUP BY 1),
+g AS (SELECT 'whole' AS bins, 10 AS wanted, * FROM b UNION ALL SELECT 'part', 9, * FROM b WHERE bin < 9), e AS (SELECT bins, any_value(wanted) = 10 AS whole, sum(n) AS n, sum(n * gap) / sum(n) AS ece FROM g GROUP BY 1)
+SELECT bins, unnest(['partition', 'total', 'error']) AS rule, unnest([whole, n = (SELECT count(*) FROM forecasts), ece <= 0.2e0]) AS ok FROM e"""))
 def bin_faults(spark: SparkSession, d: str) -> DataFrame:
+    """All bins of the forecasts, and all but the last, held against the rows and a stored error."""
     f = forecasts(spark, d)
-    return M.bin_faults(M.reliability_bins(f), f)
+    bins = M.reliability_bins(f)
+    return M.bin_faults(bins, f, 0.1, tolerance=0.1).select(F.lit("whole").alias("bins"), "rule", "ok").unionByName(M.bin_faults(bins.where("bin < 9"), f, 0.1, tolerance=0.1).select(F.lit("part").alias("bins"), "rule", "ok"))
 
 
 PMF = "[pow(1 - q, 5), 5 * q * pow(1 - q, 4), 10 * q * q * pow(1 - q, 3), 10 * pow(q, 3) * pow(1 - q, 2), 5 * pow(q, 4) * (1 - q), pow(q, 5)]"

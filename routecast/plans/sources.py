@@ -46,6 +46,18 @@ def tolerant_lines(spark: SparkSession, d: str) -> DataFrame:
     return R.read_tolerant(spark, _lines(spark, d), LABEL)
 
 
+@query("latest_lines", "SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 AND doc_id % 7 > 0 THEN 1 - quality ELSE quality END AS INT) AS quality, CAST(toxic AS INT) AS toxic FROM labels")
+def latest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """S3 with a later row for every third id, of which every seventh is cut short and does not count."""
+    i, path = F.col("doc_id"), fresh(spark, "latest")
+    l = read(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    line = F.to_json(F.struct("doc_id", "quality", "toxic"))
+    first = l.select(F.lit(0).alias("version"), "doc_id", line.alias("value"))
+    later = l.where(i % 3 == 0).withColumn("quality", 1 - F.col("quality")).select(F.lit(1).alias("version"), "doc_id", F.when(i % 7 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    first.unionByName(later).orderBy("version", "doc_id").select("value").write.text(path)
+    return R.read_latest(spark, path, LABEL, "doc_id")
+
+
 @query("numbered_records", f"WITH {LINES}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS line FROM x) SELECT line, fault FROM o WHERE fault = 'malformed'")
 def numbered_records(spark: SparkSession, d: str) -> DataFrame:
     """Where the bad lines of one file are, counted from 1."""
@@ -64,13 +76,16 @@ def one_object(spark: SparkSession, d: str) -> DataFrame:
     return R.read_object(spark, path, "n long, toxic long")
 
 
-@query("participant_files", "SELECT c_custkey AS participant, c_mktsegment AS segment, 'part' AS file_id FROM customer")
+@query("participant_files", """
+WITH x AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN 'P0' ELSE 'P' || c_nationkey END AS participant_id, CASE WHEN c_custkey % 40 = 3 THEN 3 ELSE c_custkey END AS prompt_id, c_mktsegment AS segment, 'P' || c_nationkey AS file_id FROM customer)
+SELECT *, CASE WHEN participant_id <> file_id THEN 'participant' WHEN count(*) OVER (PARTITION BY participant_id, prompt_id) > 1 THEN 'repeated' END AS fault FROM x""")
 def participant_files(spark: SparkSession, d: str) -> DataFrame:
-    """CSV with a header, one folder a segment and all fields quoted."""
-    path = fresh(spark, "participants")
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("participant"), F.col("c_mktsegment").alias("segment"), F.col("c_mktsegment").alias("folder"))
+    """CSV with a header and all fields quoted, a file for each nation as the participant, named by its folder; some rows name another, some prompts come twice."""
+    path, k, nation = fresh(spark, "participants"), F.col("c_custkey"), F.concat(F.lit("P"), F.col("c_nationkey").cast("string"))
+    c = read(spark, d, "customer").select(F.when(k % 50 == 0, "P0").otherwise(nation).alias("participant_id"), F.when(k % 40 == 3, F.lit(3).cast("long")).otherwise(k).alias("prompt_id"), F.col("c_mktsegment").alias("segment"), nation.alias("folder"))
     R.write_csv(c, path, per="folder", quote_all=True)
-    return R.read_participants(spark, path, "participant long, segment string", name=r"^(part)-").select("participant", "segment", "file_id")
+    rows = R.read_participants(spark, f"{path}/*/", "participant_id string, prompt_id long, segment string", name=r"folder=([^/]+)/")
+    return R.participant_faults(rows.select("participant_id", "prompt_id", "segment", "file_id"))
 
 
 @query("scenario_file", "SELECT p_brand AS policy, CASE WHEN p_size % 5 > 0 THEN p_size END AS local_retries, p_size AS attempts, CASE WHEN p_size % 5 = 0 AND p_size % 2 = 1 THEN 'local_retries' END AS fault FROM part")
@@ -115,11 +130,14 @@ def file_digests(spark: SparkSession, d: str) -> DataFrame:
     return R.digests(spark, f"{path}/*/*.txt").select("bytes", "sha256")
 
 
-@query("pin_faults", "SELECT CAST(r_regionkey AS VARCHAR) AS name, CASE r_regionkey % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'unpinned' ELSE 'changed' END AS fault FROM region WHERE r_regionkey % 4 < 3")
+@query("pin_faults", "SELECT r_name AS name, CASE r_regionkey % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'unpinned' ELSE 'changed' END AS fault FROM region WHERE r_regionkey % 4 < 3")
 def pin_faults(spark: SparkSession, d: str) -> DataFrame:
-    """Found digests against pinned ones, with a file missing, one unpinned and one changed."""
-    k = F.col("r_regionkey")
-    r = read(spark, d, "region").select(k.cast("string").alias("name"), k, F.sha2("r_name", 256).alias("sha256"))
-    found = r.where(k % 4 != 0).select("name", "sha256")
-    pins = r.where(k % 4 != 1).select("name", F.when(k % 4 == 2, F.sha2("name", 256)).otherwise(F.col("sha256")).alias("sha256"))
-    return R.pin_faults(found, pins)
+    """Digests of files, one of nation names a region, against pinned ones, with a file missing, one unpinned and one changed."""
+    k, path = F.col("r_regionkey"), fresh(spark, "pinned")
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("value"), "n_nationkey", "r_name", k)
+    rows.where(k % 4 != 0).repartition("r_name").sortWithinPartitions("r_name", "n_nationkey").select("value", "r_name").write.partitionBy("r_name").text(path)
+    found = R.digests(spark, f"{path}/*/*.txt", name=r"r_name=([^/]+)/")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "value"))), lambda x: F.concat(x.value, F.lit("\n")))  # a region's few nations
+    pins = rows.where(k % 4 != 1).groupBy(F.col("r_name").alias("name"), k).agg(F.array_join(names, "").alias("c"))
+    return R.pin_faults(found.select("name", "sha256"), pins.select("name", F.sha2(F.when(k % 4 == 2, F.concat("c", F.lit("more"))).otherwise(F.col("c")), 256).alias("sha256")))

@@ -49,6 +49,15 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_latest(spark: SparkSession, path: str, schema: T.StructType | str, key: str) -> DataFrame:
+    """S3: of the JSON lines that parse, the last one of each key, in the order of files by name and lines in them; lines without a key are left out."""
+    row = F.from_json("value", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(place.alias("place"), row.alias("r")).where(f"r is not null and r.{CORRUPT} is null and r.{key} is not null")
+    last = lines.groupBy(F.col(f"r.{key}").alias("_key")).agg(F.max_by("r", "place").alias("r"))
+    return last.select("r.*").drop(CORRUPT)
+
+
 def read_object(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A file that holds exactly one JSON object."""
     df = spark.read.schema(_with_corrupt(schema)).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
@@ -59,9 +68,16 @@ def read_object(spark: SparkSession, path: str, schema: T.StructType | str) -> D
 
 
 def read_participants(spark: SparkSession, path: str, schema: T.StructType | str, name: str = r"([^/]+)\.csv$") -> DataFrame:
-    """CSV files with an exact header; `file_id` is taken from each file's name."""
+    """CSV files with an exact header, led by a byte order mark or not; `file_id` is taken from each file's path."""
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
-    return df.withColumn("file_id", F.regexp_extract(F.col("_metadata.file_name"), name, 1))
+    return df.withColumn("file_id", F.regexp_extract(F.url_decode("_metadata.file_path"), name, 1))
+
+
+def participant_faults(df: DataFrame, participant: str = "participant_id", prompt: str = "prompt_id") -> DataFrame:
+    """The rows with `fault`: participant (not the one that the file is named after) or repeated (a prompt that the participant has twice)."""
+    again = df.groupBy(participant, prompt).agg(F.count(F.lit(1)).alias("_n"))
+    fault = F.when(~F.col(participant).eqNullSafe(F.col("file_id")), "participant").when(F.col("_n") > 1, "repeated")
+    return df.join(again, [participant, prompt]).select(*df.columns, fault.alias("fault"))
 
 
 def read_scenarios(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -129,10 +145,10 @@ def write_csv(df: DataFrame, path: str, per: str | None = None, quote_all: bool
     (writer.partitionBy(per) if per else writer).csv(path)
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of whole files."""
+def digests(spark: SparkSession, path: str, name: str = r"([^/]+)$") -> DataFrame:
+    """(name, bytes, sha256) of whole files; the name is what `name` finds in a path."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def pin_faults(found: DataFrame, pins: DataFrame) -> DataFrame:
