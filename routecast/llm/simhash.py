@@ -71,6 +71,11 @@ def _block_masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def blocks_for(n: int, radius: int, most: int = 12) -> int:
+    """The fewest blocks, from two more than the radius, with which a table of n fingerprints has few under one key: keys of log2(n) - 2 bits or more."""
+    return next((b for b in range(radius + 2, most) if 64 * (b - radius) / b >= max(1, n).bit_length() - 2), most)
+
+
 def within_radius(rows: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """All pairs (`query`, `fingerprint`, `bits`) of distinct fingerprints at most `radius` bits apart.
 
@@ -207,12 +212,12 @@ def op1_fingerprints(docs: DataFrame, radius: int = 3, every: int = 50) -> DataF
     """
     t = cut(edited_fingerprints(docs))
     count = t.groupBy(F.col("fp").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
-    asked = t.where(F.col("doc_id") % every == 0).select(F.col("fp").alias("fingerprint"))
-    near = within_radius(count, asked, radius).join(count, "fingerprint")
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    asked, others = t.where(asks), t.where(~asks).withColumn("n_near", F.lit(None).cast("long"))
+    near = within_radius(count, asked.select(F.col("fp").alias("fingerprint")), radius, blocks_for(count.count(), radius)).join(count, "fingerprint")
     near = near.groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
-    asks = F.when(F.col("doc_id") % every == 0, F.col("fp"))
-    t = t.withColumn("_q", asks)
-    return t.join(near, t["_q"] == near["query"], "left").select(
+    t = salted_join(asked, near.withColumnRenamed("query", "fp"), "fp").select(*others.columns).unionByName(others)
+    return t.select(
         "doc_id", "n_chars", "edited_sha256", hex_of(F.col("fp")).alias("fingerprint"), hex_of(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
 

@@ -168,3 +168,7 @@ def test_block_tables_and_ball_against_all_pairs(spark, seed):
                 if apart(a, b) <= 2:
                     want[a] = want[b] = min(want[a], want[b])
     assert {s: reach.get(s, s) for s in signed} == want
+
+
+def test_blocks_grow_with_the_table():
+    assert [simhash.blocks_for(n, 3) for n in (0, 1000, 10**8, 10**9, 10**12)] == [5, 5, 5, 6, 8]
