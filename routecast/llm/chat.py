@@ -71,15 +71,16 @@ def levels(edges: DataFrame) -> DataFrame:
     """(conv_id, id, level) of each call that refers to another: the length of the chain of references below it; null in and above a cycle.
 
     `edges` (conv_id, id, needs) has one row per referring call and links existing calls. Pointers double: each round, a call looks
-    past its target to the target's own target, so a chain of n calls takes log2(n) rounds. A round that brings no further call
-    to the end of its chain leaves only cycles.
+    past its target to the target's own target, so a chain of n calls takes log2(n) rounds. Calls at the end of their chain are looked
+    up but look no further, so those that end in one place do not meet there again. A round that brings no further call to the end leaves only cycles.
     """
-    p = edges.select("conv_id", "id", F.col("needs").alias("to"), F.lit(1).alias("dist"))
-    done = -1
+    p = written(edges.select("conv_id", "id", F.col("needs").alias("to"), F.lit(1).alias("dist"), F.lit(False).alias("ended")))
+    done = 0
     while True:
-        over = p.select("conv_id", "id", F.col("to").alias("_to"), F.col("dist").alias("_dist"))
-        p = written(_meet(p, over, "left", on="to").select(
-            "conv_id", "id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_id").isNull().alias("ended")))
+        over = p.select("conv_id", "id", F.col("to").alias("_to"), F.col("dist").alias("_dist"), F.col("ended").alias("_ended"))
+        moved = _meet(p.where("not ended"), over, "left", on="to").select(
+            "conv_id", "id", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.coalesce("_ended", F.lit(True)).alias("ended"))
+        p = written(p.where("ended").unionByName(moved))
         before, done = done, p.where("ended").count()
         if done == before or p.where("not ended").isEmpty():
             return p.select("conv_id", "id", F.when(F.col("ended"), F.col("dist")).alias("level"))

@@ -82,3 +82,13 @@ def test_clashing_columns_and_long_texts(spark):
     assert json.loads(got[0].json)["result"] == long
     talk = spark.createDataFrame([(None, 0, "user", None), (1, 0, "user", ""), (1, 1, "assistant", long), (1, 2, "user", "q"), (1, None, "user", "q")], LOG).withColumn("m", F.lit(1))
     assert {(r.conv_id, r.call_id): r.status for r in chat.op6_tool_calls(talk).collect()} == {(None, "c0"): "unanswered", (1, "c0"): "linked", (1, "c2"): "unanswered"}
+
+
+def test_a_long_chain_and_a_star_of_references(spark):
+    from routecast.llm.chat import levels
+
+    chain = [("c", f"n{i}", f"n{i - 1}") for i in range(1, 700)]
+    star = [("c", f"s{i}", "n3") for i in range(300)] + [("d", "a", "b"), ("d", "b", "a"), ("d", "x", "a"), (None, "n1", "n0")]
+    got = {(r.conv_id, r.id): r.level for r in levels(spark.createDataFrame(chain + star, "conv_id string, id string, needs string").repartition(5)).collect()}
+    assert all(got["c", f"n{i}"] == i for i in range(1, 700)) and all(got["c", f"s{i}"] == 4 for i in range(300))
+    assert got["d", "a"] is got["d", "b"] is got["d", "x"] is None and got[None, "n1"] == 1
