@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routecast.sources.shared import shared_dir, written
+
+__all__ = ["SPACES", "SPACES_RE", "cut", "lower_ascii", "own_columns", "salted_join", "shared_dir", "table", "words_of", "written"]
+
 #: The separators of `[^\x20\x09-\x0D]+`.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_RE = r"[\x20\x09-\x0D]+"
@@ -17,32 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. Where none is set, one of our own on a single machine; on a cluster that is an error."""
-    sc = spark.sparkContext
-    have = sc.getCheckpointDir()
-    if have is None:
-        have = spark.conf.get("spark.checkpoint.dir", None)
-        if have is None and not (sc.master.startswith("local[") or sc.master == "local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        have = have or tempfile.mkdtemp(prefix="spark-ckpt-")
-        sc.setCheckpointDir(have)
-    return have
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a narrow frame in the shared checkpoint folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like `cut`, by a Parquet table in the shared folder: for loops, because a checkpoint keeps the constraints of its plan, which multiply from round to round."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the caller cannot clash with working ones."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -153,6 +153,10 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, block: in
 
 
 def op3_packing(docs: DataFrame) -> DataFrame:
+    """`pack` of all documents into windows of 1024 tokens, id 0 after each document.
+
+    Null and empty texts are one piece of one token; repeated rows, null and equal ids are packed like any others; an empty table gives no row.
+    """
     import public_tokenizers as files
 
     return pack(docs, files.path("byte_bpe_50k.json"), 1024, 0, ranks=files.path("byte_bpe_50k.tiktoken"), pattern=files.PATTERN)

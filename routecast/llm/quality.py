@@ -92,6 +92,7 @@ def judge(docs: DataFrame, limit: float = 0.5, salts: int = 16) -> DataFrame:
 
 
 def op4_quality(docs: DataFrame) -> DataFrame:
+    """`judge` of all documents: null and empty texts fail the base rules, repeated rows keep a row each, an empty table gives no row."""
     return judge(docs)
 
 

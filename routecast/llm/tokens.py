@@ -72,6 +72,7 @@ class Transducer:
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.score = [p.score for p in model.pieces]
+        self.penalty = 10.0 - min((self.score[i] for i in self.id.values()), default=0.0)  # of a character that no piece gives, as the library has it
         self.silent = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.longest = max(map(len, self.id), default=1)
         self.crosses = any(MARK in p[1:].lstrip(MARK) or (p[0] == MARK and MARK in p[1:].lstrip(MARK)) for p in self.id)
@@ -108,7 +109,7 @@ class Transducer:
     def _fallback(self, c: str) -> tuple[str, bytes, float]:
         """The arc of a character that no piece gives; it weighs more than pieces do."""
         ids = [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
-        return c, np.array(ids, "<u4").tobytes(), 0.0 if self.merge else 1e3
+        return c, np.array(ids, "<u4").tobytes(), 0.0 if self.merge else self.penalty
 
     def _lattice(self, text: str, at: int) -> list[tuple[float, int, tuple[str, bytes, float]]]:
         """Lattice arcs that leave place `at`: (weight, end, what the machine gives), shortest first."""
