@@ -676,7 +676,8 @@ def strip(docs: DataFrame) -> DataFrame:
     copy = F.col("ord") > F.col("least")
     text = F.when(F.col("_null"), F.lit(None)).when(copy & (F.col("n_bytes") >= WINDOW), F.lit("")).otherwise(F.col("kept"))
     changed = F.when(copy, F.col("n_bytes") >= WINDOW).otherwise(F.col("n_removed") > 0)
-    out = salted_join(sized, per, "sha").select("doc_id", text.alias("text"), F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), *names.values())
+    # `per` holds whole texts, which salting would copy; a digest with most rows is left to the split of skewed joins
+    out = sized.join(per, "sha").select("doc_id", text.alias("text"), F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), *names.values())
     back = {n: c for c, n in names.items()}
     out = out.select([F.col(n).alias(back.get(n, n)) for n in out.columns])
     return out.select([F.col(f"`{c}`") for c in docs.columns])
