@@ -291,16 +291,17 @@ def mad_fences(df: DataFrame, value: str, width: float = 2.0) -> DataFrame:
     return df.crossJoin(F.broadcast(f)).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))  # one row of fences
 
 
-def judge_scores(verdicts: DataFrame, consensus: DataFrame, gate: float = 0.8, ratio: float = 2.0) -> DataFrame:
+def judge_scores(verdicts: DataFrame, consensus: DataFrame, gate: float = 0.8) -> DataFrame:
     """Per judge pi against the human consensus, the 2x2 counts, whether it passes `gate` and whether it is lenient.
 
-    Lenient: at least 8 false matches and more than ratio times 2 the false refusals (at least 1).
+    Lenient: at least 8 false matches, and more than twice the human ratio of others to matches (1 without matches) times the false refusals (at least 1).
     """
     j = verdicts.select("key", "judge", (F.col("verdict") == "match").alias("said")).join(consensus.select("key", F.col("match").alias("truth")), "key")
     pi = scotts_pi(j, F.col("truth"), F.col("said"), ["judge"]).select("judge", "n", "pi")
     c = confusion(j, F.col("truth"), F.col("said"), ["judge"]).select("judge", "tn", "fp", "fn", "tp")
-    lenient = (F.col("fp") >= 8) & (F.col("fp") > 2 * ratio * F.greatest(F.col("fn"), F.lit(1)))
-    return pi.join(c, "judge").withColumns({"passes": F.coalesce(F.col("pi") >= gate, F.lit(False)), "lenient": lenient})
+    human = consensus.agg(F.coalesce(F.try_divide(F.count_if(~F.col("match")), F.count_if("match")), F.lit(1.0)).alias("_ratio"))
+    lenient = (F.col("fp") >= 8) & (F.col("fp") > 2 * F.col("_ratio") * F.greatest(F.col("fn"), F.lit(1)))
+    return pi.join(c, "judge").crossJoin(F.broadcast(human)).withColumns({"passes": F.coalesce(F.col("pi") >= gate, F.lit(False)), "lenient": lenient}).drop("_ratio")  # one row
 
 
 def run_scores(decisions: DataFrame, labels: DataFrame) -> DataFrame:

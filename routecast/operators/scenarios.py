@@ -80,22 +80,6 @@ def uniforms(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def simulated(items: DataFrame, replicates: int, attempts: int, seed: int, key: str = "question_id") -> DataFrame:
-    """(exact, simulated, se, agrees) expected attempts over all items; items x replicates rows, each with `attempts` seeded draws."""
-    p = F.col("correct_count") / F.col("k")
-    r = items.select(key, p.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    fail = F.transform(F.sequence(F.lit(1), F.lit(attempts - 1)), lambda i: uniforms(seed, F.col(key), F.col("rep"), i) >= F.col("p"))
-    used = F.aggregate(fail, F.struct(F.lit(1).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & x, 1).otherwise(0)).alias("n"), (a["on"] & x).alias("on")))
-    sums = r.select("rep", used["n"].alias("n")).groupBy("rep").agg(F.avg("n").alias("m"))
-    sim = sums.agg(F.avg("m").alias("simulated"), F.count(F.lit(1)).alias("replicates"))
-    most = F.lit(attempts)
-    mean, square = expected_attempts(p, most), second_moment(p, most)
-    exact = items.select(mean.alias("m"), (square - mean * mean).alias("v")).agg(F.avg("m").alias("exact"), F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    j = exact.crossJoin(sim)  # one row each
-    se = F.sqrt("v") / F.col("n") / F.sqrt("replicates")
-    return j.select("exact", "simulated", se.alias("se"), (F.abs(F.col("simulated") - F.col("exact")) <= 8 * se + 1e-10).alias("agrees"))
-
-
 def endpoint_pairs(grid: DataFrame, keys: list[str], value: str = "wh", estimate: str = "estimate") -> DataFrame:
     """(keys, low, high, fault): exactly one row per end and low at most high."""
     g = grid.groupBy(*keys).pivot(estimate, ["low", "high"]).agg(F.max(value).alias("v"), F.count(value).alias("n"))

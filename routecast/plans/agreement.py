@@ -162,7 +162,7 @@ def rater_mad_fences(spark: SparkSession, d: str) -> DataFrame:
 @query("judge_scores", over("verdicts", """, c AS (SELECT key, count(*) FILTER (verdict = 'match') >= 2 AS t FROM verdicts GROUP BY 1), j AS (SELECT judge, t, verdict = 'match' AS s FROM verdicts JOIN c USING (key)),
 g AS (SELECT judge, count(*) AS n, count(*) FILTER (NOT t AND NOT s) AS tn, count(*) FILTER (NOT t AND s) AS fp, count(*) FILTER (t AND NOT s) AS fn, count(*) FILTER (t AND s) AS tp FROM j GROUP BY 1),
 p AS (SELECT *, (tn + tp) * 1e0 / n AS o, (2 * tp + fp + fn) / (2e0 * n) AS y FROM g), q AS (SELECT *, (o - (y * y + (1 - y) * (1 - y))) / (1 - (y * y + (1 - y) * (1 - y))) AS pi FROM p)
-SELECT judge, n, pi, tn, fp, fn, tp, pi >= 0.8e0 AS passes, fp >= 8 AND fp > 4e0 * greatest(fn, 1) AS lenient FROM q"""))
+SELECT judge, n, pi, tn, fp, fn, tp, pi >= 0.8e0 AS passes, fp >= 8 AND fp > 2e0 * (SELECT count(*) FILTER (NOT t) / CAST(count(*) FILTER (t) AS DOUBLE) FROM c) * greatest(fn, 1) AS lenient FROM q"""))
 def judge_scores(spark: SparkSession, d: str) -> DataFrame:
     v = verdicts(spark, d)
     return A.judge_scores(v, P.consensus(v))

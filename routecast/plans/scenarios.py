@@ -88,14 +88,6 @@ def panel_table(spark: SparkSession, d: str) -> DataFrame:
     return E.panel_table(_grid(spark, d).where("category is null and multiplier = 1"), "oracle")
 
 
-@query("simulated_vs_exact")
-def simulated_vs_exact(spark: SparkSession, d: str) -> DataFrame:
-    """E8; the result says itself whether both agree."""
-    from routecast.plans.views import v_labels
-
-    return E.simulated(v_labels(spark, d), 100, 6, 17)
-
-
 @query("counter_delta", over("counters", """, s AS (SELECT domain, value - lag(value) OVER (PARTITION BY domain ORDER BY ts, event_id) AS d, max_range FROM counters)
 SELECT domain, count(*) AS samples, count(*) FILTER (d < 0) AS wraps, CAST(coalesce(sum(CASE WHEN d < 0 THEN d + max_range ELSE d END), 0) AS DOUBLE) AS total FROM s GROUP BY 1"""))
 def counter_delta(spark: SparkSession, d: str) -> DataFrame:
