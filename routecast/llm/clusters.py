@@ -44,7 +44,7 @@ def whole_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedd
 def first_centroids(whole: DataFrame, key: str = "vec_id", k: int = CLUSTERS, seed: int = SEED) -> np.ndarray:
     """The k vectors with the smallest sha256 of `seed:key`, in that order (rows without a key last, equal ones by components)."""
     named = whole.where("fits").select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256).alias("h"), "v")
-    return np.array([r.v for r in named.orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect()], np.int64).reshape(-1, DIM if k else 0)
+    return np.array([r.v for r in named.orderBy(F.col("h").asc_nulls_last(), "v").limit(k).collect()], np.int64).reshape(-1, DIM)
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def _rows_of(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.int64).reshape(-1, dim)
 
 
-def _round(centroids: np.ndarray, moved: np.ndarray | None, key: str, looks: list | None = None) -> Callable:
+def _round(centroids: np.ndarray, moved: np.ndarray | None, key: str) -> Callable:
     """One pass: `moved` is how far each centroid went since the vectors' last search, None before the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

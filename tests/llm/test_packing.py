@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -82,3 +83,13 @@ def test_best_fit_against_linear_search(lengths):
     for w, n in zip(where, lengths):
         used[w] += n
     assert sorted(16 - u for u in used.values()) == sorted(free)
+
+
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_padding_at_many_tasks(spark, parts):
+    """Every task may leave its last windows open: about one more sequence a task than the ids fill, at most two."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(parts)
+    r = packing.op3_packing(docs).agg(F.sum("length").alias("ids"), F.count_distinct("sequence_id").alias("sequences"), F.count_distinct("doc_id").alias("docs")).first()
+    assert r.docs == 1000 and r.sequences <= -(-r.ids // 1024) + 2 * parts + 1
