@@ -96,6 +96,14 @@ def policy_differences(table: DataFrame, left: str, right: str) -> DataFrame:
     return scoring.contrasts(table, left, right, POLICY_METRICS)
 
 
+def background_report(answers: DataFrame) -> DataFrame:
+    """M24 of free answers (field, raw), ages and categories alike: (field, status, n) after coding, and for coded answers the mean, SD, quartiles, least and greatest code or age."""
+    coded = X.coded_background(answers)
+    n = coded.groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
+    numbers = scoring.numeric_summary(coded.where("status = 'coded'"), "value", ["field"]).drop("n", "missing").withColumn("status", F.lit("coded"))
+    return n.join(numbers, ["field", "status"], "left")
+
+
 def category_report(df: DataFrame, value: str, categories: dict[str, str]) -> DataFrame:
     """(category, n, denominator, percent): the listed categories among valid answers, ambiguous and missing ones among all.
 

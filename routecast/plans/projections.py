@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routecast.functions import expr as X
 from routecast.functions.text import ascii_key, normal_key
+from routecast.operators import reports as R
 from routecast.operators.digests import member_digests
 from routecast.operators.leaks import leaked
 from routecast.plans.views import corpus, forecasts, items, over, read, trials, v_labels
@@ -75,20 +76,35 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return i.select("question_id", X.prompt(F.col("text"), F.array("category", "segment")).alias("prompt"), X.blind_id(F.col("question_id")).alias("blind_id"), X.item_key(F.col("question_id"), F.lit(0)).alias("key"))
 
 
-@query("background_codes", """
+BACKGROUND = """
 WITH r AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'age' WHEN 1 THEN 'education' WHEN 2 THEN 'student' WHEN 3 THEN 'usage' ELSE 'gender' END AS field,
   CASE c_custkey % 5 WHEN 0 THEN CAST(c_custkey % 150 AS VARCHAR) WHEN 1 THEN (CASE WHEN c_custkey % 2 = 0 THEN ' Master''s ' ELSE 'school' END) WHEN 2 THEN (CASE WHEN c_custkey % 3 = 0 THEN 'Student' ELSE 'employee' END)
     WHEN 3 THEN (CASE WHEN c_custkey % 2 = 0 THEN 'daily' ELSE '' END) ELSE (CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'other' END) END AS raw FROM customer)
 SELECT id, field, CASE WHEN trim(raw) = '' THEN 'missing' WHEN field = 'age' THEN (CASE WHEN CAST(raw AS INT) BETWEEN 1 AND 120 THEN 'coded' ELSE 'invalid' END)
     WHEN lower(trim(raw)) IN ('master''s', 'student', 'employee', 'daily', 'female') THEN 'coded' ELSE 'ambiguous' END AS status,
-  CASE WHEN field = 'age' THEN (CASE WHEN CAST(raw AS INT) BETWEEN 1 AND 120 THEN CAST(raw AS DOUBLE) END) ELSE CASE lower(trim(raw)) WHEN 'master''s' THEN 2e0 WHEN 'student' THEN 1e0 WHEN 'employee' THEN 0e0 WHEN 'daily' THEN 4e0 WHEN 'female' THEN 0e0 END END AS value FROM r""")
-def background_codes(spark: SparkSession, d: str) -> DataFrame:
+  CASE WHEN field = 'age' THEN (CASE WHEN CAST(raw AS INT) BETWEEN 1 AND 120 THEN CAST(raw AS DOUBLE) END) ELSE CASE lower(trim(raw)) WHEN 'master''s' THEN 2e0 WHEN 'student' THEN 1e0 WHEN 'employee' THEN 0e0 WHEN 'daily' THEN 4e0 WHEN 'female' THEN 0e0 END END AS value FROM r"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     field = F.get(F.array(*[F.lit(x) for x in ("age", "education", "student", "usage", "gender")]), (k % 5).cast("int"))
     raw = F.when(k % 5 == 0, (k % 150).cast("string")).when(k % 5 == 1, F.when(k % 2 == 0, " Master's ").otherwise("school")).when(
         k % 5 == 2, F.when(k % 3 == 0, "Student").otherwise("employee")).when(k % 5 == 3, F.when(k % 2 == 0, "daily").otherwise("")).otherwise(F.when(k % 2 == 0, "Female").otherwise("other"))
-    r = read(spark, d, "customer").select(k.alias("id"), field.alias("field"), raw.alias("raw"))
-    return X.coded_background(r).select("id", "field", "status", "value")
+    return read(spark, d, "customer").select(k.alias("id"), field.alias("field"), raw.alias("raw"))
+
+
+@query("background_codes", BACKGROUND)
+def background_codes(spark: SparkSession, d: str) -> DataFrame:
+    return X.coded_background(_answers(spark, d)).select("id", "field", "status", "value")
+
+
+@query("background_report", f"""WITH c AS ({BACKGROUND}), n AS (SELECT field, status, count(*) AS n FROM c GROUP BY 1, 2),
+q AS (SELECT field, 'coded' AS status, round_even(avg(value), 1) AS mean, round_even(stddev_samp(value), 1) AS sd, round_even(quantile_cont(value, 0.25), 1) AS q1, round_even(quantile_cont(value, 0.5), 1) AS median,
+  round_even(quantile_cont(value, 0.75), 1) AS q3, round_even(min(value), 1) AS least, round_even(max(value), 1) AS greatest FROM c WHERE status = 'coded' GROUP BY 1)
+SELECT * FROM n LEFT JOIN q USING (field, status)""")
+def background_report(spark: SparkSession, d: str) -> DataFrame:
+    """Ages and categories of the same answers in one report."""
+    return R.background_report(_answers(spark, d))
 
 
 @query("decode_heads", over("items", """, z AS (SELECT question_id, (question_id % 7 - 3) / 2e0 AS a, (question_id % 5 - 2) / 2e0 AS b FROM items),
