@@ -53,8 +53,11 @@ def weighted_kappa(c: DataFrame, group: list[str] = (), zero: str = "null") -> D
     return j.select(*group, F.col("n").cast("long").alias("n"), numerator.alias("numerator"), F.col("e").alias("denominator"), value.alias("kappa"))
 
 
-def fleiss(ratings: DataFrame, item: str, category: str, group: list[str] = ()) -> DataFrame:
-    """A4: Fleiss' kappa; null with fewer than two raters or unequal rater numbers (`even` false); 1 if chance agreement is 1."""
+def fleiss(ratings: DataFrame, item: str, category: str, group: list[str] = (), uneven: bool = False) -> DataFrame:
+    """A4: Fleiss' kappa; null with fewer than two raters or unequal rater numbers (`even` false); 1 if chance agreement is 1.
+
+    With `uneven`, rater numbers may differ: agreement is the mean over items of two or more, chance that of all ratings (the same where they are equal).
+    """
     group = list(group)
     n = ratings.groupBy(*group, item, category).agg(F.count(F.lit(1)).alias("_n"))
     per = n.groupBy(*group, item).agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("_n")).alias("_sq"))
@@ -65,7 +68,7 @@ def fleiss(ratings: DataFrame, item: str, category: str, group: list[str] = ())
     j = agree.join(chance, group) if group else agree.crossJoin(chance)
     p = F.try_divide(F.col("_chance"), F.col("_total").cast("double") * F.col("_total").cast("double"))
     even = (F.col("_lo") == F.col("_hi")) & (F.col("_lo") >= 2)
-    kappa = F.when(~even, None).when(p == 1, F.lit(1.0)).otherwise(F.try_divide(F.col("_observed") - p, 1 - p))
+    kappa = F.when(F.col("_observed").isNull() if uneven else ~even, None).when(p == 1, F.lit(1.0)).otherwise(F.try_divide(F.col("_observed") - p, 1 - p))
     return j.select(*group, "items", F.coalesce(even, F.lit(False)).alias("even"), kappa.alias("kappa"))
 
 
@@ -199,14 +202,14 @@ def level_matrix(df: DataFrame, truth: str, said: str, levels: int = 6) -> DataF
     return grid.join(p, "truth", "left").na.fill(0).select("truth", *[F.col(str(i)).alias(f"said_{i}") for i in range(levels)])
 
 
-def prompt_rows(ratings: DataFrame, labels: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Per prompt the median and route of its three ratings, the truth level, local truth and the nested ratings."""
+def prompt_rows(ratings: DataFrame, labels: DataFrame, prompt: str = "prompt", raters: int | None = 3) -> DataFrame:
+    """Per prompt of exactly `raters` ratings (None: any number) the median and route, the truth level, local truth and the nested ratings, one a rater."""
     from routecast.functions.expr import solvable, truth_level
     from routecast.operators.panel import prompt_ratings
 
     nested = ratings.groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct("rater", "rating_level", "response_time_ms"))).alias("ratings"))
     l = labels.select(F.col("question_id").alias(prompt), truth_level(F.col("correct_count"), F.col("k")).alias("truth_level"), solvable(F.col("correct_count"), F.col("k")).alias("local_truth"))
-    return prompt_ratings(ratings, prompt).join(nested, prompt).join(l, prompt)
+    return prompt_ratings(ratings, prompt, raters=raters).join(nested, prompt).join(l, prompt)
 
 
 def level_use(ratings: DataFrame, level: str = "rating_level", rater: str = "rater", levels: int = 6) -> DataFrame:

@@ -46,8 +46,14 @@ def completeness(labels: DataFrame, corpus: DataFrame, k: int | Column) -> DataF
 
 
 def majority(vote: Column) -> Column:
-    """J7, an aggregate: true or false with two such votes, else null; other votes count for nothing."""
-    return F.when(F.count_if(vote == "yes") >= 2, True).when(F.count_if(vote == "no") >= 2, False)
+    """J7, an aggregate: true or false with two such votes and more than half of all (two of three), else null; other and null votes are votes for neither."""
+    votes = F.count(F.lit(1))
+
+    def wins(v: str) -> Column:
+        n = F.count_if(vote == v)
+        return (n >= 2) & (2 * n > votes)
+
+    return F.when(wins("yes"), True).when(wins("no"), False)
 
 
 def consensus(votes: DataFrame, key: str = "key", verdict: str = "verdict") -> DataFrame:
@@ -57,10 +63,18 @@ def consensus(votes: DataFrame, key: str = "key", verdict: str = "verdict") -> D
                               F.when(F.max("n") >= 2, F.max_by(verdict, "n")).alias("verdict"))
 
 
-def prompt_ratings(ratings: DataFrame, key: str = "prompt", level: str = "rating_level", local_from: int = 3) -> DataFrame:
-    """Of exactly three ratings the median and the majority's route; they agree by construction, `agrees` tells."""
-    g = ratings.groupBy(key).agg(F.sort_array(F.collect_list(level)).alias("_l"), F.count_if(F.col(level) >= local_from).alias("_n"), F.count(F.lit(1)).alias("_k"))
-    g = g.where("_k = 3").select(key, F.get("_l", F.lit(1)).alias("median_level"), (F.col("_n") >= 2).alias("local"))
+def prompt_ratings(ratings: DataFrame, key: str = "prompt", level: str = "rating_level", local_from: int = 3, levels: int = 6, raters: int | None = 3) -> DataFrame:
+    """Of exactly `raters` ratings (None: however many) the lower median and the route of more than half; they agree by construction, `agrees` tells.
+
+    Ratings without a level (0 to `levels` - 1) are left out. Levels are counted, so a prompt with most ratings needs no more memory than another.
+    """
+    at = [F.count_if(F.col(level) == i) for i in range(levels)]
+    g = ratings.where(F.col(level).between(0, levels - 1)).groupBy(key).agg(F.array(*at).alias("_c"), F.count(F.lit(1)).alias("_k"), F.count_if(F.col(level) >= local_from).alias("_n"))
+    if raters is not None:
+        g = g.where(F.col("_k") == raters)
+    below = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda i: F.aggregate(F.slice("_c", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    median = F.size(F.filter(below, lambda b: 2 * b < F.col("_k")))  # levels with less than half of the ratings up to them
+    g = g.select(key, median.alias("median_level"), (2 * F.col("_n") > F.col("_k")).alias("local"))
     return g.withColumn("agrees", (F.col("median_level") >= local_from) == F.col("local"))
 
 

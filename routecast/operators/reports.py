@@ -51,7 +51,7 @@ def calibration(verdicts: DataFrame, human: DataFrame, judge_gate: float = 0.8,
 
 def stratified_agreement(votes: DataFrame, decisions: DataFrame, populations: DataFrame) -> DataFrame:
     """`stratified_error` with the agreement of each stratum, and the items and Fleiss' kappa of all votes in every row."""
-    k = fleiss(votes.join(decisions.select("item"), "item", "left_semi"), "item", "vote").select(F.col("items"), F.col("kappa").alias("fleiss_kappa"))
+    k = fleiss(votes.join(decisions.select("item"), "item", "left_semi"), "item", "vote", uneven=True).select(F.col("items"), F.col("kappa").alias("fleiss_kappa"))
     e = stratified_error(votes, decisions, populations).withColumn("agreement", F.try_divide("agree", "scored"))
     return e.crossJoin(F.broadcast(k))  # one row
 
@@ -67,7 +67,7 @@ def field_report(votes: DataFrame, populations: DataFrame, fields: list[str]) ->
     used = F.when(F.col("scored") > 0, F.col("population"))
     w = g.join(populations, "stratum").groupBy("field").agg(F.sum("items").alias("items"), (F.sum("items") - F.sum("scored")).alias("splits"), F.sum("wrong").alias("wrong"),
                                                             (F.sum(used * F.try_divide("wrong", "scored")) / F.sum(used)).alias("error"))
-    k = fleiss(votes.unpivot(["item", "stratum"], fields, "field", "vote"), "item", "vote", ["field"]).select("field", F.col("kappa").alias("fleiss_kappa"))
+    k = fleiss(votes.unpivot(["item", "stratum"], fields, "field", "vote"), "item", "vote", ["field"], uneven=True).select("field", F.col("kappa").alias("fleiss_kappa"))
     return w.join(k, "field").withColumn("decision", F.when(F.col("error") <= 0.05, "pass").when(F.col("error") <= 0.10, "repair").otherwise("revise"))
 
 

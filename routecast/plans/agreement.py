@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from routecast.functions.expr import probability_level, truth_level
 from routecast.operators import agreement as A
 from routecast.operators import panel as P
-from routecast.plans.views import corpus, forecasts, items, over, ratings, ratings3, read, v_labels, verdicts
+from routecast.plans.views import corpus, forecasts, items, majority_sql, over, ratings, read, v_labels, verdicts
 from routecast.registry import query
 
 LEVELS = ", lv AS (SELECT *, CAST(least(6 * correct_count // k, 5) AS INT) AS a, CAST(least(floor(probability * 6), 5) AS INT) AS b FROM forecasts)"
@@ -101,9 +101,9 @@ def level_matrix(spark: SparkSession, d: str) -> DataFrame:
     return A.level_matrix(_levels(spark, d), "truth", "said")
 
 
-@query("prompt_rows", over("ratings3 v_labels", """SELECT prompt, CAST(median(rating_level) AS INT) AS median_level, count(*) FILTER (rating_level >= 3) >= 2 AS local, true AS agrees, CAST(max(least(6 * correct_count // k, 5)) AS INT) AS truth_level, bool_and(2 * correct_count >= k) AS local_truth, CAST(count(*) AS INT) AS ratings, sum(response_time_ms) AS ms FROM ratings3 JOIN v_labels ON prompt = question_id GROUP BY 1"""))
+@query("prompt_rows", over("ratings v_labels", """SELECT prompt, CAST(quantile_disc(rating_level, 0.5) AS INT) AS median_level, 2 * count(*) FILTER (rating_level >= 3) > count(*) AS local, true AS agrees, CAST(max(least(6 * correct_count // k, 5)) AS INT) AS truth_level, bool_and(2 * correct_count >= k) AS local_truth, CAST(count(*) AS INT) AS ratings, sum(response_time_ms) AS ms FROM ratings JOIN v_labels ON prompt = question_id GROUP BY 1"""))
 def prompt_rows(spark: SparkSession, d: str) -> DataFrame:
-    p = A.prompt_rows(ratings3(spark, d), v_labels(spark, d))
+    p = A.prompt_rows(ratings(spark, d), v_labels(spark, d), raters=None)
     ms = F.aggregate(F.transform("ratings", lambda r: r["response_time_ms"]), F.lit(0).cast("long"), lambda a, x: a + x)
     return p.select("prompt", "median_level", "local", "agrees", "truth_level", "local_truth", F.size("ratings").alias("ratings"), ms.alias("ms"))
 
@@ -196,9 +196,9 @@ def _votes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), vote.alias("vote"))
 
 
-@query("stratified_error", over("items", f""", m AS (SELECT item, CASE WHEN count(*) FILTER (vote = 'yes') >= 2 THEN true WHEN count(*) FILTER (vote = 'no') >= 2 THEN false END AS t FROM {VOTES} GROUP BY 1),
+@query("stratified_error", over("items", f""", m AS (SELECT item, {majority_sql('vote')} AS t FROM {VOTES} GROUP BY 1),
 p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1), g AS (SELECT category AS stratum, count(t) AS scored, count(*) FILTER (t = (question_id % 3 > 0)) AS agree, count(*) FILTER (t IS NULL) AS no_majority FROM items JOIN m ON item = question_id GROUP BY 1)
-SELECT stratum, population, population / CAST(sum(population) OVER () AS DOUBLE) AS share, scored, agree, no_majority, sum(population * (1 - agree / CAST(scored AS DOUBLE))) OVER () / CAST(sum(population) OVER () AS DOUBLE) AS weighted_error FROM p JOIN g USING (stratum)"""))
+SELECT stratum, population, population / CAST(sum(population) OVER () AS DOUBLE) AS share, scored, agree, no_majority, sum(CASE WHEN scored > 0 THEN population * (1 - agree / CAST(scored AS DOUBLE)) END) OVER () / CAST(sum(CASE WHEN scored > 0 THEN population END) OVER () AS DOUBLE) AS weighted_error FROM p JOIN g USING (stratum)"""))
 def stratified_error(spark: SparkSession, d: str) -> DataFrame:
     i = items(spark, d)
     pops = i.groupBy(F.col("category").alias("stratum")).agg(F.count(F.lit(1)).alias("population"))
@@ -206,7 +206,7 @@ def stratified_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("field_errors", over("items", f""", v AS (SELECT l_partkey AS item, unnest([{{'field': 'meaning', 'vote': CASE WHEN l_quantity < 30 THEN 'yes' ELSE 'no' END}}, {{'field': 'self_contained', 'vote': CASE WHEN l_tax < 0.07e0 THEN 'yes' ELSE 'no' END}}], recursive := true) FROM lineitem),
-m AS (SELECT field, item, CASE WHEN count(*) FILTER (vote = 'yes') >= 2 THEN true WHEN count(*) FILTER (vote = 'no') >= 2 THEN false END AS ok FROM v GROUP BY 1, 2), p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1),
+m AS (SELECT field, item, {majority_sql('vote')} AS ok FROM v GROUP BY 1, 2), p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1),
 g AS (SELECT field, category AS stratum, count(ok) AS scored, count(*) FILTER (NOT ok) AS wrong FROM m JOIN items ON item = question_id GROUP BY 1, 2), e AS (SELECT field, sum(population * (wrong / CAST(scored AS DOUBLE))) / sum(population) AS error, CAST(sum(wrong) AS BIGINT) AS wrong FROM g JOIN p USING (stratum) WHERE scored > 0 GROUP BY 1)
 SELECT *, CASE WHEN error <= 0.05e0 THEN 'pass' WHEN error <= 0.1e0 THEN 'repair' ELSE 'revise' END AS decision FROM e"""))
 def field_errors(spark: SparkSession, d: str) -> DataFrame:

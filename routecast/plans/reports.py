@@ -10,13 +10,13 @@ from routecast.operators import reports as R
 from routecast.plans.agreement import RATES, _kappa_sql
 from routecast.plans.scoring import LIKE, TABLE, VIEWS
 from routecast.plans.trials import PANEL
-from routecast.plans.views import corpus, forecasts, items, over, ratings3, read, split, verdicts
+from routecast.plans.views import corpus, forecasts, items, majority_sql, over, ratings, read, split, verdicts
 from routecast.registry import query
 
 
 def _fleiss_sql(rows: str, value: str) -> str:
-    """Fleiss' kappa of `rows` (key and `value`), three to a key."""
-    return f"""(SELECT (o - e) / (1 - e) FROM (SELECT avg(s) AS o FROM (SELECT (sum(n * n) - 3) / 6e0 AS s FROM (SELECT key, {value}, count(*) AS n FROM {rows} GROUP BY 1, 2) GROUP BY key)),
+    """Fleiss' kappa of `rows` (key and `value`), two or more to a key that agreement is counted of."""
+    return f"""(SELECT (o - e) / (1 - e) FROM (SELECT avg(s) AS o FROM (SELECT CASE WHEN sum(n) > 1 THEN (sum(n * n) - sum(n)) / CAST(sum(n) * (sum(n) - 1) AS DOUBLE) END AS s FROM (SELECT key, {value}, count(*) AS n FROM {rows} GROUP BY 1, 2) GROUP BY key)),
 (SELECT sum(c * c / (t * t)) AS e FROM (SELECT count(*) * 1e0 AS c, sum(count(*)) OVER () * 1e0 AS t FROM {rows} GROUP BY {value})))"""
 
 
@@ -48,13 +48,12 @@ def judge_calibration(spark: SparkSession, d: str) -> DataFrame:
     return R.calibration(verdicts(spark, d), _human(spark, d).select("key", (F.col("verdict") == "match").alias("match")))
 
 
-VOTED = ", voted AS (SELECT prompt AS key, CASE rating_level % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'borderline' END AS a, CASE WHEN response_time_ms % 5 < 4 THEN 'yes' ELSE 'no' END AS b FROM ratings3)"
-MAJORITY = "CASE WHEN count(*) FILTER ({0} = 'yes') >= 2 THEN true WHEN count(*) FILTER ({0} = 'no') >= 2 THEN false END"
+VOTED = ", voted AS (SELECT prompt AS key, CASE rating_level % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'borderline' END AS a, CASE WHEN response_time_ms % 5 < 4 THEN 'yes' ELSE 'no' END AS b FROM ratings)"
 
 
 def _voted(spark: SparkSession, d: str) -> DataFrame:
     a = F.when(F.col("rating_level") % 3 == 0, "yes").when(F.col("rating_level") % 3 == 1, "no").otherwise("borderline")
-    return ratings3(spark, d).select(F.col("prompt").alias("item"), a.alias("a"), F.when(F.col("response_time_ms") % 5 < 4, "yes").otherwise("no").alias("b"))
+    return ratings(spark, d).select(F.col("prompt").alias("item"), a.alias("a"), F.when(F.col("response_time_ms") % 5 < 4, "yes").otherwise("no").alias("b"))
 
 
 def _strata(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +61,7 @@ def _strata(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return i.select(F.col("question_id").alias("item"), F.col("category").alias("stratum"), (F.col("question_id") % 3 > 0).alias("decided")), i.groupBy(F.col("category").alias("stratum")).agg(F.count(F.lit(1)).alias("population"))
 
 
-@query("stratified_agreement", over("ratings3 items", VOTED + f""", m AS (SELECT key AS question_id, {MAJORITY.format('a')} AS t FROM voted GROUP BY 1), p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1),
+@query("stratified_agreement", over("ratings items", VOTED + f""", m AS (SELECT key AS question_id, {majority_sql('a')} AS t FROM voted GROUP BY 1), p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1),
 g AS (SELECT category AS stratum, count(t) AS scored, count(*) FILTER (t = (question_id % 3 > 0)) AS agree, count(*) FILTER (t IS NULL) AS no_majority FROM items JOIN m USING (question_id) GROUP BY 1),
 j AS (SELECT stratum, population, coalesce(scored, 0) AS scored, coalesce(agree, 0) AS agree, coalesce(no_majority, 0) AS no_majority FROM p LEFT JOIN g USING (stratum))
 SELECT *, population / CAST(sum(population) OVER () AS DOUBLE) AS share, agree / CAST(nullif(scored, 0) AS DOUBLE) AS agreement, sum(CASE WHEN scored > 0 THEN population * (1 - agree / CAST(scored AS DOUBLE)) END) OVER () / CAST(sum(CASE WHEN scored > 0 THEN population END) OVER () AS DOUBLE) AS weighted_error,
@@ -72,7 +71,7 @@ def stratified_agreement(spark: SparkSession, d: str) -> DataFrame:
     return R.stratified_agreement(_voted(spark, d).select("item", F.col("a").alias("vote")), decisions, pops)
 
 
-@query("field_report", over("ratings3 items", VOTED + f""", o AS (SELECT 'a' AS field, key, {MAJORITY.format('a')} AS ok FROM voted GROUP BY 2 UNION ALL SELECT 'b', key, {MAJORITY.format('b')} FROM voted GROUP BY 2), p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1),
+@query("field_report", over("ratings items", VOTED + f""", o AS (SELECT 'a' AS field, key, {majority_sql('a')} AS ok FROM voted GROUP BY 2 UNION ALL SELECT 'b', key, {majority_sql('b')} FROM voted GROUP BY 2), p AS (SELECT category AS stratum, count(*) AS population FROM items GROUP BY 1),
 g AS (SELECT field, category AS stratum, count(*) AS items, count(ok) AS scored, count(*) FILTER (NOT ok) AS wrong FROM o JOIN items ON key = question_id GROUP BY 1, 2),
 w AS (SELECT field, CAST(sum(items) AS BIGINT) AS items, CAST(sum(items) - sum(scored) AS BIGINT) AS splits, CAST(sum(wrong) AS BIGINT) AS wrong, sum(population * (wrong / CAST(scored AS DOUBLE))) FILTER (scored > 0) / CAST(sum(population) FILTER (scored > 0) AS DOUBLE) AS error FROM g JOIN p USING (stratum) GROUP BY 1)
 SELECT *, CASE field WHEN 'a' THEN {_fleiss_sql('voted', 'a')} ELSE {_fleiss_sql('voted', 'b')} END AS fleiss_kappa, CASE WHEN error <= 0.05e0 THEN 'pass' WHEN error <= 0.1e0 THEN 'repair' ELSE 'revise' END AS decision FROM w"""))
@@ -81,7 +80,7 @@ def field_report(spark: SparkSession, d: str) -> DataFrame:
     return R.field_report(_voted(spark, d).join(strata.select("item", "stratum"), "item"), pops, ["a", "b"])
 
 
-@query("field_failures", over("ratings3", VOTED + f" SELECT 'a' AS field, key AS item FROM voted GROUP BY 2 HAVING NOT ({MAJORITY.format('a')}) UNION ALL SELECT 'b', key FROM voted GROUP BY 2 HAVING NOT ({MAJORITY.format('b')})"))
+@query("field_failures", over("ratings", VOTED + f" SELECT 'a' AS field, key AS item FROM voted GROUP BY 2 HAVING NOT ({majority_sql('a')}) UNION ALL SELECT 'b', key FROM voted GROUP BY 2 HAVING NOT ({majority_sql('b')})"))
 def field_failures(spark: SparkSession, d: str) -> DataFrame:
     strata, _ = _strata(spark, d)
     return R.field_failures(_voted(spark, d).join(strata.select("item", "stratum"), "item"), ["a", "b"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from routecast.operators import agreement as A
 from routecast.operators import panel as P
-from routecast.plans.views import corpus, items, over, ratings3, read, split, trials, v_labels, verdicts
+from routecast.plans.views import corpus, items, majority_sql, over, ratings, read, split, trials, v_labels, verdicts
 from routecast.registry import query
 
 PANEL = """, p AS (SELECT key, count(*) AS n, count(*) FILTER (verdict = 'match') AS n_match, count(*) FILTER (verdict = 'no_match') AS n_no_match, count(*) FILTER (verdict = 'no_answer') AS n_no_answer, min(verdict) = max(verdict) AS unanimous FROM verdicts GROUP BY 1 HAVING count(*) = 3)"""
@@ -54,7 +54,7 @@ def panel_complete(spark: SparkSession, d: str) -> DataFrame:
     return P.completeness(l, items(spark, d).withColumn("convertible", F.lit(True)), 5)
 
 
-@query("majority_votes", "SELECT l_partkey AS item, CASE WHEN count(*) FILTER (l_returnflag = 'A') >= 2 THEN true WHEN count(*) FILTER (l_returnflag = 'N') >= 2 THEN false END AS majority FROM lineitem GROUP BY 1")
+@query("majority_votes", f"SELECT item, {majority_sql('vote')} AS majority FROM (SELECT l_partkey AS item, CASE l_returnflag WHEN 'A' THEN 'yes' WHEN 'N' THEN 'no' ELSE 'borderline' END AS vote FROM lineitem) GROUP BY 1")
 def majority_votes(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "lineitem")
     vote = F.when(F.col("l_returnflag") == "A", "yes").when(F.col("l_returnflag") == "N", "no").otherwise("borderline")
@@ -67,9 +67,9 @@ def human_consensus(spark: SparkSession, d: str) -> DataFrame:
     return P.consensus(verdicts(spark, d))
 
 
-@query("prompt_ratings", over("ratings3", "SELECT prompt, CAST(median(rating_level) AS INT) AS median_level, count(*) FILTER (rating_level >= 3) >= 2 AS local, true AS agrees FROM ratings3 GROUP BY 1"))
+@query("prompt_ratings", over("ratings", "SELECT prompt, CAST(quantile_disc(rating_level, 0.5) AS INT) AS median_level, 2 * count(*) FILTER (rating_level >= 3) > count(*) AS local, true AS agrees FROM ratings GROUP BY 1"))
 def prompt_ratings(spark: SparkSession, d: str) -> DataFrame:
-    return P.prompt_ratings(ratings3(spark, d))
+    return P.prompt_ratings(ratings(spark, d), raters=None)
 
 
 @query("cohorts", over("items v_labels split", """

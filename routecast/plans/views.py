@@ -54,15 +54,6 @@ def ratings(spark: SparkSession, d: str) -> DataFrame:
         F.min(F.col("l_quantity").cast("int") % 6).alias("rating_level"), F.min(F.col("l_extendedprice").cast("long")).alias("response_time_ms"))
 
 
-def ratings3(spark: SparkSession, d: str) -> DataFrame:
-    """Exactly three ratings a prompt: those of the lowest rater ids."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("prompt")
-    r = ratings(spark, d).select("*", F.row_number().over(w.orderBy("rater")).alias("place"), F.count(F.lit(1)).over(w).alias("n"))
-    return r.where("place <= 3 and n >= 3").drop("place", "n")
-
-
 def split(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("question_id") % 10
     return items(spark, d).select("question_id", F.when(i <= 1, "test").when(i == 2, "validation").otherwise("train").alias("split"))
@@ -100,14 +91,19 @@ SQL: dict[str, str] = {
     "forecasts53": "SELECT *, CAST((question_id * 53) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS probability FROM v_labels JOIN items USING (question_id)",
     "verdicts": "SELECT l_partkey || ':' || l_linenumber AS key, 'J' || (l_suppkey % 3) AS judge, min(CASE l_returnflag WHEN 'N' THEN 'match' WHEN 'R' THEN 'no_match' ELSE 'no_answer' END) AS verdict FROM lineitem GROUP BY 1, 2",
     "ratings": "SELECT l_partkey AS prompt, l_suppkey % 30 AS rater, min(CAST(trunc(l_quantity) AS INT) % 6) AS rating_level, min(CAST(trunc(l_extendedprice) AS BIGINT)) AS response_time_ms FROM lineitem GROUP BY 1, 2",
-    "ratings3": "SELECT prompt, rater, rating_level, response_time_ms FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY rater) AS place, count(*) OVER (PARTITION BY prompt) AS n FROM ratings) WHERE place <= 3 AND n >= 3",
     "split": "SELECT question_id, CASE WHEN question_id % 10 <= 1 THEN 'test' WHEN question_id % 10 = 2 THEN 'validation' ELSE 'train' END AS split FROM items",
     "corpus": "SELECT doc_id AS question_id, text AS question, source AS category, CAST(n_chars % 10 + 1 AS INT) AS score, n_chars % 10 + 1 >= 5 AS convertible, CASE doc_id % 3 WHEN 0 THEN 'judge' WHEN 1 THEN 'rescore' ELSE 'rewrite' END AS stage FROM documents",
     "log": "SELECT user_id AS key, ts, event_id, event_type = 'error' AS error, event_type, value, props FROM events",
     "counters": "SELECT user_id AS domain, ts, event_id, CAST(floor(value * 100e0) AS BIGINT) AS value, CAST(1000000 AS BIGINT) AS max_range FROM events",
     "participants": "SELECT c_custkey AS participant_id, 18 + c_custkey % 60 AS age, c_mktsegment AS segment, c_acctbal AS outcome FROM customer",
 }
-_NEEDS = {"v_labels": ["trials"], "forecasts": ["v_labels", "items"], "forecasts53": ["v_labels", "items"], "ratings3": ["ratings"], "split": ["items"]}
+_NEEDS = {"v_labels": ["trials"], "forecasts": ["v_labels", "items"], "forecasts53": ["v_labels", "items"], "split": ["items"]}
+
+
+def majority_sql(vote: str) -> str:
+    """The aggregate `panel.majority` of a column of votes."""
+    need = "greatest(2, count(*) // 2 + 1)"
+    return f"CASE WHEN count(*) FILTER ({vote} = 'yes') >= {need} THEN true WHEN count(*) FILTER ({vote} = 'no') >= {need} THEN false END"
 
 
 def ctes(*names: str) -> str:
