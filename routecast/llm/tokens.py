@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer (operator 8).
 
-The model file gives a normaliser, scored pieces and byte pieces. All are compiled into one transducer:
+The model file gives a normaliser, scored pieces and byte pieces. All are compiled into machines of states and arcs:
 
 * states and arcs: state 0 is the start; an arc reads one character and leads to the state of the characters read since; a state
   whose characters are a piece gives that piece's id with a weight and goes back to the start;
-* the normaliser's space map is in the arcs: those that read the space mark also read a blank (the dummy space in front and the
-  squeezing of blanks, if the file asks for them, are done on the input);
-* byte fallback: a character that no piece can give goes straight back to the start and gives its UTF-8 byte pieces.
+* the normaliser: its states are the openings of the character map's keys, each once for "the last character given was a blank" and once
+  for "it was not"; at the end of the longest key that matches it gives the key's replacement, less blanks that follow a blank
+  if the file asks for that. It is composed first. Where a file has neither a map nor squeezing it gives what it reads;
+* its space map is in the arcs of the pieces: those that read the space mark also read a blank;
+* byte fallback: four states for the bytes still to come of a character, 256 arcs that give the byte pieces. A character that no piece
+  can give is read by these and ends at the start.
 
 Composing the machine with a text gives a lattice whose nodes are the text's places and whose arcs are the pieces read between them;
 the ids on its tropical shortest path are the encoding. For a unigram file an arc weighs minus the piece's score. For a merge (BPE)
@@ -61,15 +64,14 @@ class Transducer:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         kinds = format_.ModelProto.SentencePiece
-        self.pieces = [p.piece for p in model.pieces]
+        self.pieces = [model.trainer_spec.unk_surface if p.type == kinds.UNKNOWN else p.piece for p in model.pieces]  # as they are decoded
         self.merge = model.trainer_spec.model_type == format_.TrainerSpec.BPE
         spec = model.normalizer_spec
-        if spec.precompiled_charsmap:
-            raise ValueError("only the identity character map is compiled")
+        if model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("spaces as suffixes are not compiled")
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN), 0)
-        self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        self.of_byte = {i: b for b, i in self.byte.items()}
+        self.of_byte = {i: int(p.piece[3:5], 16) for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.score = [p.score for p in model.pieces]
         self.penalty = 10.0 - min((self.score[i] for i in self.id.values()), default=0.0)  # of a character that no piece gives, as the library has it
@@ -81,6 +83,8 @@ class Transducer:
         self.whole: dict[str, bool] = {}
         self.most_pairs = 2 * most_chunks
         self._compile()
+        self._compile_bytes(model.trainer_spec.byte_fallback)
+        self._compile_normaliser(spec.precompiled_charsmap)
         self.pairs = {pair for p in self.id for q in {p, p.replace(MARK, " ") if self.escape else p} for pair in zip(q, q[1:])}
         self.parts = _Solved(self._shortest, "", most_chunks)
         self.blank = " " if self.escape else MARK  # how a space mark is written in the input
@@ -106,10 +110,46 @@ class Transducer:
                 if MARK in out:
                     out[" "] = out[MARK]
 
+    def _compile_bytes(self, fallback: bool) -> None:
+        """The machine of byte fallback: `bytes[to come]` maps a byte to (to come after it, packed id); empty if the file has no fallback."""
+        self.bytes: list[dict[int, tuple[int, bytes]]] = [{}, {}, {}, {}]
+        for i, b in self.of_byte.items() if fallback else ():
+            given = np.array([i], "<u4").tobytes()
+            if b < 0x80:
+                self.bytes[0][b] = 0, given
+            elif b < 0xC0:
+                for state in (1, 2, 3):
+                    self.bytes[state][b] = state - 1, given
+            else:
+                self.bytes[0][b] = 1 + (b >= 0xE0) + (b >= 0xF0), given
+        self.no_piece = np.array([self.unknown], "<u4").tobytes()
+
+    def _compile_normaliser(self, blob: bytes) -> None:
+        """The machine of the character map: `reads[state]` maps a character to the next state; `writes[state]` is (replacement, the same after a blank) or None."""
+        self.reads: list[dict[str, int]] = [{}]
+        self.writes: list[tuple[str, str] | None] = [None]
+        for key, value in character_map(blob):
+            state = 0
+            for c in key:
+                to = self.reads[state].get(c)
+                if to is None:
+                    to = self.reads[state][c] = len(self.reads)
+                    self.reads.append({})
+                    self.writes.append(None)
+                state = to
+            self.writes[state] = value, value.lstrip(" ") if self.squeeze else value
+        if self.squeeze and " " not in self.reads[0]:
+            self.reads[0][" "] = len(self.reads)
+            self.reads.append({})
+            self.writes.append((" ", ""))
+
     def _fallback(self, c: str) -> tuple[str, bytes, float]:
-        """The arc of a character that no piece gives; it weighs more than pieces do."""
-        ids = [self.byte[b] for b in c.encode()] if self.byte else [self.unknown]
-        return c, np.array(ids, "<u4").tobytes(), 0.0 if self.merge else self.penalty
+        """The arcs of a character that no piece gives; they weigh more than pieces do."""
+        state, out = 0, []
+        for b in c.encode():
+            state, given = self.bytes[state].get(b, (0, b""))
+            out.append(given)
+        return c, b"".join(out) if all(out) else self.no_piece, 0.0 if self.merge else self.penalty
 
     def _lattice(self, text: str, at: int) -> list[tuple[float, int, tuple[str, bytes, float]]]:
         """Lattice arcs that leave place `at`: (weight, end, what the machine gives), shortest first."""
@@ -129,13 +169,37 @@ class Transducer:
         return out
 
     def normalise(self, text: str) -> str:
-        """What the machine reads: blanks squeezed and led by one more as the file says; blanks are mapped by the arcs."""
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
+        """What the machine of the pieces reads: the normaliser's output, led by one more blank if the file says so; marks are written as blanks if it escapes them."""
         if not text:
             return ""
-        text = (" " if self.dummy else "") + text
-        return text.replace(MARK, " ") if self.escape else text
+        text = (" " if self.dummy else "") + (self._rewritten(text) if self.reads[0] else text)
+        if self.escape:
+            text = text.replace(MARK, " ")
+        return text.rstrip(" ") if self.squeeze else text
+
+    def _rewritten(self, text: str) -> str:
+        """The text composed with the normaliser: at each place the longest key is read; a character that starts none gives itself."""
+        reads, writes, first, squeeze = self.reads, self.writes, self.reads[0], self.squeeze
+        out, at, n, after = [], 0, len(text), squeeze
+        while at < n:
+            c = text[at]
+            state = first.get(c)
+            at += 1
+            if state is None:
+                out.append(c)
+                after = False
+                continue
+            end, given, i = at, writes[state], at
+            while i < n and (state := reads[state].get(text[i])) is not None:
+                i += 1
+                if writes[state] is not None:
+                    end, given = i, writes[state]
+            at = end
+            value = c if given is None else given[after]
+            if value:
+                out.append(value)
+                after = squeeze and value.endswith(" ")
+        return "".join(out)
 
     def _split(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes `piece`: its halves, or None for a single character."""
@@ -248,8 +312,16 @@ class Transducer:
         """Little-endian ids of a text."""
         text, mark = self.normalise(text), self.blank
         if text.startswith(mark) and not self.crosses and mark * 2 not in text:
-            return b"".join(map(self.marked.__getitem__, text[1:].split(mark)))
-        return b"".join(map(self.plain.__getitem__, self.chunks(text)))
+            packed = b"".join(map(self.marked.__getitem__, text[1:].split(mark)))
+        else:
+            packed = b"".join(map(self.plain.__getitem__, self.chunks(text)))
+        return packed if self.bytes[0] else self._merged(packed)
+
+    def _merged(self, packed: bytes) -> bytes:
+        """Ids with one unknown id in place of several in a row, as the library gives them."""
+        ids = np.frombuffer(packed, "<u4")
+        again = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[np.concatenate([[True], ~again])].tobytes() if len(ids) else packed
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
@@ -261,7 +333,9 @@ class Transducer:
             text = b"".join(map(self.raw.__getitem__, ids)).decode()
         except UnicodeDecodeError:
             return self.decode(ids)
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        if self.squeeze and text.startswith("  "):
+            return self.decode(ids)
+        return text[1:] if (self.dummy or self.squeeze) and text.startswith(" ") else text
 
     def decode(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -273,11 +347,45 @@ class Transducer:
                 out.append(run.decode("utf-8", "replace"))
                 run = bytearray()
             if i not in self.silent:
-                out.append(self.pieces[i])
+                piece = self.pieces[i]
+                if self.squeeze and not any(out) and i != self.unknown:
+                    piece = piece.removeprefix(MARK)  # of every piece before the first character
+                out.append(piece)
         if run:
             out.append(run.decode("utf-8", "replace"))
         text = "".join(out).replace(MARK, " ") if self.escape else "".join(out)
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        return text[1:] if self.dummy and not self.squeeze and text.startswith(" ") else text
+
+
+def character_map(blob: bytes) -> Iterator[tuple[str, str]]:
+    """(key, replacement) of a file's compiled character map; an empty blob has none, a broken one raises ValueError.
+
+    The format is public: the size of a double-array trie, the trie (little-endian 32-bit units over UTF-8 bytes), and the replacements,
+    each ended by a zero byte, at which the trie's leaves point. All arcs of a level are followed at once.
+    """
+    if not blob:
+        return
+    size = int.from_bytes(blob[:4], "little")
+    if len(blob) < 8 or size % 4 or not 4 <= size <= len(blob) - 4:
+        raise ValueError("broken character map")
+    units, values = np.frombuffer(blob[4:4 + size], "<u4").astype(np.int64), blob[4 + size:]
+    leads = (units >> 10) << ((units & 0x200) >> 6)  # what is XORed to a unit's place for its children
+    labels = np.arange(1, 256, dtype=np.int64)
+    places, keys, depth, seen = leads[:1], [b""], 0, 0
+    while len(places):
+        to = places[:, None] ^ labels[None, :]
+        inside = to < len(units)
+        row, column = np.nonzero(inside & ((units[np.where(inside, to, 0)] & 0x800000FF) == labels[None, :]))
+        found = to[row, column]
+        keys = [keys[r] + bytes([c]) for r, c in zip(row.tolist(), labels[column].tolist())]
+        places = found ^ leads[found]
+        depth, seen = depth + 1, seen + len(keys)
+        if depth > 1024 or seen > 1 << 24:  # no trie of characters' mappings, so its places lead round in a circle
+            raise ValueError("broken character map")
+        for key, leaf, place in zip(keys, ((units[found] >> 8) & 1).tolist(), places.tolist()):
+            if leaf:
+                start = int(units[place]) & 0x7FFFFFFF
+                yield key.decode(), values[start:values.index(b"\0", start)].decode()
 
 
 def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
