@@ -60,12 +60,12 @@ def latest_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("numbered_records", f"WITH {LINES}, o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS line FROM x) SELECT line, fault FROM o WHERE fault = 'malformed'")
 def numbered_records(spark: SparkSession, d: str) -> DataFrame:
-    """Where the bad lines of one file are, counted from 1."""
+    """Where the bad lines of one file, written in parts, are, counted from 1."""
     i, path = F.col("doc_id"), fresh(spark, "numbered")
     line = F.to_json(F.struct("doc_id", "quality", "toxic"))
     rows = read(spark, d, "labels").select("doc_id", F.when(i % 7 == 0, F.substring(line, 1, 12)).when(i % 11 == 0, "  ").otherwise(line).alias("value"))
-    rows.orderBy("doc_id").select("value").write.text(path)
-    return R.bad_lines(spark, path, LABEL).select("line", "fault")
+    rows.orderBy(F.col("doc_id").asc_nulls_last()).select("value").write.text(path)
+    return R.bad_lines(spark, path, LABEL, whole=True).select("line", "fault")
 
 
 @query("one_object", "SELECT count(*) AS n, CAST(sum(toxic) AS BIGINT) AS toxic FROM labels")

@@ -29,16 +29,17 @@ def read_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> D
     return out.select("r.*", fault.alias("fault")).drop(CORRUPT)
 
 
-def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str, whole: bool = False) -> DataFrame:
     """(file, line, value, fault) of the lines of text files that do not parse, counted from 1 in each file.
 
-    A line's place is the number of lines of the splits before it and its own in the split; the counts of splits are the only thing summed in order.
+    With `whole` the files are parts of one, in the order of their names, and lines are counted on from part to part. A line's place is the number of lines of the splits before it and its own in the split; the counts of splits are the only thing summed in order.
     """
     row = F.from_json("value", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     m = F.monotonically_increasing_id()
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), m.alias("_id"), "value", row.alias("r"))
     sizes = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = Window.orderBy("file", "split") if whole else Window.partitionBy("file").orderBy("split")  # a row a split
+    before = F.coalesce(F.sum("n").over(places.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bad = lines.where((F.trim("value") != "") & (F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()))
     found = bad.join(sizes.select("file", "split", "first", before.alias("before")), ["file", "split"])
     return found.select("file", (F.col("before") + F.col("_id") - F.col("first") + 1).alias("line"), "value", F.lit("malformed").alias("fault"))
