@@ -6,6 +6,7 @@ Where several batches matter, the table arrives in parts: each is written and th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,19 +20,35 @@ from routecast.sources.shared import fresh
 from routecast.streaming import monitor as S
 
 
+ONE_BATCH = {"maxFilesPerTrigger": 2**31 - 1}  # else a table of more than 1000 files comes in batches, whose later rows the watermark may drop
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, S.ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(store, before)
+
+
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """The table as a file stream; the pattern matches its one file or folder, since a stream takes no single file."""
-    return spark.readStream.schema(read(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+    """The table as a file stream of one batch; the pattern matches its one file or folder, since a stream takes no single file."""
+    return spark.readStream.schema(read(spark, d, name).schema).options(**ONE_BATCH).parquet(f"{d}/{name}.parque[t]")
 
 
 def run_once(df: DataFrame, mode: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns the last row of each key (in update mode several batches may give one)."""
+    """Runs a stream over all that is there and returns the last row of each key (in update mode several batches may give one). State is kept on disk."""
     spark, folder = df.sparkSession, fresh(df.sparkSession, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    with _rocks(spark):
+        df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{folder}/out/*")
     rest = [c for c in df.columns if c not in keys]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_batch", *(order or []))).alias("r")).select(*keys, "r.*")
@@ -39,10 +56,13 @@ def run_once(df: DataFrame, mode: str, keys: list[str], order: list[str] | None
 
 @query("stream_trial_counts", "SELECT l_partkey AS question_id, count(*) FILTER (l_linestatus = 'O') AS correct_count, count(*) FILTER (l_returnflag = 'A') AS invalid_count, count(*) AS k FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem) GROUP BY 1")
 def stream_trial_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The stream's counts equal those of the batch form."""
-    t = _stream(spark, d, "lineitem").select(item_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("key"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_partkey").alias("question_id"),
+    """The stream's counts equal those of the batch form; of repeated keys the first row in the table's files counts."""
+    folder, place = fresh(spark, "first"), F.struct("_metadata.file_path", "_metadata.row_index")
+    t = _stream(spark, d, "lineitem").select(place.alias("place"), item_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("key"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_partkey").alias("question_id"),
                                              (F.col("l_linestatus") == "O").alias("success"), (F.col("l_returnflag") == "A").alias("invalid"))
-    return run_once(S.trial_counts(t), "update", ["question_id"])
+    _ended(S.write_first(t, folder), f"{folder}-state")
+    once = spark.readStream.schema(t.drop("place").schema).options(**ONE_BATCH).parquet(f"{folder}/*")
+    return run_once(S.trial_counts(once), "update", ["question_id"])
 
 
 @query("failure_windows", over("log", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n, count(*) FILTER (error) AS errors, count(*) FILTER (error) / CAST(count(*) AS DOUBLE) AS share FROM log GROUP BY 1, 2"))
@@ -116,16 +136,11 @@ def run_parts(rows: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFr
 def run_error_runs(rows: DataFrame, threshold: int, idle_ms: int | None = None) -> DataFrame:
     """The last row of each key of T8 as parts of `rows` arrive: one stream reduces a part to runs, a second one keeps the runs of each key."""
     spark, folder = rows.sparkSession, fresh(rows.sparkSession, "runs")
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, S.ROCKS)
-    try:
+    with _rocks(spark):
         for stream in parts_of(rows, f"{folder}/in"):
             _ended(S.write_runs(stream, f"{folder}/runs"), f"{folder}/state-1")
             out = S.error_runs(spark.readStream.schema(S.RUN_ROWS).parquet(f"{folder}/runs/*"), threshold, idle_ms)
             _ended(_kept(out, f"{folder}/out").outputMode("update"), f"{folder}/state-2")
-    finally:
-        spark.conf.set(store, before)
     return _back(spark, out.schema, f"{folder}/out").groupBy("key").agg(F.max_by(F.struct("run", "longest", "alert"), "_batch").alias("r")).select("key", "r.*")
 
 
