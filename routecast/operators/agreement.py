@@ -225,23 +225,28 @@ def transitions(before: DataFrame, after: DataFrame, key: str, level: str) -> Da
     return a.join(b, key).groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _medians(counts: Column) -> Column:
-    """Lower and upper median of an ascending array of (level, n); nulls if all n are 0."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x.n)
+def _at(counts: Column, place: Column) -> Column:
+    """The level at a 0-based place of an ascending array of (level, n); null if there is none."""
+    kind = counts[0].level
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.nullif(kind, kind).alias("level"))
+    step = lambda s, x: F.struct((s.upto + x.n).alias("upto"), F.when((s.upto <= place) & (place < s.upto + x.n), x.level).otherwise(s.level).alias("level"))
+    return F.aggregate(counts, start, step, lambda s: s.level)
 
-    def at(place: Column) -> Column:
-        kind = counts[0].level
-        start = F.struct(F.lit(0).cast("long").alias("upto"), F.nullif(kind, kind).alias("level"))
-        step = lambda s, x: F.struct((s.upto + x.n).alias("upto"), F.when((s.upto <= place) & (place < s.upto + x.n), x.level).otherwise(s.level).alias("level"))
-        return F.aggregate(counts, start, step, lambda s: s.level)
 
-    return F.struct(at(F.floor((total - 1) / 2)).alias("lower"), at(F.floor(total / 2)).alias("upper"))
+def _medians(counts: Column, total: Column) -> Column:
+    """Lower and upper median of an ascending array of (level, n) of `total` in all, a plain column; nulls if all n are 0."""
+    return F.struct(_at(counts, F.floor((total - 1) / 2)).alias("lower"), _at(counts, F.floor(total / 2)).alias("upper"))
+
+
+def _counts(ratings: DataFrame, prompt: str) -> DataFrame:
+    """(prompt, counts, total): the ascending (level, n) of each prompt's ratings and how many there are."""
+    n = ratings.groupBy(prompt, F.col("rating_level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("counts"), F.sum("n").alias("total"))
 
 
 def _branches(ratings: DataFrame, truth: DataFrame, prompt: str) -> DataFrame:
     """(prompt, truth_level, lower, upper): lower and upper medians of the ratings that are left, read off their counts by level."""
-    n = ratings.groupBy(prompt, F.col("rating_level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    g = n.groupBy(prompt).agg(_medians(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("m"))
+    g = _counts(ratings, prompt).select(prompt, _medians(F.col("counts"), F.col("total")).alias("m"))
     return g.join(truth.select(prompt, "truth_level"), prompt).select(prompt, "truth_level", "m.*")
 
 
@@ -255,23 +260,32 @@ def after_removal(ratings: DataFrame, truth: DataFrame, removed: DataFrame, prom
 def leave_one_out(ratings: DataFrame, truth: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Descriptors by removed rater and branch.
 
-    Ratings of a prompt are counted by level, and the medians without a rater are read off these few counts less the rater's own, so the work is in
-    proportion to the ratings, however many a prompt has. Only prompts that a rater touched change; for all others the cells of
-    the whole table are taken, less those prompts' own. A rater who is alone on a prompt takes it out.
+    Ratings of a prompt are counted by level. Without one rating of level m, place i of the sorted levels holds what it held if that is below m, else
+    what place i + 1 held, so a rater's rows need four levels of a prompt, however many ratings it has; only a rater who rated a prompt several times is taken
+    off the counts. Only prompts that a rater touched change; for all others the cells of the whole table are taken, less those prompts' own.
+    A rater who is alone on a prompt takes it out.
     """
-    levels = ratings.groupBy(prompt, F.col("rating_level").alias("level")).agg(F.count(F.lit(1)).alias("n")).groupBy(prompt).agg(F.array_sort(F.collect_list(F.struct("level", "n"))).alias("counts"))
-    per = levels.join(truth.select(prompt, "truth_level"), prompt).withColumn("whole", _medians(F.col("counts")))
+    n, counts = F.col("total"), F.col("counts")
+    per = _counts(ratings, prompt).join(truth.select(prompt, "truth_level"), prompt)
+    held = [_at(counts, F.floor((n + i) / 2)) for i in (-2, 0, -1, 1)]  # at the places of both medians of n - 1, and the next ones
+    per = per.select(prompt, "truth_level", "counts", "total", _medians(counts, n).alias("whole"), *[h.alias(f"_{i}") for i, h in enumerate(held)])
     branches = lambda c: F.array(*[F.struct(F.lit(b).alias("branch"), F.col(f"{c}.{b}").alias("level")) for b in ("lower", "upper")])
-    count = lambda df, c, group: cells(df.select(*group, "truth_level", F.explode(branches(c)).alias("x")).select(*group, "truth_level", "x.branch", "x.level"), "truth_level", "level", [*group, "branch"])
-    base = count(per, "whole", [])
-    own = ratings.groupBy(prompt, F.col("rater").alias("removed")).agg(F.collect_list("rating_level").alias("mine"))  # one level, or those of a repeated rating
+    base = cells(per.select("truth_level", F.explode(branches("whole")).alias("x")).select("truth_level", "x.branch", "x.level"), "truth_level", "level", ["branch"])
+    own = ratings.groupBy(prompt, F.col("rater").alias("removed")).agg(F.min("rating_level").alias("m"), F.count(F.lit(1)).alias("times"), F.count("rating_level").alias("levels"))
+    once = salted_join(own.where("times = 1 and levels = 1"), per.drop("counts"), prompt)
+    stays = lambda i: F.when(n > 1, F.when(F.col(f"_{i}") >= F.col("m"), F.col(f"_{i + 1}")).otherwise(F.col(f"_{i}")))
+    once = once.select("removed", "truth_level", "whole", F.struct(stays(0).alias("lower"), stays(2).alias("upper")).alias("without"))
+    again = own.where("times > 1 or levels < 1").select(prompt, "removed").join(ratings.withColumnRenamed("rater", "removed").select(prompt, "removed", "rating_level"), [prompt, "removed"])
+    again = again.groupBy(prompt, "removed").agg(F.collect_list("rating_level").alias("mine")).join(per, prompt)
     left = F.transform("counts", lambda x: F.struct(x.level.alias("level"), (x.n - F.size(F.filter("mine", lambda m: m == x.level))).alias("n")))
-    touched = salted_join(own, per, prompt).withColumn("without", _medians(left))
-    minus = count(touched, "whole", ["removed"]).withColumn("n", -F.col("n"))
-    plus = count(touched.where(F.col("without.lower").isNotNull()), "without", ["removed"])
+    again = again.select("removed", "truth_level", "whole", left.alias("counts"), (n - F.size("mine")).alias("total"))
+    again = again.select("removed", "truth_level", "whole", _medians(counts, n).alias("without"))
+    moved = once.unionByName(again).groupBy("removed", "truth_level", "whole", "without").agg(F.count(F.lit(1)).alias("n"))
+    moves = F.array(*[F.struct(F.lit(b).alias("branch"), F.col(f"{c}.{b}").alias("b"), (F.lit(sign) * F.col("n")).alias("n")) for c, sign in (("whole", -1), ("without", 1)) for b in ("lower", "upper")])
+    change = moved.select("removed", F.col("truth_level").alias("a"), F.explode(moves).alias("x")).select("removed", "x.branch", "a", "x.b", "x.n").where("b is not null")
     raters = ratings.select(F.col("rater").alias("removed")).distinct()
     each = raters.crossJoin(F.broadcast(base)).select("removed", "branch", "a", "b", "n")  # base: two branches of levels squared cells
-    c = each.unionByName(minus).unionByName(plus).groupBy("removed", "branch", "a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+    c = each.unionByName(change).groupBy("removed", "branch", "a", "b").agg(F.sum("n").alias("n")).where("n > 0")
     k = weighted_kappa(c, ["removed", "branch"])
     t, s = F.col("a") >= 3, F.col("b") >= 3
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))

@@ -10,6 +10,7 @@ from routecast.operators import agreement as A
 from routecast.operators import panel as P
 from routecast.plans.views import corpus, forecasts, items, majority_sql, over, ratings, read, v_labels, verdicts
 from routecast.registry import query
+from routecast.sources.shared import written
 
 LEVELS = ", lv AS (SELECT *, CAST(least(6 * correct_count // k, 5) AS INT) AS a, CAST(least(floor(probability * 6), 5) AS INT) AS b FROM forecasts)"
 RATED = ", lv AS (SELECT rater, prompt, CAST(least(6 * correct_count // k, 5) AS INT) AS a, rating_level AS b FROM ratings JOIN v_labels ON prompt = question_id)"
@@ -138,7 +139,7 @@ def after_removal(spark: SparkSession, d: str) -> DataFrame:
 @query("leave_one_rater_out", over("ratings v_labels", _removal_sql("(SELECT q.removed, x.* FROM ratings x JOIN (SELECT DISTINCT rater AS removed FROM ratings) q ON q.removed <> x.rater)", f""", lz AS (SELECT *, removed || branch AS rb FROM lv)
 SELECT z.removed, z.branch, x.n, CASE WHEN e > 0 THEN CAST(e - n * o AS DOUBLE) / e END AS kappa, z.fp, z.fn FROM {_kappa_sql('lz', 'rb')} JOIN (SELECT rb, any_value(removed) AS removed, any_value(branch) AS branch, count(*) FILTER (a < 3 AND b >= 3) AS fp, count(*) FILTER (a >= 3 AND b < 3) AS fn FROM lz GROUP BY 1) z USING (rb)""", "removed,")))
 def leave_one_rater_out(spark: SparkSession, d: str) -> DataFrame:
-    r = _rated(spark, d)
+    r = written(_rated(spark, d).select("prompt", "rater", "rating_level", "truth_level"))
     return A.leave_one_out(r, r.select("prompt", "truth_level").distinct()).select("removed", "branch", "n", "kappa", "fp", "fn")
 
 
