@@ -25,14 +25,17 @@ ONE_BATCH = {"maxFilesPerTrigger": 2**31 - 1}  # else a table of more than 1000
 
 @contextmanager
 def _rocks(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB."""
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store)
-    spark.conf.set(store, S.ROCKS)
+    """Streams started inside keep their state in RocksDB, in a part for each core: every part costs a second a batch, and on disk it may be large."""
+    cores = max(8, spark.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": S.ROCKS, "spark.sql.shuffle.partitions": str(min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(store, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
