@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +49,21 @@ def disagreements(a: DataFrame, b: DataFrame, key: list[str] | str, fields: list
     return a.select(*keys, *fields).join(r, keys).select(*keys, F.explode(differs).alias("field"))
 
 
+def _values(df: DataFrame, keys: list[str], fields: list[str], wildcard: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, field, n) for fields with more than one value in a group; null is a value but for `wildcard` fields.
+
+    Each field is made distinct by itself: counted together, each row would be multiplied by the fields before it meets the first aggregate, all in the memory of one task.
+    """
+    def one(f: str) -> DataFrame:
+        v = df.select(*keys, F.col(f).alias("_v")).distinct()
+        return v.groupBy(*keys).agg(F.count("_v" if f in wildcard else F.lit(1)).alias("n")).where("n > 1").select(*keys, F.lit(f).alias("field"), "n")
+
+    return reduce(DataFrame.union, [one(f) for f in fields])
+
+
 def unstable(df: DataFrame, group: list[str] | str, fields: list[str]) -> DataFrame:
     """V6: (group, field, n) for fields with more than one value in a group; null counts as a value."""
-    keys = _keys(group)
-    g = df.groupBy(*keys).agg(*[(F.count_distinct(f) + F.max(F.col(f).isNull().cast("long"))).alias(f) for f in fields])
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])).alias("x")
-    return g.select(*keys, each).select(*keys, "x.field", "x.n").where("n > 1")
+    return _values(df, _keys(group), fields)
 
 
 def answer_key_faults(key: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,9 +104,7 @@ def spread(df: DataFrame, count: str = "correct_count", k: str = "k") -> DataFra
 
 def instruments(df: DataFrame, group: list[str], fields: list[str], wildcard: tuple[str, ...] = ()) -> DataFrame:
     """(group, field, n) for instrument fields with several values in a group; null is no value for `wildcard` fields."""
-    aggs = [(F.count_distinct(f) + (F.lit(0) if f in wildcard else F.max(F.col(f).isNull().cast("long")))).alias(f) for f in fields]
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])).alias("x")
-    return df.groupBy(*group).agg(*aggs).select(*group, each).select(*group, "x.field", "x.n").where("n > 1")
+    return _values(df, _keys(group), fields, wildcard)
 
 
 def manifest_difference(a: DataFrame, b: DataFrame) -> DataFrame:
