@@ -24,7 +24,7 @@ def _fleiss_sql(rows: str, value: str) -> str:
 SELECT round_even({_fleiss_sql('v', 'verdict')}, 4) AS fleiss_kappa_three_way, round_even({_fleiss_sql('v', 'b')}, 4) AS fleiss_kappa_binary, round_even(avg(CASE WHEN unanimous THEN 1e0 ELSE 0e0 END), 4) AS unanimous_share, count(*) AS n FROM p"""))
 def panel_agreement(spark: SparkSession, d: str) -> DataFrame:
     v = verdicts(spark, d)
-    return R.panel_agreement(v, P.panel(v)[0])
+    return R.panel_agreement(v, P.panel(v, one_each=True)[0])
 
 
 HUMAN = ", human AS (SELECT l_partkey || ':' || l_linenumber AS key, max(CASE WHEN l_returnflag = 'N' THEN 'match' WHEN l_returnflag = 'R' THEN 'no_match' ELSE 'no_answer' END) AS verdict FROM lineitem GROUP BY 1)"
