@@ -114,12 +114,17 @@ def manifest_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def design_faults(design: DataFrame, raters: int, per_category: int) -> DataFrame:
-    """(rule, n) of a rater design (participant_id, prompt_id, category)."""
-    d = design.select("participant_id", "prompt_id", "category")
-    repeated = duplicates(d, ["participant_id", "prompt_id"]).select(F.lit("repeated_prompt").alias("rule"))
-    uneven = d.groupBy("participant_id", "category").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != per_category).select(F.lit("category_count").alias("rule"))
-    wrong = d.groupBy("prompt_id").agg(F.count_distinct("participant_id").alias("n")).where(F.col("n") != raters).select(F.lit("rater_count").alias("rule"))
-    return repeated.union(uneven).union(wrong).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """(rule, n) of a rater design (participant_id, prompt_id, category).
+
+    Pairs of prompt and participant are dealt by prompt into as many parts as the session shuffles to: a number that is given is not merged again, so a task holds the pairs of a small part.
+    """
+    parts = int(design.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = design.select("participant_id", "prompt_id").repartition(parts, "prompt_id").groupBy("prompt_id", "participant_id").agg(F.count(F.lit(1)).alias("n"))
+    prompts = pairs.groupBy("prompt_id").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count("participant_id").alias("n"))
+    cells = design.groupBy("participant_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    found = prompts.agg(F.sum("repeated").alias("repeated_prompt"), F.count_if(F.col("n") != raters).alias("rater_count")).crossJoin(
+        cells.agg(F.count_if(F.col("n") != per_category).alias("category_count")))  # one row each
+    return found.unpivot([], ["repeated_prompt", "category_count", "rater_count"], "rule", "n").where("n > 0")
 
 
 def pair_overlap(design: DataFrame, participant: str = "participant_id", prompt: str = "prompt_id", most: int = 256) -> DataFrame:
