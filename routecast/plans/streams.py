@@ -59,9 +59,10 @@ def run_once(df: DataFrame, mode: str, keys: list[str], order: list[str] | None
 
 @query("stream_trial_counts", "SELECT l_partkey AS question_id, count(*) FILTER (l_linestatus = 'O') AS correct_count, count(*) FILTER (l_returnflag = 'A') AS invalid_count, count(*) AS k FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem) GROUP BY 1")
 def stream_trial_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The stream's counts equal those of the batch form; of repeated keys the first row in the table's files counts."""
+    """The stream's counts equal those of the batch form; of repeated keys (nulls are values) the first row in the table's files counts."""
     folder, place = fresh(spark, "first"), F.struct("_metadata.file_path", "_metadata.row_index")
-    t = _stream(spark, d, "lineitem").select(place.alias("place"), item_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("key"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_partkey").alias("question_id"),
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("l_orderkey", "l_linenumber")]
+    t = _stream(spark, d, "lineitem").select(place.alias("place"), item_key(*parts).alias("key"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_partkey").alias("question_id"),
                                              (F.col("l_linestatus") == "O").alias("success"), (F.col("l_returnflag") == "A").alias("invalid"))
     _ended(S.write_first(t, folder), f"{folder}-state")
     once = spark.readStream.schema(t.drop("place").schema).options(**ONE_BATCH).parquet(f"{folder}/*")

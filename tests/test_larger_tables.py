@@ -49,6 +49,14 @@ def test_first_of_repeated_trials(spark, tmp_path):
     compare(registry.QUERIES["stream_trial_counts"](spark, str(tmp_path)), con, registry.ORACLES["stream_trial_counts"])
 
 
+def test_trials_without_a_part_of_the_key_or_before_1970(spark, made):
+    """Keys that lack one part or the other are not the same, and no trial is late."""
+    d, con = made(lineitem="""SELECT CASE WHEN i % 5 <> 0 THEN i % 40 END AS l_orderkey, CASE WHEN i % 7 <> 0 THEN CAST(i % 3 AS INT) END AS l_linenumber, CASE WHEN i % 11 <> 0 THEN i % 23 END AS l_partkey,
+        ['A', 'N', 'R', NULL][1 + CAST(hash(i) % 4 AS INT)] AS l_returnflag, ['O', 'F', NULL][1 + CAST(hash(i + 5) % 3 AS INT)] AS l_linestatus,
+        CASE WHEN i % 13 <> 0 THEN TIMESTAMP '1965-01-01' + to_days(CAST(i * 7 % 5000 AS INT)) END AS l_shipdate FROM range(3000) r(i)""")
+    compare(registry.QUERIES["stream_trial_counts"](spark, d), con, registry.ORACLES["stream_trial_counts"])
+
+
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
